@@ -4,9 +4,10 @@ Documents with equal shingle sets are one set. Two sets with a Jaccard similarit
 the first n - ceil(3n/4) + 1 of each, in any one order of all shingles; here shingles of very many documents come last,
 the others go by hash. So sets meet in groups by a shingle of their prefixes. Groups with the same members are one.
 In a group a signature tree over the members' bitmaps and sizes is joined with itself: pairs of nodes whose largest
-possible overlap is too small are pruned. What remains of a group, split where it falls apart, gets the whole sets,
-and a second tree join that verifies every pair it cannot prune or skip as linked already. Links become components by
-rounds of joins. Large groups are cut into blocks, each pair of blocks a task; no pair is dropped.
+possible overlap is too small are pruned. What the groups leave possible falls into pieces; each piece gets its whole
+sets, once, and a second tree join that verifies every pair it cannot prune or skip as linked already. Possible links
+become pieces, and links components, by rounds of joins. Large groups and pieces are cut into blocks, each pair of
+blocks a task; no pair is dropped.
 """
 
 from __future__ import annotations
@@ -216,49 +217,61 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select(text_or_empty()).mapInArrow(scan, "h long, sid long")
 
 
-def candidate_clusters(members: DataFrame) -> DataFrame:
-    """members (g, x, y, sid, n, bits), a group for each (g, x, y) -> cid, sid: what is left of the groups, in pieces."""
+def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def possible_links(members: DataFrame) -> DataFrame:
+    """members (g, x, y, sid, n, bits), a group for each (g, x, y) -> a, b: links that span each piece a group falls into."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cids, sids = [], []
+        a, b = [], []
         for group in groups(batches, 3):
-            if group.num_rows < 2:
-                continue
-            own = group.column("sid").to_numpy()
-            own, first = np.unique(own, return_index=True)
+            own, first = np.unique(group.column("sid").to_numpy(), return_index=True)
             if len(own) < 2:
                 continue
             group = group.take(first)
-            roots = tree_components(group.column("n").to_numpy(), _maps(group.column("bits")))
-            for root in np.unique(roots).tolist():
-                if len(piece := own[roots == root]) > 1:
-                    cids.append(np.full(len(piece), set_id(piece)))
-                    sids.append(piece)
-            if len(cids) > 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cids)), pa.array(np.concatenate(sids))], ["cid", "sid"])
-                cids, sids = [], []
-        if cids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cids)), pa.array(np.concatenate(sids))], ["cid", "sid"])
+            roots = own[tree_components(group.column("n").to_numpy(), _maps(group.column("bits")))]
+            if (roots != own).any():
+                a.append(own[roots != own])
+                b.append(roots[roots != own])
+            if len(a) > 1000:
+                yield _edges(a, b)
+                a, b = [], []
+        if a:
+            yield _edges(a, b)
 
     dealt = members.repartition(parts(members.sparkSession), "g", "x", "y").sortWithinPartitions("g", "x", "y")
-    return dealt.select("g", "x", "y", "sid", "n", "bits").mapInArrow(join, "cid long, sid long").distinct()
+    return dealt.select("g", "x", "y", "sid", "n", "bits").mapInArrow(join, "a long, b long")
+
+
+def in_blocks(members: DataFrame, size: str, block: int) -> DataFrame:
+    """Adds x, y: the pairs of blocks of its group that a member takes part in, one pair for a group of up to `block`."""
+    members = members.withColumn("blocks", F.ceil(F.col(size) / block).cast("int"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return members.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "own", "other")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
+    """docs (sid, text, cid, size) -> cid, size, sid, hashes, where the text has that set."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [x for x in shingle_sets(batch.column(1))]
             ok = [k for k, (sid, own) in enumerate(zip(batch.column(0).to_pylist(), sets, strict=True)) if sid == set_id(own)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok, pa.int64())), pa.array([sets[k].tobytes() for k in ok], pa.binary())], ["sid", "hashes"])
+            rows = batch.take(pa.array(ok, pa.int64()))
+            hashes = pa.array([sets[k].tobytes() for k in ok], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(3), rows.column(0), hashes], ["cid", "size", "sid", "hashes"])
 
-    return docs.select("sid", "text").mapInArrow(scan, "sid long, hashes binary")
+    return docs.select("sid", "text", "cid", "size").mapInArrow(scan, "cid long, size long, sid long, hashes binary")
 
 
 def verified_links(clusters: DataFrame) -> DataFrame:
-    """clusters (cid, sid, hashes) -> a, b: links that span what is linked within each cluster."""
+    """clusters (cid, x, y, sid, hashes) -> a, b: links that span what is linked within each (cid, x, y)."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, 1):
+        for group in groups(batches, 3):
             own, first = np.unique(group.column("sid").to_numpy(), return_index=True)
             if len(own) < 2:
                 continue
@@ -276,8 +289,8 @@ def verified_links(clusters: DataFrame) -> DataFrame:
             if (roots != own).any():
                 yield pa.RecordBatch.from_arrays([pa.array(own[roots != own]), pa.array(roots[roots != own])], ["a", "b"])
 
-    dealt = clusters.repartition(parts(clusters.sparkSession), "cid").sortWithinPartitions("cid")
-    return dealt.select("cid", "sid", "hashes").mapInArrow(join, "a long, b long")
+    dealt = clusters.repartition(parts(clusters.sparkSession), "cid", "x", "y").sortWithinPartitions("cid", "x", "y")
+    return dealt.select("cid", "x", "y", "sid", "hashes").mapInArrow(join, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, block: int = BLOCK, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -304,14 +317,13 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK, share: float = SHARE
     ).where("low < high")
     alike = Window.partitionBy("low", "high", "n_members", F.coalesce("mark", "h"))
     kept = met.withColumn("g", F.min("h").over(alike)).where("g = h").select("g", "sid", "n_members")
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    members = kept.join(sets.select("sid", "n", "bits"), "sid").withColumn("blocks", F.ceil(F.col("n_members") / block))
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")))
-    clusters = cut(candidate_clusters(members.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})))
-    wanted = clusters.select("sid").distinct().join(sets.select("sid", "rep"), "sid")
+    members = in_blocks(kept.join(sets.select("sid", "n", "bits"), "sid"), "n_members", block)
+    pieces = connected_components(possible_links(members)).select(F.col("node").alias("sid"), F.col("root").alias("cid"))
+    sizes = pieces.groupBy("cid").agg(F.count("*").alias("size"))
+    wanted = pieces.join(sizes, "cid").join(sets.select("sid", "rep"), "sid")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    given = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("sid", "text")
-    links = verified_links(clusters.join(whole_sets(given), "sid"))
+    given = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("sid", "text", "cid", "size")
+    links = verified_links(in_blocks(whole_sets(given), "size", block))
     roots = connected_components(links)
     placed = rows.select("doc_id", "n", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     placed = placed.withColumn("root", F.coalesce("root", "sid"))
