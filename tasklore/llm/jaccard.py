@@ -39,12 +39,17 @@ def set_id(hashes: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes()))))
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(hashes >> np.uint64(20)) % np.uint64(BITS)] = True
+def bitmap(hashes: np.ndarray, n_bits: int = BITS) -> bytes:
+    bits = np.zeros(n_bits, bool)
+    bits[(hashes >> np.uint64(20)) % np.uint64(n_bits)] = True
     return np.packbits(bits).tobytes()
 
 
+def fine_bits(size: int, members: int) -> int:
+    """Width of the bitmaps of whole sets: 16 bits a shingle of the largest, in at most 64 MB for all members."""
+    return min(1 << (16 * size).bit_length(), 1 << (max(64 << 23, 1) // members).bit_length() - 1)
+
+
 def prefix_length(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
@@ -96,38 +101,48 @@ class SignatureTree:
             todo += [(level - 1, x, y) for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True)]
 
 
-def tree_components(sizes: np.ndarray, maps: np.ndarray, linked: Callable[[int, int], bool] | None = None) -> np.ndarray:
-    """The component of each member (the place of one of its members) under the pairs that bitmaps and sizes leave possible
-    and that linked, if given, confirms. Pairs within a component are not compared again."""
+def tree_components(
+    sizes: np.ndarray, maps: np.ndarray, fine: np.ndarray | None = None, linked: Callable[[int, int], bool] | None = None
+) -> np.ndarray:
+    """The component of each member (the place of one of its members) under the pairs that bitmaps and sizes leave possible,
+    that wider bitmaps (fine), if given, leave possible too, and that linked, if given, confirms. Pairs within a component
+    are not compared again."""
     n = len(sizes)
     if n == 2:
         most = np.bitwise_count(maps[0] & maps[1]).sum(dtype=np.int64) + min(sizes[k] - np.bitwise_count(maps[k]).sum(dtype=np.int64) for k in (0, 1))
         near = min(most, sizes.min()) >= needed(sizes[0], sizes[1]) and (linked is None or linked(0, 1))
         return np.array([0, 0 if near else 1])
     tree = SignatureTree(sizes, maps)
-    up = np.arange(n)  # in the tree's order
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = int(up[x])
-        return x
+    label = np.arange(n)  # of each member, in the tree's order
+    wide = None if fine is None else fine[tree.order]
+    over = None if wide is None else tree.sizes - np.bitwise_count(wide).sum(1, dtype=np.int64)
 
     def compare(xs: np.ndarray, ys: np.ndarray) -> bool:
-        """All pairs of two short lists of members."""
-        common = np.bitwise_count(tree.maps[xs][:, None] & tree.maps[ys][None]).sum(2, dtype=np.int64)
-        most = np.minimum(common + np.minimum(tree.surplus[xs][:, None], tree.surplus[ys][None]), np.minimum(tree.sizes[xs][:, None], tree.sizes[ys][None]))
+        """All pairs of two short lists of members in different components."""
+        x, y = np.nonzero(label[xs][:, None] != label[ys][None])
+        x, y = xs[x], ys[y]
+        if not len(x):
+            return False
+        least = needed(tree.sizes[x], tree.sizes[y])
+        ok = np.bitwise_count(tree.maps[x] & tree.maps[y]).sum(1, dtype=np.int64) + np.minimum(tree.surplus[x], tree.surplus[y]) >= least
+        ok &= np.minimum(tree.sizes[x], tree.sizes[y]) >= least
+        x, y, least = x[ok], y[ok], least[ok]
+        if wide is not None and len(x):
+            ok = np.bitwise_count(wide[x] & wide[y]).sum(1, dtype=np.int64) + np.minimum(over[x], over[y]) >= least
+            x, y = x[ok], y[ok]
         found = False
-        for p, q in zip(*np.nonzero(most >= needed(tree.sizes[xs][:, None], tree.sizes[ys][None])), strict=True):
-            x, y = int(xs[p]), int(ys[q])
-            if x != y and (a := find(x)) != (b := find(y)) and (linked is None or linked(int(tree.order[x]), int(tree.order[y]))):
-                up[max(a, b)] = min(a, b)
+        while len(x):
+            if linked is None or linked(int(tree.order[x[0]]), int(tree.order[y[0]])):
+                label[label == label[y[0]]] = label[x[0]]
                 found = True
+                left = label[x] != label[y]
+                x, y = x[left], y[left]
+            else:
+                x, y = x[1:], y[1:]
         return found
 
     leaf = lambda i: np.arange(i * LEAF, min(n, (i + 1) * LEAF))
-    n_leaves = len(tree.levels[0][0])
-    for i in range(n_leaves):
+    for i in range(len(tree.levels[0][0])):
         compare(leaf(i), leaf(i))
     heads = np.arange(0, n, LEAF)
     for k in range(0, len(heads), LEAF):  # leaves' first members against the first few: joins what is alike early
@@ -135,23 +150,19 @@ def tree_components(sizes: np.ndarray, maps: np.ndarray, linked: Callable[[int,
     whole: list[np.ndarray] = []
 
     def refresh() -> None:
-        roots = np.array([find(x) for x in range(n)])
         whole.clear()
-        starts, low, high = np.arange(0, n, LEAF), roots, roots
+        starts, low, high = np.arange(0, n, LEAF), label, label
         for _ in tree.levels:
             low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
             whole.append(np.where(low == high, low, -1))
             starts = np.arange(0, len(low), FAN)
 
     refresh()
-    stale = 0
     for i, j in tree.leaf_pairs(lambda level, nodes: whole[level][nodes]):
-        if i != j and not (whole[0][i] >= 0 and whole[0][i] == whole[0][j]) and compare(leaf(i), leaf(j)):
-            stale += 1
-            if stale % 16 == 1:
-                refresh()
+        if i != j and compare(leaf(i), leaf(j)):
+            refresh()
     out = np.empty(n, np.int64)
-    out[tree.order] = tree.order[[find(x) for x in range(n)]]
+    out[tree.order] = tree.order[label]
     return out
 
 
@@ -285,7 +296,10 @@ def verified_links(clusters: DataFrame) -> DataFrame:
 
             sizes = np.array([len(x) for x in sets])
             maps = np.frombuffer(b"".join(bitmap(x) for x in sets), np.uint64).reshape(-1, BITS // 64)
-            roots = own[tree_components(sizes, maps, linked)]
+            fine = None
+            if len(own) > LEAF and (n_bits := fine_bits(int(sizes.max()), len(own))) > BITS:
+                fine = np.frombuffer(b"".join(bitmap(x, n_bits) for x in sets), np.uint64).reshape(-1, n_bits // 64)
+            roots = own[tree_components(sizes, maps, fine, linked)]
             if (roots != own).any():
                 yield pa.RecordBatch.from_arrays([pa.array(own[roots != own]), pa.array(roots[roots != own])], ["a", "b"])
 
