@@ -1,5 +1,538 @@
-"""Queries by name, and their SQL."""
+"""Queries by operator, and the SQL that gives the same rows.
+
+Names start with the operator's number in the survey. Queries over interactions use the log made of orders; those with
+lectures use the log made of events. Sums of products and powers are rounded to nine places in both forms.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tasklore.functions import scalars as fn
+from tasklore.operators import encoders, history, items, sessions
+from tasklore.plans import models, replay
+from tasklore.sources import logs
+from tasklore.sources.store import cut
 
-FLAGSHIP = ""
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+ROW = ["user_id", "rn"]
+
+I = """with i as (
+  select user_id, ms - min(ms) over (partition by user_id) as ts_ms,
+    dense_rank() over (partition by user_id order by o_orderdate, l_orderkey) - 1 as task_container_id,
+    row_number() over (partition by user_id order by o_orderdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as rn,
+    l_partkey as content_id, y as answered_correctly, (l_partkey % 4)::int as correct_answer,
+    (case when y = 1 then l_partkey % 4 else (l_partkey % 4 + 1 + q % 3) % 4 end)::int as user_answer, l_quantity * 1000.0::double as elapsed_ms,
+    case when l_discount > 0.05 then 1 else 0 end as had_explanation, p_size % 7 + 1 as question_part, substr(p_brand, 7)::int as question_tag,
+    p_type as question_category, p_name as tags
+  from (select *, o_custkey as user_id, epoch_us(o_orderdate::timestamp) // 1000 as ms, case when l_returnflag <> 'R' then 1 else 0 end as y, trunc(l_quantity)::int as q
+        from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey))"""
+V = """with v0 as (
+  select *, epoch_us(ts::timestamp) // 1000 as ms, regexp_extract(props, '([0-9]+)', 1)::int as k from events), v as (
+  select user_id, ms - min(ms) over (partition by user_id) as ts_ms, row_number() over (partition by user_id order by ms, event_id) as rn,
+    row_number() over (partition by user_id order by ms, event_id) - 1 as task_container_id, k as content_id,
+    case when event_type = 'signup' then 1 else 0 end as content_type_id, k % 7 + 1 as part, k % 10 as tag,
+    case when value >= 30 then 1 else 0 end as answered_correctly, event_type as type_of from v0)"""
+BEFORE = "groups between unbounded preceding and 1 preceding"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(f"`{c}`"), 9) for c, t in df.dtypes if t == "double"})
+
+
+def _i(spark: SparkSession, d: str) -> DataFrame:
+    return logs.interactions(spark, d)
+
+
+def _v(spark: SparkSession, d: str) -> DataFrame:
+    return logs.watch_log(spark, d)
+
+
+def _sigmoid(n: str, least: float, value: float) -> str:
+    return f"(1 / (1 + exp(-({n} - {least}) / {value}::double)))"
+
+
+# history windows
+
+
+KEYS_SQL = "user_id, question_part"
+_W1 = f"""{I}, k as (select *, dense_rank() over (partition by {KEYS_SQL} order by ts_ms, task_container_id) as k from i),
+s as (select *, coalesce(sum(answered_correctly) over w, 0) as s, coalesce(sum(1) over w, 0)::double as n, max(ts_ms) over w as t, max(task_container_id) over w as c,
+  (select avg(answered_correctly) from i) as prior from k window w as (partition by {KEYS_SQL} order by k {BEFORE}))
+select user_id, rn, n as user_id_question_part_count, ts_ms - t as time_since_last_question_part, task_container_id - c as tasks_since_last_question_part,
+  round(case when n > 0 then {_sigmoid('n', 5, 2)} * s / n + (1 - {_sigmoid('n', 5, 2)}) * prior else prior end, 9) as user_id_question_part_score from s"""
+
+
+def _prior(df: DataFrame) -> float:
+    return df.agg(F.avg("answered_correctly")).first()[0]
+
+
+@query(_W1)
+def w1_rolling_score(spark, d):
+    log = _i(spark, d)
+    out = history.rolling_score(log, ["user_id", "question_part"], (5, 2), _prior(log), time_since_last=True)
+    names = ["user_id_question_part_score", "user_id_question_part_count", "time_since_last_question_part", "tasks_since_last_question_part"]
+    return rounded(out.select(*ROW, *names))
+
+
+@query(f"""{I}, k as (select *, dense_rank() over (partition by user_id order by ts_ms, task_container_id) as k from i),
+s as (select *, coalesce(sum(answered_correctly) over w, 0) as s, coalesce(sum(1) over w, 0) as n from k window w as (partition by user_id order by k {BEFORE}))
+select user_id, rn, n::double as user_id_count, round(case when n > 0 then s / n end, 9) as user_id_score from s""")
+def w1_raw_score(spark, d):
+    return rounded(history.rolling_score(_i(spark, d), ["user_id"]).select(*ROW, "user_id_score", "user_id_count"))
+
+
+@query(f"""{I}, k as (select *, dense_rank() over (partition by user_id order by ts_ms, task_container_id) as k from i),
+s as (select *, coalesce(sum(answered_correctly) over w, 0) as s, coalesce(sum(1) over w, 0) as n from k window w as (partition by user_id order by rn rows between 5 preceding and 1 preceding)),
+f as (select *, first(s) over t as fs, first(n) over t as fn from s window t as (partition by user_id, k order by rn))
+select user_id, rn, fn::double as user_id_count_5, round(case when fn > 0 then fs / fn end, 9) as user_id_score_5 from f""")
+def w2_last_n(spark, d):
+    return rounded(history.rolling_score(_i(spark, d), ["user_id"], rolling=5).select(*ROW, "user_id_score_5", "user_id_count_5"))
+
+
+_WEIGHT = "case when answered_correctly = 0 then 0.3 else 0.7 end::double"
+
+
+def _weighted(spark, d):
+    return _i(spark, d).withColumn("answer_weight", fn.answer_weight(F.lit(0.3), F.col("answered_correctly")))
+
+
+@query(f"""{I}, k as (select *, {_WEIGHT} as w0, dense_rank() over (partition by user_id order by ts_ms, task_container_id) as k from i),
+s as (select *, coalesce(sum(answered_correctly * w0) over w, 0) as s, coalesce(sum(w0) over w, 0) as n from k window w as (partition by user_id order by k {BEFORE}))
+select user_id, rn, round(n, 9) as user_id_weighted_count, round(case when n > 0 then s / n end, 9) as user_id_weighted_score from s""")
+def w3_weighted(spark, d):
+    return rounded(history.rolling_score(_weighted(spark, d), ["user_id"], weighted=True).select(*ROW, "user_id_weighted_score", "user_id_weighted_count"))
+
+
+def _decay_sql(keys: str, name: str, decay: float, weight: str = "1.0::double") -> str:
+    score, count = name
+    return f"""{I}, k as (select *, {weight} as w0, dense_rank() over (partition by {keys} order by ts_ms, task_container_id) - 1 as k from i),
+s as (select *, coalesce(sum(answered_correctly * w0 * pow({decay}, -k)) over w, 0) * pow({decay}, k) as s, coalesce(sum(w0 * pow({decay}, -k)) over w, 0) * pow({decay}, k) as n
+  from k window w as (partition by {keys} order by k {BEFORE}))
+select user_id, rn, round(n, 9) as {count}, round(case when n > 0 then s / n end, 9) as {score} from s"""
+
+
+@query(_decay_sql("user_id, question_category", ('"user_id_question_category_score_decay_0.9"', '"user_id_question_category_count_decay_0.9"'), 0.9))
+def w4_decayed(spark, d):
+    keys = ["user_id", "question_category"]
+    return rounded(history.rolling_score(_i(spark, d), keys, decay=0.9).select(*ROW, *[f"`{x}`" for x in history.score_name(keys, False, None, 0.9)]))
+
+
+@query(_decay_sql("user_id", ('"user_id_weighted_score_decay_0.98"', '"user_id_weighted_count_decay_0.98"'), 0.98, _WEIGHT))
+def w4b_weighted_decayed(spark, d):
+    return rounded(history.rolling_score(_weighted(spark, d), ["user_id"], weighted=True, decay=0.98).select(*ROW, *[f"`{x}`" for x in history.score_name(["user_id"], True, None, 0.98)]))
+
+
+@query()
+def w4d_weighted_last_n(spark, d):
+    return rounded(items.weighted_rolling(_weighted(spark, d), ["user_id"], 3.0).select(*ROW, "weighted_score_n", "weighted_count_n"))
+
+
+_LAST = "last_value(case when content_type_id = 1 then {0} end ignore nulls) over (partition by user_id order by rn rows unbounded preceding)"
+
+
+@query(f"""{V} select user_id, rn, {_LAST.format('ts_ms')} as last_ts, {_LAST.format('content_id')} as last_id from v""")
+def w6_last_lecture(spark, d):
+    return _v(spark, d).select(*ROW, history.last_lecture("ts_ms").alias("last_ts"), history.last_lecture("content_id").alias("last_id"))
+
+
+@query(f"""{V} select user_id, rn, (sum(content_type_id) over w)::bigint as n_lectures, count(*) over w as n_rows,
+  {', '.join(f"(sum(case when content_type_id = 1 and part = {k} then 1 else 0 end) over w)::bigint as n_part{k}" for k in range(1, 8))}
+from v window w as (partition by user_id order by rn rows unbounded preceding)""")
+def w7_running_counts(spark, d):
+    log = _v(spark, d)
+    out = log.withColumns({"n_lectures": history.running(F.col("content_type_id"), ["user_id"]), "n_rows": history.running(F.lit(1), ["user_id"])})
+    out = history.category_counts(out, "part", list(range(1, 8)), "n_part", F.col("content_type_id") == 1)
+    return out.select(*ROW, "n_lectures", "n_rows", *[f"n_part{k}" for k in range(1, 8)])
+
+
+@query(f"""{I}, t as (select user_id, task_container_id, avg(elapsed_ms) as e, avg(had_explanation) as h from i group by all),
+l as (select user_id, task_container_id, {', '.join(f"lag({a}, {k}) over w as {b}_lag_{k}" for a, b in (('e', 'elapsed_ms'), ('h', 'had_explanation')) for k in (1, 2, 3))}
+  from t window w as (partition by user_id order by task_container_id))
+select i.user_id, rn, {', '.join(f"round({b}_lag_{k}, 9) as {b}_lag_{k}" for b in ('elapsed_ms', 'had_explanation') for k in (1, 2, 3))} from i left join l using (user_id, task_container_id)""")
+def w10_task_lags(spark, d):
+    names = ["elapsed_ms", "had_explanation"]
+    return rounded(history.task_lags(_i(spark, d), names).select(*ROW, *[f"{n}_lag_{k}" for n in names for k in (1, 2, 3)]))
+
+
+@query(f"""{V} select user_id, rn, ts_ms - lag(ts_ms) over w as gap, lead(ts_ms) over w - ts_ms as until_next from v window w as (partition by user_id order by rn)""")
+def w11_differences(spark, d):
+    w = Window.partitionBy("user_id").orderBy("rn")
+    return _v(spark, d).select(*ROW, (F.col("ts_ms") - F.lag("ts_ms").over(w)).alias("gap"), (F.lead("ts_ms").over(w) - F.col("ts_ms")).alias("until_next"))
+
+
+@query(f"""{I} select user_id, rn, content_id from i qualify row_number() over (partition by user_id order by rn desc) <= 3""")
+def w14_last_rows(spark, d):
+    return history.last_rows(_i(spark, d), ["user_id"], 3).select(*ROW, "content_id")
+
+
+@query(f"""{I}, k as (select *, dense_rank() over (partition by user_id order by ts_ms, task_container_id) as k from i),
+l as (select *, {', '.join(f"lag(content_id, {k}) over (partition by user_id order by rn) as l{k}" for k in (1, 2, 3))} from k)
+select user_id, rn, {', '.join(f"first(l{k}) over (partition by user_id, k order by rn) as content_id_before_{k}" for k in (1, 2, 3))} from l""")
+def w17_rows_before_task(spark, d):
+    return history.row_lags(_i(spark, d), "content_id").select(*ROW, *[f"content_id_before_{k}" for k in (1, 2, 3)])
+
+
+# encoders
+
+_RATIOS = """, c as (select content_id, correct_answer, user_answer, count(*) as n from i group by all),
+t as (select *, sum(n) over (partition by content_id) as total, case when user_answer = correct_answer then 1 else 0 end as is_correct from c),
+p as (select is_correct, sum(n) / sum(total) as prior from t group by is_correct),
+r as (select content_id, user_answer, is_correct, {w} * n / total + (1 - {w}) * prior as answer_ratio from t join p using (is_correct))"""
+_R51, _R102 = (_RATIOS.replace("{w}", _sigmoid("total", *x)) for x in ((5, 1), (10, 2)))
+
+
+@query(f"""{I}{_R51} select content_id, user_answer, is_correct, round(answer_ratio, 9) as answer_ratio from r""")
+def a5_answer_ratios(spark, d):
+    return rounded(encoders.answer_ratios(_i(spark, d), (5, 1)))
+
+
+@query(f"""{I}{_R51}, k as (select user_id, task_container_id, avg(answer_ratio) as a from i left join r using (content_id, user_answer) group by all),
+l as (select user_id, task_container_id, lag(a) over (partition by user_id order by task_container_id) as a from k)
+select i.user_id, rn, round(a, 9) as prior_answer_ratio from i left join l using (user_id, task_container_id)""")
+def a6_prior_answer_ratio(spark, d):
+    return rounded(encoders.prior_answer_ratio(_i(spark, d)).select(*ROW, "prior_answer_ratio"))
+
+
+@query(f"""{I}{_R102}, n as (select *, row_number() over (partition by content_id order by answer_ratio desc, user_answer) as nth from r where is_correct = 0),
+w as (select content_id, {', '.join(f"coalesce(max(case when nth = {k} then answer_ratio end), 0) as answer_{k + 1}_ratio" for k in (1, 2, 3))} from n group by content_id)
+select i.user_id, rn, {', '.join(f"round(coalesce(answer_{k}_ratio, (select avg(answer_{k}_ratio) from w)), 9) as answer_{k}_ratio" for k in (2, 3, 4))} from i left join w using (content_id)""")
+def a7_incorrect_answers(spark, d):
+    log = _i(spark, d)
+    return rounded(encoders.with_incorrect_answers(log, encoders.incorrect_answers(log)).select(*ROW, *encoders.WRONG))
+
+
+@query(f"""{I}{_R102}, e as (select content_id, {', '.join(f"coalesce(max(case when user_answer = {k} then answer_ratio end), 0) as e{k}" for k in range(4))} from r group by content_id),
+x as (select *, rn - 1 as k from i join e using (content_id)),
+s as (select *, {', '.join(f"coalesce(sum((case when user_answer = {k} then 1 else 0 end) * pow(0.99, -k)) over w, 0) * pow(0.99, k - 1) as sa{k}, coalesce(sum(e{k} * pow(0.99, -k)) over w, 0) * pow(0.99, k - 1) as se{k}" for k in range(4))}
+  from x window w as (partition by user_id order by k rows between unbounded preceding and 1 preceding)),
+f as (select user_id, rn, [sa0, sa1, sa2, sa3][correct_answer + 1] as a, [se0, se1, se2, se3][correct_answer + 1] as n from s)
+select user_id, rn, round(case when n > 0 then {_sigmoid('n', 4, 1)} * a / n + (1 - {_sigmoid('n', 4, 1)}) else 1 end, 9) as user_answer_frequency from f""")
+def a8_answer_frequency(spark, d):
+    return rounded(encoders.answer_frequency(_i(spark, d)).select(*ROW, "user_answer_frequency"))
+
+
+@query(f"""{I}, f as (select content_id, sum(answered_correctly) as s, count(*) as n from i group by content_id)
+select user_id, rn, round({_sigmoid('n', 5, 1)} * s / n + (1 - {_sigmoid('n', 5, 1)}) * (select avg(answered_correctly) from i), 9) as content_id_encoded from i join f using (content_id)""")
+def a2_score_encoder(spark, d):
+    return rounded(encoders.score_encoder(_i(spark, d), ["content_id"]).select(*ROW, "content_id_encoded"))
+
+
+@query(f"""{I}, f as (select content_id, sum(answered_correctly) as s, count(*) as n from i group by content_id),
+e as (select i.*, {_sigmoid('n', 5, 1)} * s / n + (1 - {_sigmoid('n', 5, 1)}) * (select avg(answered_correctly) from i) as parent from i join f using (content_id)),
+g as (select had_explanation, content_id, sum(answered_correctly) as s, count(*) as n from i group by all)
+select user_id, rn, round({_sigmoid('n', 20, 5)} * s / n + (1 - {_sigmoid('n', 20, 5)}) * parent, 9) as had_explanation_content_id_encoded from e join g using (had_explanation, content_id)""")
+def a2_score_encoder_with_parent(spark, d):
+    parent = encoders.score_encoder(_i(spark, d), ["content_id"])
+    out = encoders.score_encoder(parent, ["had_explanation", "content_id"], (20, 5), parent="content_id_encoded")
+    return rounded(out.select(*ROW, "had_explanation_content_id_encoded"))
+
+
+@query(f"""{I}, x as (select *, (user_id % 5)::int as fold from i), t as (select content_id, fold, sum(answered_correctly) as s, count(*) as n from x group by all),
+u as (select content_id, fold, sum(s) over w - s as s, sum(n) over w - n as n from t window w as (partition by content_id)),
+p as (select fold, (sum(sum(answered_correctly)) over () - sum(answered_correctly)) / (sum(count(*)) over () - count(*)) as prior from x group by fold)
+select user_id, rn, fold, round(case when n > 0 then {_sigmoid('n', 5, 1)} * s / n + (1 - {_sigmoid('n', 5, 1)}) * prior else prior end, 9) as content_id_encoded from x join u using (content_id, fold) join p using (fold)""")
+def a3_score_encoder_oof(spark, d):
+    return rounded(encoders.score_encoder_oof(_i(spark, d), ["content_id"]).select(*ROW, "fold", "content_id_encoded"))
+
+
+@query(f"""{I} select user_id, rn, round(count(*) over (partition by question_category) / (count(*) over ()), 9) as question_category_ratio from i""")
+def a4_ratio_encoder(spark, d):
+    return rounded(encoders.ratio_encoder(_i(spark, d), "question_category").select(*ROW, "question_category_ratio"))
+
+
+@query(f"""{I}, a as (select median(elapsed_ms) as m from i), q as (select content_id, median(elapsed_ms) as o, count(*) as n from i group by content_id)
+select content_id, round({_sigmoid('n', 5, 1)} * o + (1 - {_sigmoid('n', 5, 1)}) * m, 9) as mean_content_time from q, a""")
+def a9_question_times(spark, d):
+    return rounded(sessions.question_times(_i(spark, d), "elapsed_ms"))
+
+
+@query(f"""{I} select user_id, rn, count(*) over (partition by user_id, task_container_id) as task_size,
+  max(case when task_container_id = 0 and content_id = 79 then 1 else 0 end) over (partition by user_id) as user_79 from i""")
+def a10_task_size_and_flag(spark, d):
+    return sessions.first_task_flag(sessions.task_size(_i(spark, d)), 79, "user_79").select(*ROW, "task_size", "user_79")
+
+
+@query(f"""{I} select question_category, count(*) as n_rows, count(distinct user_id) as n_users, min(elapsed_ms) as low, median(elapsed_ms) as mid, max(elapsed_ms) as high,
+  count(*) filter (where had_explanation = 1) as n_explained from i group by question_category""")
+def a14_profile(spark, d):
+    return _i(spark, d).groupBy("question_category").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("n_users"), F.min("elapsed_ms").alias("low"), F.median("elapsed_ms").alias("mid"),
+        F.max("elapsed_ms").alias("high"), F.count_if(F.col("had_explanation") == 1).alias("n_explained"),
+    )
+
+
+@query("""with p as (select p_partkey, p_brand, case when p_partkey % 3 > 0 then p_type end as p_type from part),
+n as (select p_brand, p_type, count(*) as n from p where p_type is not null group by all),
+u as (select p_brand, p_type as usual from n qualify row_number() over (partition by p_brand order by n desc, p_type) = 1)
+select p_partkey, coalesce(p_type, usual) as p_type from p left join u using (p_brand)""")
+def a15_usual_category(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).alias("p_type"))
+    return items.usual_category(part, "p_brand", "p_type").select("p_partkey", "p_type")
+
+
+# sessions, lectures, scalars
+
+_SESSION = f"""{V}, g as (select *, case when ts_ms - coalesce(lag(ts_ms) over (partition by user_id order by rn), 0) >= 7200000 then 1 else 0 end as new from v),
+s as (select *, sum(new) over (partition by user_id order by rn rows unbounded preceding)::bigint as session_id from g)"""
+
+
+@query(f"""{_SESSION} select user_id, rn, session_id from s""")
+def f1_sessions(spark, d):
+    return sessions.session_ids(_v(spark, d)).select(*ROW, "session_id")
+
+
+@query(f"""{_SESSION}, x as (select *, ts_ms - min(ts_ms) over (partition by user_id, session_id) as session_time, ts_ms - lag(ts_ms) over (partition by user_id, session_id order by rn) as diff from s),
+t as (select user_id, session_id, task_container_id, nullif(sum(diff) / nullif(count(diff), 0), 0) as content_time from x where content_type_id = 0 group by all),
+q as (select user_id, task_container_id, content_time, lag(content_time) over (partition by user_id, session_id order by task_container_id) as prior_question_time from t),
+k as (select user_id, task_container_id, task_container_id - lag(task_container_id) over (partition by user_id order by task_container_id) as task_diff from (select distinct user_id, task_container_id from v))
+select x.user_id, rn, session_id, session_time, nullif(case when content_type_id = 1 then diff end, 0) as lecture_time, content_time, prior_question_time, task_diff
+from x left join q using (user_id, task_container_id) left join k using (user_id, task_container_id)""")
+def f2_session_times(spark, d):
+    out = sessions.session_features(_v(spark, d))
+    return out.select(*ROW, "session_id", "session_time", "lecture_time", F.col("content_time").cast("double").alias("content_time"), F.col("prior_question_time").cast("double").alias("prior_question_time"), "task_diff")
+
+
+_BUCKET_12 = "case when {0} <= -2 then -2 when {0} <= 2 then {0} when {0} <= 10 then 10 when {0} <= 20 then 20 when {0} <= 30 then 30 when {0} <= 50 then 50 when {0} <= 100 then 100 when {0} <= 300 then 300 else 500 end::int"
+_BUCKET_3 = "case when {0} <= 0 then 0 when {0} <= 2 then 1 else 3 end::int"
+
+
+@query(f"""{V}, c as (select user_id, rn, part, ts_ms, task_container_id, {', '.join(f"(sum(case when content_type_id = 1 and part = {k} then 1 else 0 end) over w)::bigint as p{k}" for k in range(1, 8))},
+  (sum(content_type_id) over w)::bigint as n_lectures, {_LAST.format('ts_ms')} as lt, {_LAST.format('task_container_id')} as lk, {_LAST.format('content_id')} as li, {_LAST.format('tag')} as lg, {_LAST.format('part')} as lp
+  from v window w as (partition by user_id order by rn rows unbounded preceding)), b as (select *, coalesce(task_container_id - lk, 0) as since from c)
+select user_id, rn, n_lectures, [p1, p2, p3, p4, p5, p6, p7][part] as n_lectures_on_question_part, ts_ms - lt as time_since_last_lecture, task_container_id - lk as tasks_since_last_lecture,
+  coalesce(li, -1) as lecture_id, coalesce(lg, -1) as lecture_tag, coalesce(lp, 0) - 1 as lecture_part, {_BUCKET_12.format('since')} as tasks_bucket_12, {_BUCKET_3.format('since')} as tasks_bucket_3 from b""")
+def f4_lectures(spark, d):
+    out = sessions.lectures_on_part(sessions.lecture_features(_v(spark, d)))
+    return out.select(*ROW, "n_lectures", "n_lectures_on_question_part", "time_since_last_lecture", "tasks_since_last_lecture", "lecture_id", "lecture_tag", "lecture_part", "tasks_bucket_12", "tasks_bucket_3")
+
+
+@query(f"""select l_orderkey, l_linenumber, l_partkey, x, {_BUCKET_12.format('x')} as b12, {_BUCKET_3.format('x')} as b3,
+  (case when x <= 15 then 15 when x < 30 then 30 when x = 30 then 40 when x <= 50 then ceil(x / 10) * 10 when x <= 1000 then ceil(x / 100) * 100 else ceil(x / 1000) * 1000 end)::int as grp
+from (select *, l_partkey - 100 as x from lineitem)""")
+def p7_buckets(spark, d):
+    x = F.col("x")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") - 100).alias("x"))
+    return rows.withColumns({"b12": fn.tasks_bucket_12(x), "b3": fn.tasks_bucket_3(x), "grp": fn.tasks_group(x)})
+
+
+@query(f"""{I}, c as (select user_id, rn, ts_ms, rn - 1 as user_id_count, had_explanation as x_count from i)
+select user_id, rn, round(coalesce(user_id_count * 86400000 / nullif(ts_ms, 0), 0), 9) as user_id_density, round(coalesce(x_count / nullif(user_id_count, 0), 0), 9) as x_density,
+  round(x_count / case when user_id_count = 0 then 0.00001 else user_id_count end, 9) as ratio from c""")
+def p11_densities(spark, d):
+    rows = _i(spark, d).select(*ROW, "ts_ms", (F.col("rn") - 1).alias("user_id_count"), F.col("had_explanation").alias("x_count"))
+    out = fn.densities(rows, ["x_count"]).withColumn("ratio", fn.ratio(F.col("x_count"), F.col("user_id_count")))
+    return rounded(out.select(*ROW, "user_id_density", "x_density", "ratio"))
+
+
+@query("""with f as (select 'p_partkey' as "column", min(p_partkey)::bigint as lo, max(p_partkey)::bigint as hi from part union all select 'p_size', min(p_size)::bigint, max(p_size)::bigint from part)
+select *, case when lo >= -128 and hi < 128 then 'tinyint' when lo >= -32768 and hi < 32768 then 'smallint' when lo >= -2147483648 and hi < 2147483648 then 'int' else 'bigint' end as type from f""")
+def p3_smallest_int(spark, d):
+    return fn.smallest_int(spark.read.parquet(f"{d}/part.parquet"), ["p_partkey", "p_size"])
+
+
+@query("""with n as (select p_name, row_number() over (order by p_name) - 1 as question_tags from (select distinct p_name from part))
+select p_partkey, question_tags, split_part(p_name, ' ', 1) as question_tag from part join n using (p_name)""")
+def p5_question_tags(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name")
+    return items.tag_features(part, "p_name").select("p_partkey", F.col("question_tags").cast("long").alias("question_tags"), "question_tag")
+
+
+@query(f"""{V} select user_id, rn, answered_correctly from v where content_type_id = 0""")
+def p4_remove_lectures(spark, d):
+    return _v(spark, d).where("content_type_id = 0").select(*ROW, "answered_correctly")
+
+
+# users, joins, items
+
+
+@query(f"""{I}, f as (select user_id from i group by user_id order by min(user_id) limit 20) select user_id, rn, content_id from i semi join f using (user_id)""")
+def s4_first_users(spark, d):
+    return logs.first_users(_i(spark, d), 20, ["user_id"]).select(*ROW, "content_id")
+
+
+@query(f"""{I} select user_id, rn, content_id from i order by user_id, rn limit 100""")
+def s5_first_rows(spark, d):
+    return logs.first_rows(_i(spark, d).select(*ROW, "content_id"), 100, ROW)
+
+
+@query("""select c_custkey, c_mktsegment, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
+def j4_dimensions(spark, d):
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    out = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return out.select("c_custkey", "c_mktsegment", "n_name", "r_name")
+
+
+@query("""with w as (select distinct p_name, unnest(string_split(p_name, ' ')) as t from part where p_partkey < 400), i as (select p_partkey, p_name from part where p_partkey < 400),
+x as (select p_partkey, t from i join w using (p_name)) select a.p_partkey as src, b.p_partkey as dst, count(*) as w from x a join x b on a.t = b.t and a.p_partkey <> b.p_partkey group by all""")
+def j13_tag_graph(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 400")
+    return items.tag_graph(part, "p_partkey", "p_name")
+
+
+@query("""with s as (select distinct p_name as n, list_distinct(string_split(p_name, ' ')) as t from part)
+select a.n as a, b.n as b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 9) as similarity from s a, s b where len(list_intersect(a.t, b.t)) > 0""")
+def e2_tag_similarity(spark, d):
+    return rounded(items.tag_similarity(spark.read.parquet(f"{d}/part.parquet"), "p_name"))
+
+
+@query(f"""{I} select user_id, string_agg(content_id::varchar, ' ' order by rn) as sentence from i group by user_id""")
+def e4_sentences(spark, d):
+    out = items.sentences(_i(spark, d), F.col("content_id"))
+    return out.select("user_id", F.array_join("tokens", " ").alias("sentence"))
+
+
+@query("""select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
+def e9_cosine(spark, d):
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    a, b = v.alias("a"), v.alias("b")
+    out = a.join(b, F.col("b.vec_id") == F.col("a.vec_id") + 1)
+    return rounded(out.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), items.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("similarity")))
+
+
+_CHUNKS = f"""{I}, n as (select user_id, content_id, row_number() over (partition by user_id order by rn) - 1 + (10 - count(*) over (partition by user_id) % 10) % 10 as p from i),
+c as (select user_id, (p // 10)::bigint as chunk, list(content_id order by p) as l from n group by all), q as (select user_id, chunk, list_concat(list_transform(range(10 - len(l)), lambda x: 0), l) as seq from c)"""
+
+
+@query(f"""{_CHUNKS} select user_id, chunk, array_to_string(seq, ' ') as seq from q""")
+def e11_padded_chunks(spark, d):
+    return items.padded_chunks(_i(spark, d), F.col("content_id"), 10).select("user_id", "chunk", F.array_join(F.col("seq").cast("array<string>"), " ").alias("seq"))
+
+
+@query(f"""{_CHUNKS} select user_id, chunk, array_to_string(seq[2:], ' ') as encoder, array_to_string(seq[:9], ' ') as decoder, array_to_string(seq[2:], ' ') as label from q""")
+def e12_shifted(spark, d):
+    out = items.shifted(items.padded_chunks(_i(spark, d), F.col("content_id"), 10))
+    return out.select("user_id", "chunk", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("encoder", "decoder", "label")])
+
+
+@query(f"""{I}, f as (select avg(ln(elapsed_ms / 1000 + 1)) as m, stddev_pop(ln(elapsed_ms / 1000 + 1)) as s from i) select user_id, rn, round((ln(elapsed_ms / 1000 + 1) - m) / s, 9) as elapsed_ms_z from i, f""")
+def e15_log_times(spark, d):
+    return rounded(items.log_time_scores(_i(spark, d), "elapsed_ms").select(*ROW, "elapsed_ms_z"))
+
+
+@query()
+def e3_communities(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.hash("p_name").cast("long").alias("name"), "p_name").distinct()
+    return items.communities(items.tag_graph(part, "name", "p_name"))
+
+
+@query()
+def e5_item_vectors(spark, d):
+    return items.item_vectors(_i(spark, d), F.col("content_id"))
+
+
+@query()
+def e6_clusters(spark, d):
+    return items.clusters(spark.read.parquet(f"{d}/embeddings.parquet"), 10, "embedding").select("vec_id", "category")
+
+
+# replay, models
+
+_U = "((user_id * 2654435761) % 4294967296)::double / 4294967296"
+_G = f"""{V}, s as (select user_id, max(ts_ms) as d from v group by user_id), a as (select ceil(max(d) / 86400000.0) * 86400000 as m from s),
+g as (select v.*, round({_U.replace('user_id', 's.user_id')} * (m - d))::bigint + ts_ms as global_ts from v join s using (user_id), a),
+t as (select user_id, task_container_id, global_ts, count(*) as n from g group by all),
+c as (select *, sum(n) over (order by floor(global_ts / 86400000.0) desc, global_ts desc, user_id, task_container_id rows unbounded preceding) as upto from t),
+h as (select user_id, task_container_id, global_ts from c where upto <= 2000)"""
+
+
+@query(f"""{_G} select * from h""")
+def v1_latest_tasks(spark, d):
+    return replay.latest_tasks(replay.global_times(_v(spark, d)), 2000)
+
+
+_B = f"""{_G}, b0 as (select *, row_number() over w - 1 as nth, greatest(200 - count(*) over (partition by user_id) + 1, 1) as places from h window w as (partition by user_id order by global_ts, task_container_id)),
+b as (select user_id, task_container_id, (floor({_U} * places) + nth)::bigint as batch_id from b0)"""
+
+
+def _batches(spark, d):
+    return replay.deal_batches(replay.latest_tasks(replay.global_times(_v(spark, d)), 2000), 200)
+
+
+@query(f"""{_B} select * from b""")
+def v2_batches(spark, d):
+    return _batches(spark, d)
+
+
+@query(f"""{_B}, l as (select batch_id from (select batch_id, percent_rank() over (order by batch_id) as r from (select distinct batch_id from b)) where r > 0.9)
+select v.user_id, rn, case when b.batch_id is null then 'train' when l.batch_id is null then 'test' else 'validation' end as part from v left join b using (user_id, task_container_id) left join l on l.batch_id = b.batch_id""")
+def v3_split(spark, d):
+    train, test, late = replay.split(_v(spark, d), _batches(spark, d), 0.1)
+    tagged = lambda df, name: df.select(*ROW, F.lit(name).alias("part"))
+    return tagged(train, "train").unionByName(tagged(test, "test")).unionByName(tagged(late, "validation"))
+
+
+@query(f"""{_B}, x as (select batch_id, user_id, rn, answered_correctly as y from v join b using (user_id, task_container_id)),
+o as (select *, row_number() over (partition by batch_id order by user_id, rn) as nth from x),
+l as (select batch_id + 1 as batch_id, '[' || string_agg(y::varchar, ',' order by user_id, rn) || ']' as c from x group by batch_id)
+select batch_id, user_id, rn, case when nth = 1 then c end as prior_group_answers_correct from o left join l using (batch_id)""")
+def t11_replay_batches(spark, d):
+    rows = _v(spark, d).join(_batches(spark, d), ["user_id", "task_container_id"]).withColumn("user_answer", F.col("content_id") % 4)
+    return replay.replay_batches(rows).select("batch_id", *ROW, "prior_group_answers_correct")
+
+
+@query("""with s as (select quality, (doc_id * 7919) % 1000 as score from labels), r as (select quality, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as r from s)
+select round((sum(case when quality = 1 then r end) - count(*) filter (where quality = 1) * (count(*) filter (where quality = 1) + 1) / 2.0) / (count(*) filter (where quality = 1) * count(*) filter (where quality = 0)), 9) as auc from r""")
+def m8_roc_auc(spark, d):
+    rows = spark.read.parquet(f"{d}/labels.parquet").select("quality", (F.col("doc_id") * 7919 % 1000).alias("score"))
+    return rounded(models.roc_auc(rows, "score", "quality"))
+
+
+@query("""with s as (select doc_id, quality as y, ((doc_id * 7919) % 1000 + 0.5) / 1000 as p from labels)
+select doc_id, round(-(y * ln(p) + (1 - y) * ln(1 - p)), 9) as bce, round(-(0.25 * y * pow(1 - p, 2) * ln(p) + 0.75 * (1 - y) * pow(p, 2) * ln(1 - p)), 9) as focal,
+  round(least(1 / sqrt(doc_id + 1), (doc_id + 1) * pow(4000, -1.5)) / sqrt(256), 9) as rate from s""")
+def m9_losses(spark, d):
+    p, y = (F.col("doc_id") * 7919 % 1000 + 0.5) / 1000, F.col("quality")
+    rows = spark.read.parquet(f"{d}/labels.parquet")
+    return rounded(rows.select("doc_id", models.log_loss(p, y).alias("bce"), models.focal_loss(p, y).alias("focal"), models.warmup_rate(F.col("doc_id") + 1, 256, 4000).alias("rate")))
+
+
+@query()
+def m5_scaling_plan(spark, d):
+    return models.scaling_plan(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_quantity", "l_extendedprice", "l_discount"])
+
+
+@query()
+def m6_blend(spark, d):
+    log = history.rolling_score(history.rolling_score(_i(spark, d), ["user_id"]), ["user_id"], decay=0.9)
+    log = encoders.score_encoder_oof(log, ["content_id"])
+    columns = ["user_id_score", "recent", "content_id_encoded", "elapsed_ms"]
+    log = cut(log.withColumn("recent", F.col("`user_id_score_decay_0.9`")).select(*ROW, "fold", "answered_correctly", *columns))
+    return models.blended(log.where("fold < 3"), log.where("fold >= 3"), columns, "answered_correctly", ROW, ("boosted", "forest"))
+
+
+@query()
+def f11_feature_frame(spark, d):
+    """The main pipeline's history features, in its order, on one log. Encoders read the log twice, so it is cut between."""
+    log = cut(_i(spark, d))
+    prior = _prior(log)
+    log = cut(encoders.with_incorrect_answers(log, encoders.incorrect_answers(log)))
+    log = cut(encoders.prior_answer_ratio(log))
+    log = cut(encoders.answer_frequency(log))
+    for column in ("question_category", "content_id"):
+        log = cut(encoders.ratio_encoder(log, column))
+    log = cut(encoders.score_encoder_oof(log, ["content_id"]))
+    log = log.withColumn("answer_weight", fn.answer_weight(F.col("content_id_encoded"), F.col("answered_correctly")))
+    for keys in (["user_id"], ["user_id", "question_part"], ["user_id", "question_category"]):
+        log = history.rolling_score(log, keys, (5, 2), prior)
+        log = history.rolling_score(log, keys, (2.5, 1), prior, rolling=20)
+        log = history.rolling_score(log, keys, (2, 1), prior, weighted=True)
+        log = cut(history.rolling_score(log, keys, (1, 1), prior, decay=0.9))
+    log = history.task_lags(log, ["content_id_encoded", "elapsed_ms", "prior_answer_ratio"])
+    log = fn.densities(log.withColumn("user_id_count", F.col("rn") - 1), ["user_id_question_part_count", "user_id_question_category_count"])
+    return log.drop("answer_weight", "fold")
+
+
+FLAGSHIP = "w1_rolling_score"
