@@ -77,9 +77,9 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
-def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = LEAST) -> list[tuple[int, int, int]]:
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = LEAST, gram: int = GRAM) -> list[tuple[int, int, int]]:
     """Members of one anchor by their left contexts, reversed, and right contexts -> (member, left, right): the reach of
-    strings of `least` bytes or more that the member shares with another one."""
+    strings of `least` bytes or more, `gram` of them to the right, that the member shares with another one."""
     out: list[tuple[int, int, int]] = []
     same: dict[tuple[bytes, bytes], list[int]] = {}
     for k, both in enumerate(zip(lefts, rights, strict=True)):
@@ -118,7 +118,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = LEAST)
         while stack and stack[-1][0] > prefix:
             right, before = stack.pop()
             now = merge(before, now, right)
-        if prefix < min(GRAM, least):
+        if prefix < gram:
             stack.clear()  # nothing in common from here on
         elif stack and stack[-1][0] == prefix:
             stack[-1] = prefix, merge(stack[-1][1], now, prefix)
