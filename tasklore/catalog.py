@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tasklore.functions import scalars as fn
-from tasklore.operators import encoders, history, items, sessions
+from tasklore.operators import encoders, history, items, sequences, sessions
 from tasklore.plans import models, replay
 from tasklore.sources import logs
 from tasklore.sources.store import cut
@@ -375,11 +375,10 @@ def j4_dimensions(spark, d):
     return out.select("c_custkey", "c_mktsegment", "n_name", "r_name")
 
 
-@query("""with w as (select distinct p_name, unnest(string_split(p_name, ' ')) as t from part where p_partkey < 400), i as (select p_partkey, p_name from part where p_partkey < 400),
-x as (select p_partkey, t from i join w using (p_name)) select a.p_partkey as src, b.p_partkey as dst, count(*) as w from x a join x b on a.t = b.t and a.p_partkey <> b.p_partkey group by all""")
+@query("""with c as (select p_name, count(*) as n from part group by all), w as (select p_name, n, unnest(list_distinct(string_split(p_name, ' '))) as t from c)
+select a.p_name as src, b.p_name as dst, count(*) as w, any_value(a.n) as src_items, any_value(b.n) as dst_items from w a join w b on a.t = b.t and (a.p_name <> b.p_name or a.n > 1) group by all""")
 def j13_tag_graph(spark, d):
-    part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 400")
-    return items.tag_graph(part, "p_partkey", "p_name")
+    return items.tag_class_graph(spark.read.parquet(f"{d}/part.parquet"), "p_name")
 
 
 @query("""with s as (select distinct p_name as n, list_distinct(string_split(p_name, ' ')) as t from part)
@@ -438,6 +437,50 @@ def e6_clusters(spark, d):
     return items.clusters(spark.read.parquet(f"{d}/embeddings.parquet"), 10, "embedding").select("vec_id", "category")
 
 
+# inputs of a sequence model
+
+
+@query(f"""{I} select user_id, rn, dense_rank() over (order by question_category) - 1 as question_category_code, content_id + answered_correctly * (select count(*) from part) + 1 as combined_id from i""")
+def a17_ordinal_codes(spark, d):
+    n_items = spark.read.parquet(f"{d}/part.parquet").agg(F.count("*").alias("n_items"))  # one row
+    out = sequences.ordinal_codes(_i(spark, d), "question_category").crossJoin(F.broadcast(n_items))
+    combined = sequences.combined_id(F.col("content_id"), F.col("answered_correctly"), F.col("n_items"))
+    return out.select(*ROW, F.col("question_category_code").cast("long").alias("question_category_code"), combined.alias("combined_id"))
+
+
+@query(f"""{I}, q as (select list_sort(list_distinct(quantile_cont(elapsed_ms, [{', '.join(str(k / 20) for k in range(21))}]))) as q from i), e as (select q[2:len(q) - 1] as edges from q)
+select user_id, rn, (len(list_filter(edges, lambda x: x <= elapsed_ms)) + 1)::int as elapsed_ms_bin from i, e""")
+def a18_quantile_bins(spark, d):
+    return sequences.quantile_bins(_i(spark, d), "elapsed_ms", 20).select(*ROW, "elapsed_ms_bin")
+
+
+@query(f"""{I}, t as (select user_id, task_container_id, arg_min(elapsed_ms, rn) as e, arg_min(had_explanation, rn) as h from i group by all),
+n as (select user_id, task_container_id, lead(e) over w as e, lead(h) over w as h from t window w as (partition by user_id order by task_container_id))
+select user_id, rn, e as question_elapsed_time, h as question_had_explanation from i left join n using (user_id, task_container_id)""")
+def e17_next_task_values(spark, d):
+    log = _i(spark, d).withColumns({"prior_question_elapsed_time": F.col("elapsed_ms"), "prior_question_had_explanation": F.col("had_explanation")})
+    out = sequences.next_task_values(log, ["prior_question_elapsed_time", "prior_question_had_explanation"])
+    return out.select(*ROW, "question_elapsed_time", "question_had_explanation")
+
+
+_LIKE = """list_cosine_similarity(b{0}.e, o1.e) - list_cosine_similarity(b{0}.e, o0.e)"""
+_SHARE = """case when s{0}.t is not null and o.t is not null then len(list_intersect(s{0}.t, o.t)) / len(list_distinct(list_concat(s{0}.t, o.t))) end"""
+
+
+@query(f"""{I}, k as (select *, dense_rank() over (partition by user_id order by ts_ms, task_container_id) as k from i),
+l as (select *, {', '.join(f"lag(content_id, {k}) over w as c{k}, lag(answered_correctly, {k}) over w as y{k}" for k in (1, 2, 3))} from k window w as (partition by user_id order by rn)),
+f as (select user_id, rn, content_id, {', '.join(f"first(c{k}) over t as c{k}, first(y{k}) over t as y{k}" for k in (1, 2, 3))} from l window t as (partition by user_id, k order by rn)),
+v as (select vec_id // 2 as item, vec_id % 2 as r, embedding::double[] as e from embeddings), s as (select p_partkey as item, list_distinct(string_split(p_name, ' ')) as t from part)
+select user_id, rn, {', '.join(f"round({_LIKE.format(k)}, 9) + 0.0::double as similarity_{k}, round({_SHARE.format(k)}, 9) as tags_similarity_{k}, round(({_SHARE.format(k)}) * case when y{k} = 1 then 1 else -1 end, 9) + 0.0::double as tags_answered_similarity_{k}" for k in (1, 2, 3))}
+from f left join s o on o.item = content_id left join v o0 on o0.item = content_id and o0.r = 0 left join v o1 on o1.item = content_id and o1.r = 1
+{' '.join(f"left join v b{k} on b{k}.item = c{k} and b{k}.r = y{k} left join s s{k} on s{k}.item = c{k}" for k in (1, 2, 3))}""")
+def e8_answer_likeness(spark, d):
+    tags = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("content_id"), F.col("p_name").alias("tags"))
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(F.expr("vec_id div 2").alias("content_id"), (F.col("vec_id") % 2).alias("correct"), F.col("embedding").alias("vector"))
+    out = sequences.answer_likeness(_i(spark, d), tags, vectors)
+    return rounded(out.select(*ROW, *[f"{n}_{k}" for k in (1, 2, 3) for n in ("similarity", "tags_similarity", "tags_answered_similarity")]))
+
+
 # replay, models
 
 _U = "((user_id * 2654435761) % 4294967296)::double / 4294967296"

@@ -46,6 +46,19 @@ def tag_graph(items: DataFrame, item: str = "content_id", tags: str = "tags") ->
     return pairs.groupBy(F.col(f"a.{item}").alias("src"), F.col(f"b.{item}").alias("dst")).agg(F.count("*").alias("w"))
 
 
+def tag_class_graph(items: DataFrame, tags: str = "tags") -> DataFrame:
+    """src, dst, w, src_items, dst_items: how many tags the items of one tag string share with those of another, or with each
+    other (src = dst). Items of one tag string are alike to the graph, so its edges join classes, however many items they hold.
+    """
+    classes = items.groupBy(tags).agg(F.count("*").alias("n"))
+    words = classes.select(F.col(tags).alias("t"), "n", F.explode(F.array_distinct(F.split(tags, " "))).alias("w"))
+    a, b = words.alias("a"), words.alias("b")
+    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & ((F.col("a.t") != F.col("b.t")) | (F.col("a.n") > 1)))
+    return pairs.groupBy(F.col("a.t").alias("src"), F.col("b.t").alias("dst")).agg(
+        F.count("*").alias("w"), F.first("a.n").alias("src_items"), F.first("b.n").alias("dst_items")
+    )
+
+
 def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
     """node, community: each node takes, again and again, the label with the largest gain in modularity among its neighbours.
 
