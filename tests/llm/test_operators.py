@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against plain versions on small, awkward tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -159,6 +160,19 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in langid.identify(docs, {}).collect()} == {"und"}
 
 
+def test_language_on_held_out_documents(spark):
+    from tasklore.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no tables here")
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
+    got = queries.op7_language_id(spark, d).collect()
+    held = [r for r in got if r["held_out"] and truth[r["doc_id"]] is not None]
+    assert len(got) == len(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.93 * len(held)
+
+
 def test_fingerprints(docs, none, rows):
     got = sketches.fingerprint_versions(docs).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
