@@ -1,8 +1,8 @@
 """Main text of web pages by removal of site templates (operator 2).
 
-A page becomes a tree of elements. Each subtree outside the article has a hash of its tags and text; Spark counts the
-hashes over the pages of a host, and subtrees that recur on a large share of a host's pages are its template and are
-deleted (inside the article only if nearly all pages have them). Elements that by name, role or class are no article
+A page becomes a tree of elements. Each subtree has a hash of its tags and text; Spark counts the hashes over the distinct
+texts of a host's pages, so that copies of a page make nothing a template, and subtrees that recur in a large share of
+them are the host's template and are deleted, inside articles too. Elements that by name, role or class are no article
 text (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) go on every page.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,9 +49,9 @@ ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
-#: A subtree is template if it is on at least PAGES pages of the host and on this share of them; inside the article, INNER.
-PAGES, SHARE, INNER = 4, 0.3, 0.9
-#: Hashes that a task adds up before it passes their counts on.
+#: A subtree is template if it is in at least PAGES distinct texts of the host and in this share of them.
+PAGES, SHARE = 4, 0.3
+#: Pages that a task remembers as seen.
 HELD = 200_000
 
 
@@ -156,37 +155,27 @@ def countable(root: Node) -> set[int]:
     return out
 
 
-def main_node(root: Node) -> Node | None:
-    """The largest article outside of dropped parts, else the largest main, else the whole."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-    todo = [root]
-    while todo:
-        for x in todo.pop().children:
-            if isinstance(x, Node) and not x.dropped:
-                if x.name in found:
-                    found[x.name].append(x)
-                todo.append(x)
-
-    def size(node: Node) -> int:
-        n, todo = 0, [node]
-        while todo:
-            for x in todo.pop().children:
-                if isinstance(x, str):
-                    n += len(x)
-                elif not x.dropped:
-                    todo.append(x)
-        return n
-
+def main_nodes(root: Node) -> list[Node]:
+    """All articles outside of dropped parts and of each other, in their order; without one, all such mains; else nothing."""
     for kind in ("article", "main"):
-        if found[kind]:
-            return max(found[kind], key=size)
-    return None
-
-
-def blocks(root: Node, outer: set[int], inner: set[int]) -> str:
-    """The text of the main part, blocks joined by an empty line, without the subtrees whose hash is template."""
-    main = main_node(root)
-    template = inner if main is not None else outer
+        out, todo = [], [root]
+        while todo:
+            x = todo.pop()
+            if x.name == kind:
+                out.append(x)
+            else:
+                todo += [y for y in reversed(x.children) if isinstance(y, Node) and not y.dropped]
+        if out:
+            return out
+    return []
+
+
+def blocks(root: Node, template: set[int] | frozenset[int] = frozenset()) -> str:
+    """The text of the main parts, blocks joined by an empty line, without the subtrees whose hash is template. A main part
+    goes as a whole only if another one stays."""
+    mains = main_nodes(root)
+    mains = [x for x in mains if signed(x.hash) not in template] or mains
+    top = set(map(id, mains))
     out: list[str] = []
     held: list[str] = []
 
@@ -195,14 +184,14 @@ def blocks(root: Node, outer: set[int], inner: set[int]) -> str:
             out.append(text)
         held.clear()
 
-    todo: list = [main if main is not None else root]
+    todo: list = mains[::-1] or [root]
     while todo:
         x = todo.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
             held.append(x)
-        elif x.dropped or (x is not main and x.name in BLOCK and x.children and signed(x.hash) in template):
+        elif x.dropped or (id(x) not in top and x.name in BLOCK and x.children and signed(x.hash) in template):
             if x.name in BLOCK:
                 flush()
         elif x.name == "br":
@@ -221,54 +210,55 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _counts(pages: DataFrame) -> DataFrame:
-    """host, h, n: pages of the host with the subtree, as far as a task has added them up; h null: pages in all."""
+def _subtrees(pages: DataFrame) -> DataFrame:
+    """host, mark, hashes: for each page a hash of its whole text, and its countable subtrees in order; a page that a task sees
+    again (an equal text and subtrees) is passed on once, as far as the task holds it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["host", "h", "n"])
-
+        seen: set[tuple] = set()
         for batch in batches:
+            rows: list[tuple] = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 hashed(root := parse(page.as_py()))
-                seen[host, None] += 1
-                for h in countable(root):
-                    seen[host, h] += 1
-                if len(seen) > HELD:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
-
-    return pages.select("host", "html").mapInArrow(scan, "host string, h long, n long")
-
-
-def main_text(pages: DataFrame, least: int = PAGES, share: float = SHARE, inner: float = INNER) -> DataFrame:
+                found = sorted(countable(root))
+                mark = signed(xxhash.xxh3_64_intdigest(blocks(root)))
+                one = (host, mark, xxhash.xxh3_64_intdigest(repr(found)))
+                if one not in seen:
+                    seen.add(one)
+                    rows.append((host, mark, found))
+            if len(seen) > HELD:
+                seen.clear()
+            if rows:
+                kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "mark", "hashes"])
+
+    return pages.select("host", "html").mapInArrow(scan, "host string, mark long, hashes array<long>")
+
+
+def main_text(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
-    A null page is empty and has an empty text; a null url, or one without a host, belongs to the host "". Repeated rows
-    count as pages each. An empty table gives an empty result.
+    A null page is empty and has an empty text; a null url, or one without a host, belongs to the host "". Pages of one
+    text count once. An empty table gives an empty result.
     """
     given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    counts = _counts(given).groupBy("host", "h").agg(F.sum("n").alias("n"))
-    total = counts.where("h is null").select("host", F.col("n").alias("n_pages"))
+    texts = _subtrees(given).groupBy("host", "mark").agg(F.array_distinct(F.flatten(F.collect_set("hashes"))).alias("hashes"))
+    # h null: distinct texts in all
+    counts = texts.select("host", F.explode(F.concat("hashes", F.array(F.lit(None).cast("long")))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
+    counts = counts.where(F.col("h").isNull() | (F.col("n") >= least))
+    total = counts.where("h is null").select("host", F.col("n").alias("n_texts"))
     # at most (mean subtrees of a page) / share hashes a host: bounded whatever the number of its pages
-    template = counts.where("h is not null").join(total, "host").where((F.col("n") >= least) & (F.col("n") >= share * F.col("n_pages")))
-    template = template.groupBy("host").agg(
-        F.collect_list("h").alias("outer"), F.collect_list(F.when(F.col("n") >= inner * F.col("n_pages"), F.col("h"))).alias("inner")
-    )
+    template = counts.where("h is not null").join(total, "host").where(F.col("n") >= share * F.col("n_texts"))
+    template = template.groupBy("host").agg(F.collect_list("h").alias("template"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, outer, inner in zip(*(batch.column(k) for k in (2, 3, 4)), strict=True):
+            for page, template in zip(batch.column(2), batch.column(3), strict=True):
                 hashed(root := parse(page.as_py()))
-                texts.append(blocks(root, set(outer.as_py() or ()), set(inner.as_py() or ())))
+                texts.append(blocks(root, set(template.as_py() or ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = given.schema["page_id"].dataType.simpleString()
-    joined = given.join(template, "host", "left").select("page_id", "url", "html", "outer", "inner")
+    joined = given.join(template, "host", "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(scan, f"page_id {kind}, url string, text string, n_chars long")

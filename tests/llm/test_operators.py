@@ -222,6 +222,19 @@ def test_pages(spark):
     assert one["text"] == "Same on all\n\nOwn & text 0\n\na\n\nb" and one["n_chars"] == len(one["text"])
 
 
+def test_pages_keep_articles_of_copies(spark):
+    page = "<body><p>Menu of all</p>{}</body>"
+    made = [(k, "http://copies.example/" + str(k), "<article><h1>Title</h1><p>Body</p></article>" + f"<footer>{k}</footer>") for k in range(6)]
+    made += [(10 + k, "http://plain.example/a", page.format("<div>Long read</div>")) for k in range(5)]
+    made += [(20 + k, "http://many.example/" + str(k), f"<article><p>One {k}</p></article><p>between</p><article><p>Two {k}, longer</p><article>in {k}</article></article>") for k in range(2)]
+    made += [(30 + k, "http://shell.example/" + str(k), f"<main><p>Own {k}</p>" + "<div>Read more on this site</div>" * (k < 4) + "</main>") for k in range(10)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(made, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[k] == "Title\n\nBody" for k in range(6))
+    assert all(got[10 + k] == "Menu of all\n\nLong read" for k in range(5))
+    assert got[20] == "One 0\n\nTwo 0, longer\n\nin 0" and got[21] == "One 1\n\nTwo 1, longer\n\nin 1"
+    assert all(got[30 + k] == f"Own {k}" for k in range(10))
+
+
 def test_pipeline(spark, docs, rows):
     import corpus_pipeline as p
 
