@@ -28,10 +28,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
 LEAST_VALUE = 6
 
-#: A candidate: a token of 16 to 512 characters with a letter and a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])(?=[0-9+/_=-]{0,40}[A-Za-z])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+#: A candidate: a token of 16 characters or more.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 BEFORE, INSIDE, AFTER = 24, 64, 8
 WIDTH = BEFORE + INSIDE + AFTER
+#: Windows that are scored at a time.
+HELD = 4096
 RECALL = 0.98
 FINDINGS, EPOCHS, SEED = 3000, 6, 17
 _CODES = np.full(256, 1, np.int64)  # 1: anything else
@@ -54,10 +56,17 @@ def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
     return [m.span() for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in known)]
 
 
+def windows(start: int, stop: int) -> list[tuple[int, int]]:
+    """The windows of a candidate: itself, or INSIDE characters each over all of it, half of them shared with the next."""
+    if stop - start <= INSIDE:
+        return [(start, stop)]
+    return [*((a, a + INSIDE) for a in range(start, stop - INSIDE, INSIDE // 2)), (stop - INSIDE, stop)]
+
+
 def encode(text: str, start: int, stop: int) -> np.ndarray:
-    """Codes of a candidate (its first characters, if it is very long) and of what stands around it; 0 pads."""
+    """Codes of a window of a candidate and of what stands around it; 0 pads."""
     out = np.zeros(WIDTH, np.int64)
-    for part, at in ((text[max(0, start - BEFORE) : start], None), (text[start : min(stop, start + INSIDE)], BEFORE), (text[stop : stop + AFTER], BEFORE + INSIDE)):
+    for part, at in ((text[max(0, start - BEFORE) : start], None), (text[start:stop], BEFORE), (text[stop : stop + AFTER], BEFORE + INSIDE)):
         codes = _CODES[np.frombuffer(part.encode("latin-1", "replace"), np.uint8)]
         at = BEFORE - len(codes) if at is None else at
         out[at : at + len(codes)] = codes
@@ -66,7 +75,8 @@ def encode(text: str, start: int, stop: int) -> np.ndarray:
 
 def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """n findings, reviewed as secret (1) or not (0), drawn by kind: keys of several providers and random keys behind words
-    that announce them, against identifiers, checksums of files, versions, dates, links and card or order numbers."""
+    that announce them, against identifiers, checksums of files, versions, dates, links, long words, names, numbers and rules. Of a finding
+    longer than a window, one window is drawn."""
     rng = np.random.default_rng(seed)
     pick = lambda chars, k: "".join(rng.choice(list(chars), k))
     low, alnum = string.ascii_lowercase, string.ascii_letters + string.digits
@@ -79,6 +89,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray,
         lambda: "AIza" + pick(alnum + "_-", 35),
         lambda: pick(alnum + "+/", int(rng.integers(24, 64))) + "=",
         lambda: pick(alnum, int(rng.integers(20, 48))),
+        lambda: pick(string.ascii_letters, int(rng.integers(20, 48))),
+        lambda: pick(alnum + "+/", int(rng.integers(65, 600))),
     ]
     others = [
         lambda: f"{word()}_{word()}_{rng.integers(1, 99)}_{word()}",
@@ -89,6 +101,11 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray,
         lambda: f"{word()}{word()}{word()}{word()}{rng.integers(0, 999)}",
         lambda: f"v{rng.integers(1, 30)}-{word()}-build{rng.integers(100, 99999)}-{word()}",
         lambda: "=" * int(rng.integers(8, 20)) + f"{word()}{rng.integers(1, 9)}" + "=" * 8,
+        lambda: "".join(word() for _ in range(int(rng.integers(6, 12)))),
+        lambda: "".join(word().capitalize() for _ in range(int(rng.integers(6, 12)))),
+        lambda: ["-", "_", "/"][int(rng.integers(3))].join(word() for _ in range(int(rng.integers(6, 40)))),
+        lambda: pick(string.digits, int(rng.integers(16, 40))),
+        lambda: ["-", "=", "_", "/", "+", "-="][int(rng.integers(6))] * int(rng.integers(16, 100)),
     ]
     x, y = np.empty((n, WIDTH), np.int64), np.arange(n) % 2
     for k in range(n):
@@ -96,7 +113,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray,
         said = [" the key is ", "auth: ", "Bearer ", "export KEY=", " "][int(rng.integers(5))] if y[k] else [" see ", " file ", "id: ", " ", "order "][int(rng.integers(5))]
         text = f"{word()} {word()} {word()}{said}{made}{['', '.', chr(10), ' ' + word()][int(rng.integers(4))]}"
         start = text.index(made)
-        x[k] = encode(text, start, start + len(made))
+        own = windows(start, start + len(made))
+        x[k] = encode(text, *own[int(rng.integers(len(own)))])
     order = rng.permutation(n)
     return x[order], y[order]
 
@@ -170,7 +188,7 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = SEED, epochs: int = EPOCHS,
         a, b = a - 0.1 * float(((p - truth) * logits).mean()), b - 0.1 * float((p - truth).mean())
     net.scale = a, b
     true = np.sort(net.scores(x[cut:])[truth == 1])
-    net.threshold = max(0.5, float(true[int((1 - recall) * len(true))])) if len(true) else 0.5
+    net.threshold = float(true[int((1 - recall) * len(true))]) if len(true) else 0.5
     return net
 
 
@@ -180,17 +198,28 @@ def trained(n: int = FINDINGS, seed: int = SEED) -> CharCNN:
 
 
 def all_spans(texts: list[str], net: CharCNN) -> list[list[tuple[int, int, int]]]:
-    """For each text its base spans and the network's, as (start, kind, end), sorted."""
-    out, where, inputs = [], [], []
+    """For each text its base spans and the network's, as (start, kind, end), sorted. A candidate counts by its best window."""
+    out: list[list[tuple[int, int, int]]] = []
+    found: set[tuple[int, int, int]] = set()
+    where, inputs = [], []
+
+    def score() -> None:
+        if inputs:
+            found.update(one for one, x in zip(where, net.scores(np.stack(inputs)), strict=True) if x >= net.threshold)
+            where.clear()
+            inputs.clear()
+
     for k, text in enumerate(texts):
         out.append(base_spans(text))
         for a, b in candidates(text, out[-1]):
-            where.append((k, a, b))
-            inputs.append(encode(text, a, b))
-    if inputs:
-        for (k, a, b), score in zip(where, net.scores(np.stack(inputs)), strict=True):
-            if score >= net.threshold:
-                out[k].append((a, 3, b))
+            for window in windows(a, b):
+                where.append((k, a, b))
+                inputs.append(encode(text, *window))
+                if len(inputs) == HELD:
+                    score()
+    score()
+    for k, a, b in found:
+        out[k].append((a, 3, b))
     return [sorted(x) for x in out]
 
 

@@ -212,6 +212,25 @@ def test_secret_network_holds_its_recall():
     assert found[y == 1].mean() >= 0.93 and found[y == 0].mean() <= 0.05
 
 
+def test_secret_network_sees_every_long_token():
+    import numpy as np
+
+    rng = random.Random(8)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    pick = lambda k: "".join(rng.choice(chars) for _ in range(k))
+    blob = "".join(rng.choice(chars + "0123456789+/") for _ in range(3000))
+    late, none, hidden = pick(60) + "7", pick(40), "some/long/path/of/words/" * 8 + blob[:100]
+    net = secrets.trained()
+    for key in (blob, late, none, hidden):
+        text = f"the key is {key} here"
+        assert secrets.all_spans([text], net) == [[(11, 3, 11 + len(key))]]
+    plain = "see internationalization/and/" + "interoperability/" * 40 + " " + "-" * 600 + " Donaudampfschifffahrtsgesellschaft"
+    assert secrets.all_spans([plain], net) == [[]]
+    x, y = secrets.labelled_findings()
+    scores = np.sort(net.scores(x[len(x) * 4 // 5 :])[y[len(x) * 4 // 5 :] == 1])
+    assert net.threshold == scores[int((1 - secrets.RECALL) * len(scores))]
+
+
 def test_pages(spark):
     shell = '<html><head><title>t</title></head><body><div class="x"><p>Same on all</p></div>{}<footer>f</footer></body></html>'
     made = [(k, "http://h.example/" + str(k), shell.format(f"<p>Own &amp; text\n {k}</p><ul><li>a<li>b</ul><div id='comments'>no</div>")) for k in range(6)]
