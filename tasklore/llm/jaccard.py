@@ -6,7 +6,8 @@ the others go by hash. So sets meet in groups by a shingle of their prefixes. Gr
 In a group a signature tree over the members' bitmaps and sizes is joined with itself: pairs of nodes whose largest
 possible overlap is too small are pruned. What the groups leave possible falls into pieces; each piece gets its whole
 sets, once, and a second tree join that verifies every pair it cannot prune or skip as linked already. Possible links
-become pieces, and links components, by rounds of joins. Large groups and pieces are cut into blocks, each pair of
+become pieces, and links components, by rounds of joins. Where numbers of links are asked for, the verified pass also counts
+the overlaps of all pairs of a piece, in tiles, each pair in one pair of blocks only. Large groups and pieces are cut into blocks, each pair of
 blocks a task; no pair is dropped.
 """
 
@@ -31,6 +32,8 @@ BLOCK = 10_000
 #: A shingle is frequent, and comes last in the order, in more than this share of the sets (and more than LEAST of them).
 #: At most 1 / SHARE times the mean set size of shingles are: that bounds what is broadcast, whatever the input.
 SHARE, LEAST = 1 / 1000, 50
+#: Members of a side of a tile whose pairs are counted at once, and shingles that are laid out for it at a time.
+TILE, SLICE = 256, 8192
 #: Hashes that a task holds to count frequent shingles.
 HELD = 4_000_000
 
@@ -166,6 +169,58 @@ def tree_components(
     return out
 
 
+def link_counts(sets: list[np.ndarray], weights: np.ndarray, blocks: np.ndarray, within: bool) -> np.ndarray:
+    """For each set the weights of all others it links to, added up: exact overlaps of all pairs, or, unless within is set,
+    of the pairs from different blocks only."""
+    sizes = np.array([len(x) for x in sets])
+    order = np.lexsort((np.array([x[0] for x in sets]), sizes))
+    lengths = sizes[order]
+    _, codes, met = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True, return_counts=True)
+    shared = met > 1  # a shingle of one set is in no overlap
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    tiles = []
+    for k in range(0, len(sets), TILE):
+        stop = min(k + TILE, len(sets))
+        own = codes[starts[k] : starts[stop]]
+        row = np.repeat(np.arange(stop - k), lengths[k:stop])
+        keep = shared[own]
+        tiles.append((k, stop, own[keep].astype(np.int32), row[keep].astype(np.int16)))
+    del codes
+    out = np.zeros(len(sets), np.int64)
+    weight, block = weights[order], blocks[order]
+    place = np.full(len(met), -1, np.int32)
+
+    def laid(codes: np.ndarray, rows: np.ndarray, n: int, at: int, width: int) -> np.ndarray:
+        where = place[codes] - at
+        ok = (where >= 0) & (where < width)
+        laid = np.zeros((n, width), np.float32)
+        laid[rows[ok], where[ok]] = 1
+        return laid
+
+    for i, (a, a_end, a_codes, a_rows) in enumerate(tiles):
+        for b, b_end, b_codes, b_rows in tiles[i:]:
+            if lengths[a_end - 1] < needed(lengths[a_end - 1], lengths[b]):  # in order of size: all the next are larger
+                break
+            both = np.intersect1d(np.unique(a_codes), np.unique(b_codes), assume_unique=True)
+            place[both] = np.arange(len(both), dtype=np.int32)
+            common = np.zeros((a_end - a, b_end - b), np.int64)
+            for at in range(0, len(both), SLICE):
+                width = min(SLICE, len(both) - at)
+                common += (laid(a_codes, a_rows, a_end - a, at, width) @ laid(b_codes, b_rows, b_end - b, at, width).T).astype(np.int64)
+            place[both] = -1
+            links = common >= needed(lengths[a:a_end, None], lengths[None, b:b_end])
+            if not within:
+                links &= block[a:a_end, None] != block[None, b:b_end]
+            if a == b:
+                np.fill_diagonal(links, False)
+            else:
+                out[b:b_end] += weight[a:a_end] @ links
+            out[a:a_end] += links @ weight[b:b_end]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def _maps(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
@@ -257,15 +312,16 @@ def possible_links(members: DataFrame) -> DataFrame:
 
 
 def in_blocks(members: DataFrame, size: str, block: int) -> DataFrame:
-    """Adds x, y: the pairs of blocks of its group that a member takes part in, one pair for a group of up to `block`."""
+    """Adds own, the block of a member in its group, and x, y: the pairs of blocks that it takes part in, one pair for a group
+    of up to `block`."""
     members = members.withColumn("blocks", F.ceil(F.col(size) / block).cast("int"))
     members = members.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return members.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "own", "other")
+    return members.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "other")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
-    """docs (sid, text, cid, size) -> cid, size, sid, hashes, where the text has that set."""
+    """docs (sid, text, cid, size, m) -> cid, size, sid, m, hashes, where the text has that set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,13 +329,14 @@ def whole_sets(docs: DataFrame) -> DataFrame:
             ok = [k for k, (sid, own) in enumerate(zip(batch.column(0).to_pylist(), sets, strict=True)) if sid == set_id(own)]
             rows = batch.take(pa.array(ok, pa.int64()))
             hashes = pa.array([sets[k].tobytes() for k in ok], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(3), rows.column(0), hashes], ["cid", "size", "sid", "hashes"])
+            yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(3), rows.column(0), rows.column(4), hashes], ["cid", "size", "sid", "m", "hashes"])
 
-    return docs.select("sid", "text", "cid", "size").mapInArrow(scan, "cid long, size long, sid long, hashes binary")
+    return docs.select("sid", "text", "cid", "size", "m").mapInArrow(scan, "cid long, size long, sid long, m long, hashes binary")
 
 
-def verified_links(clusters: DataFrame) -> DataFrame:
-    """clusters (cid, x, y, sid, hashes) -> a, b: links that span what is linked within each (cid, x, y)."""
+def verified_links(clusters: DataFrame, counted: bool = False) -> DataFrame:
+    """clusters (cid, x, y, sid, own, m, hashes) -> a, b, c: links that span what is linked within each (cid, x, y); and, if
+    counted, rows without b: the documents c (m of each set) that the set a links to there, each pair in one (x, y) only."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
@@ -301,14 +358,21 @@ def verified_links(clusters: DataFrame) -> DataFrame:
                 fine = np.frombuffer(b"".join(bitmap(x, n_bits) for x in sets), np.uint64).reshape(-1, n_bits // 64)
             roots = own[tree_components(sizes, maps, fine, linked)]
             if (roots != own).any():
-                yield pa.RecordBatch.from_arrays([pa.array(own[roots != own]), pa.array(roots[roots != own])], ["a", "b"])
+                a, b = own[roots != own], roots[roots != own]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "c"])
+            if counted:
+                weights, blocks = (group.column(k).to_numpy()[first] for k in ("m", "own"))
+                found = link_counts(sets, weights, blocks, group.column("x")[0] == group.column("y")[0])
+                a = own[found > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(found[found > 0])], ["a", "b", "c"])
 
     dealt = clusters.repartition(parts(clusters.sparkSession), "cid", "x", "y").sortWithinPartitions("cid", "x", "y")
-    return dealt.select("cid", "x", "y", "sid", "hashes").mapInArrow(join, "a long, b long")
+    return dealt.select("cid", "x", "y", "sid", "own", "m", "hashes").mapInArrow(join, "a long, b long, c long")
 
 
-def jaccard_components(docs: DataFrame, block: int = BLOCK, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
+def jaccard_components(docs: DataFrame, block: int = BLOCK, share: float = SHARE, least: int = LEAST, counted: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text); if counted, also n_links: how many other rows
+    it is linked to, equal sets included.
 
     Links are exact up to collisions of 64-bit hashes. A null text, or one without words, has 0 shingles and is a
     component by itself. A null doc_id counts as no number: its component_id is the smallest other one it is linked to,
@@ -316,7 +380,7 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK, share: float = SHARE
     """
     found = cut(summaries(docs))
     rows = found.where("kind = 0").select("doc_id", "n", "sid", "bits")
-    sets = rows.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep"))
+    sets = rows.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep"), F.count("*").alias("m"))
     limit = max(least, int(share * rows.count()))
     counts = found.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
     frequent = np.sort(np.array([r["h"] for r in counts.select("h").toLocalIterator()], np.int64).view(np.uint64))
@@ -334,14 +398,21 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK, share: float = SHARE
     members = in_blocks(kept.join(sets.select("sid", "n", "bits"), "sid"), "n_members", block)
     pieces = connected_components(possible_links(members)).select(F.col("node").alias("sid"), F.col("root").alias("cid"))
     sizes = pieces.groupBy("cid").agg(F.count("*").alias("size"))
-    wanted = pieces.join(sizes, "cid").join(sets.select("sid", "rep"), "sid")
+    wanted = pieces.join(sizes, "cid").join(sets.select("sid", "rep", "m"), "sid")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    given = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("sid", "text", "cid", "size")
-    links = verified_links(in_blocks(whole_sets(given), "size", block))
-    roots = connected_components(links)
+    given = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("sid", "text", "cid", "size", "m")
+    links = verified_links(in_blocks(whole_sets(given), "size", block), counted)
+    links = cut(links) if counted else links
+    roots = connected_components(links.where("b is not null").select("a", "b"))
     placed = rows.select("doc_id", "n", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     placed = placed.withColumn("root", F.coalesce("root", "sid"))
     smallest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("smallest"))
-    return placed.join(smallest, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    component = F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id")
+    out = placed.join(smallest, "root", "left")
+    if not counted:
+        return out.select("doc_id", F.col("n").alias("n_shingles"), component)
+    others = links.where("c is not null").groupBy(F.col("a").alias("sid")).agg(F.sum("c").alias("c"))
+    equal = sets.join(others, "sid", "left").select("sid", (F.col("m") - 1 + F.coalesce("c", F.lit(0))).alias("n_links"))
+    out = out.join(equal, "sid", "left")
+    n_links = F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component, n_links)

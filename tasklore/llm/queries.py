@@ -42,7 +42,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(_docs(spark, sf_dir))
+    return jaccard.jaccard_components(_docs(spark, sf_dir), counted=True)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,35 @@ def test_jaccard(docs, none, rows):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_jaccard_counts_links(docs, none, rows):
+    low = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    sets = []
+    for r in rows:
+        w = WORD.findall((r[1] or "").translate(low))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    near = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    want = Counter((r[0], sum(near(a, b) for b in range(len(rows)) if b != a)) for a, r in enumerate(rows))
+    assert any(n > 3 for _, n in want)
+    for block in (10_000, 2, 1):
+        got = jaccard.jaccard_components(docs, block=block, counted=True).collect()
+        assert Counter((r["doc_id"], r["n_links"]) for r in got) == want
+    assert jaccard.jaccard_components(none, counted=True).count() == 0
+
+
+def test_link_counts_over_tiles():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.choice(1 << 40, 12_000, replace=False).astype(np.uint64)
+    made = [base[:9000], base[1000:10_000], *(np.delete(base[:60], rng.choice(60, int(rng.integers(0, 16)), replace=False)) for _ in range(600))]
+    sets = [np.unique(x) for x in made]
+    weights, blocks = rng.integers(1, 5, len(sets)), rng.integers(0, 2, len(sets))
+    own = [set(x.tolist()) for x in sets]
+    for within in (True, False):
+        want = [sum(int(weights[j]) for j in range(len(own)) if i != j and (within or blocks[i] != blocks[j]) and 100 * len(own[i] & own[j]) >= 75 * len(own[i] | own[j])) for i in range(len(own))]
+        assert jaccard.link_counts(sets, weights, blocks, within).tolist() == want
+
+
 def test_packing(docs, none, rows):
     encode = packing.encoder(*packing.tokenizer_paths())
     got = packing.pack_best_fit(docs, 128).collect()
