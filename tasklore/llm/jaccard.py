@@ -4,7 +4,7 @@ Documents with equal shingle sets are one set. Two sets with a Jaccard similarit
 the first n - ceil(3n/4) + 1 of each, in any one order of all shingles; here shingles of very many documents come last,
 the others go by hash. So sets meet in groups by a shingle of their prefixes. Groups with the same members are one.
 In a group a signature tree over the members' bitmaps and sizes is joined with itself: pairs of nodes whose largest
-possible overlap is too small are pruned. What the groups leave possible falls into pieces; each piece gets its whole
+possible overlap is too small are pruned. Large sets go by classes of size, with bitmaps as wide as their size asks for. What the groups leave possible falls into pieces; each piece gets its whole
 sets, once, and a second tree join that verifies every pair it cannot prune or skip as linked already. Possible links
 become pieces, and links components, by rounds of joins. Where numbers of links are asked for, the verified pass also counts
 the overlaps of all pairs of a piece, in tiles, each pair in one pair of blocks only. Large groups and pieces are cut into blocks, each pair of
@@ -13,29 +13,33 @@ blocks a task; no pair is dropped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklore.llm.common import cut, parts, text_or_empty
 from tasklore.llm.grouping import connected_components, groups
 from tasklore.llm.shingles import shingle_sets
 
-BITS = 2048
+#: Bits of the smallest bitmap. A set has the next power of two from SPREAD bits a shingle on: unrelated sets are pruned at any size.
+BITS, SPREAD = 2048, 1.5
+#: Sets up to this size have the smallest bitmap; above it, size classes grow by 4 / 3, the largest ratio of linked sets.
+SMALL = int(BITS / SPREAD)
 LEAF, FAN = 32, 8
-#: Members of a block: a task holds two blocks at most.
-BLOCK = 10_000
+#: Members of a block, and shingles of a block of whole sets: a task holds two blocks at most.
+BLOCK, BLOCK_SHINGLES = 10_000, 2_000_000
 #: A shingle is frequent, and comes last in the order, in more than this share of the sets (and more than LEAST of them).
 #: At most 1 / SHARE times the mean set size of shingles are: that bounds what is broadcast, whatever the input.
 SHARE, LEAST = 1 / 1000, 50
 #: Members of a side of a tile whose pairs are counted at once, and shingles that are laid out for it at a time.
 TILE, SLICE = 256, 8192
 #: Hashes that a task holds to count frequent shingles.
-HELD = 4_000_000
+HELD = 2_000_000
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -48,9 +52,18 @@ def bitmap(hashes: np.ndarray, n_bits: int = BITS) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def own_bits(n: int) -> int:
+    return max(BITS, 1 << max(int(SPREAD * n) - 1, 0).bit_length())
+
+
 def fine_bits(size: int, members: int) -> int:
-    """Width of the bitmaps of whole sets: 16 bits a shingle of the largest, in at most 64 MB for all members."""
-    return min(1 << (16 * size).bit_length(), 1 << (max(64 << 23, 1) // members).bit_length() - 1)
+    """Width of the bitmaps of whole sets: 16 bits a shingle of the largest, in at most 16 MB for all members."""
+    return min(1 << (16 * size).bit_length(), 1 << (max(16 << 23, 1) // members).bit_length() - 1)
+
+
+def size_class(n: Column) -> Column:
+    """0 for small sets; sets of sizes that can link are of one class or of neighbouring ones."""
+    return F.when(n <= SMALL, 0).otherwise(F.ceil(F.ln(n / SMALL) / F.lit(math.log(4 / 3)))).cast("int")
 
 
 def prefix_length(n: int) -> int:
@@ -222,7 +235,12 @@ def link_counts(sets: list[np.ndarray], weights: np.ndarray, blocks: np.ndarray,
 
 
 def _maps(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    """Bitmaps as rows, wider ones folded to the width of the narrowest: a bit there stands for several of theirs."""
+    found = column.to_pylist()
+    width = min(map(len, found))
+    if any(len(x) > width for x in found):
+        found = [np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), 0).tobytes() if len(x) > width else x for x in found]
+    return np.frombuffer(b"".join(found), np.uint64).reshape(len(found), -1)
 
 
 def summaries(docs: DataFrame) -> DataFrame:
@@ -247,7 +265,7 @@ def summaries(docs: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for doc_id, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 sid = set_id(own)
-                rows.append((0, doc_id, len(own), sid, bitmap(own), None))
+                rows.append((0, doc_id, len(own), sid, bitmap(own, own_bits(len(own))), None))
                 if sid not in seen:
                     seen.add(sid)
                     held.append(own[: len(own) // 2 + 1])  # in order of hash: the half from which prefixes come
@@ -288,11 +306,11 @@ def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def possible_links(members: DataFrame) -> DataFrame:
-    """members (g, x, y, sid, n, bits), a group for each (g, x, y) -> a, b: links that span each piece a group falls into."""
+    """members (g, k, x, y, sid, n, bits), a group for each (g, k, x, y) -> a, b: links that span each piece a group falls into."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for group in groups(batches, 3):
+        for group in groups(batches, 4):
             own, first = np.unique(group.column("sid").to_numpy(), return_index=True)
             if len(own) < 2:
                 continue
@@ -307,14 +325,13 @@ def possible_links(members: DataFrame) -> DataFrame:
         if a:
             yield _edges(a, b)
 
-    dealt = members.repartition(parts(members.sparkSession), "g", "x", "y").sortWithinPartitions("g", "x", "y")
-    return dealt.select("g", "x", "y", "sid", "n", "bits").mapInArrow(join, "a long, b long")
+    dealt = members.repartition(parts(members.sparkSession), "g", "k", "x", "y").sortWithinPartitions("g", "k", "x", "y")
+    return dealt.select("g", "k", "x", "y", "sid", "n", "bits").mapInArrow(join, "a long, b long")
 
 
-def in_blocks(members: DataFrame, size: str, block: int) -> DataFrame:
-    """Adds own, the block of a member in its group, and x, y: the pairs of blocks that it takes part in, one pair for a group
-    of up to `block`."""
-    members = members.withColumn("blocks", F.ceil(F.col(size) / block).cast("int"))
+def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """Adds own, the block of a member in its group of so many blocks, and x, y: the pairs of blocks that it takes part in."""
+    members = members.withColumn("blocks", F.greatest(blocks, F.lit(1)).cast("int"))
     members = members.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     return members.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "other")
@@ -370,7 +387,9 @@ def verified_links(clusters: DataFrame, counted: bool = False) -> DataFrame:
     return dealt.select("cid", "x", "y", "sid", "own", "m", "hashes").mapInArrow(join, "a long, b long, c long")
 
 
-def jaccard_components(docs: DataFrame, block: int = BLOCK, share: float = SHARE, least: int = LEAST, counted: bool = False) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, block: int = BLOCK, share: float = SHARE, least: int = LEAST, counted: bool = False, shingles: int = BLOCK_SHINGLES
+) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text); if counted, also n_links: how many other rows
     it is linked to, equal sets included.
 
@@ -395,13 +414,16 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK, share: float = SHARE
     ).where("low < high")
     alike = Window.partitionBy("low", "high", "n_members", F.coalesce("mark", "h"))
     kept = met.withColumn("g", F.min("h").over(alike)).where("g = h").select("g", "sid", "n_members")
-    members = in_blocks(kept.join(sets.select("sid", "n", "bits"), "sid"), "n_members", block)
+    members = in_blocks(kept.join(sets.select("sid", "n", "bits"), "sid"), F.ceil(F.col("n_members") / block))
+    most = F.floor(4 * F.col("n") / 3)  # the largest set that one of n can link to
+    members = members.withColumn("k", F.explode(F.sequence(size_class(F.col("n")), size_class(most))))
     pieces = connected_components(possible_links(members)).select(F.col("node").alias("sid"), F.col("root").alias("cid"))
-    sizes = pieces.groupBy("cid").agg(F.count("*").alias("size"))
-    wanted = pieces.join(sizes, "cid").join(sets.select("sid", "rep", "m"), "sid")
+    wanted = pieces.join(sets.select("sid", "rep", "m", "n"), "sid")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / shingles)).alias("size")
+    wanted = wanted.join(wanted.groupBy("cid").agg(blocks), "cid")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     given = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("sid", "text", "cid", "size", "m")
-    links = verified_links(in_blocks(whole_sets(given), "size", block), counted)
+    links = verified_links(in_blocks(whole_sets(given), F.col("size")), counted)
     links = cut(links) if counted else links
     roots = connected_components(links.where("b is not null").select("a", "b"))
     placed = rows.select("doc_id", "n", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")

@@ -133,6 +133,28 @@ def test_jaccard_counts_links(docs, none, rows):
     assert jaccard.jaccard_components(none, counted=True).count() == 0
 
 
+def test_jaccard_of_large_sets(spark):
+    """Sets around the edges of the size classes, linked and not, that all share a passage."""
+    rng, passage = random.Random(11), words(random.Random(2), 60, 900)
+    texts = []
+    for n in (900, 1250, 1362, 1366, 1700, 1815, 1825, 2400, 3300, 5200):
+        own = (passage + " " + words(rng, n, 2000)).split()
+        texts += [own, own[: len(own) * 4 // 5], own[: len(own) * 3 // 5], own + words(rng, n // 4, 7000).split(), own + words(rng, n // 2, 7000).split()]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    near = [[100 * len(a & b) >= 75 * len(a | b) for b in sets] for a in sets]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if near[a][b]:
+                root = [root[b] if x == root[a] else x for x in root]
+    want = {k: (root.index(root[k]), sum(near[k]) - 1) for k in range(len(sets))}
+    assert len(set(root)) < len(sets) - 10 and len(set(root)) > 10
+    given = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for block, shingles in ((10_000, 2_000_000), (3, 5_000)):
+        got = jaccard.jaccard_components(given, block=block, counted=True, shingles=shingles).collect()
+        assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in got} == want
+
+
 def test_link_counts_over_tiles():
     import numpy as np
 
