@@ -76,12 +76,20 @@ l as (select *, (sum(source_size) over () * 1.5::double
         - coalesce(sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0.0))
         / sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following) as own from c),
 t as (select source, source_size, least(cap, max(own) over () * weight) as target from l),
-p as (select d.*, t.source_size, t.target, d.u / (1 - d.u) as rank,
-        case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end as whole
-      from d join t on d.source is not distinct from t.source),
-q as (select *, sum(size) over (partition by source order by rank, doc_id, size rows unbounded preceding) - size as start from p)
+k as (select d.*, least(length(bin(size)), 10) + 10 as tenths from d),
+g as (select source, tenths, sum(size)::bigint as words from k group by source, tenths),
+e as (select g.*, source_size, target,
+        (target - coalesce(sum(words) over (partition by g.source order by tenths desc rows between unbounded preceding and 1 preceding), 0) * 2.0::double)
+        / nullif(sum(words * tenths) over (partition by g.source order by tenths desc rows between current row and unbounded following), 0) as own
+      from g join t on g.source is not distinct from t.source),
+f as (select *, round(greatest(least(coalesce(max(own) over (partition by source), 0.0) * tenths, 2.0::double), 0.0), 9) as copies from e),
+x as (select *, floor(copies) as whole, copies - floor(copies) as p from f),
+r as (select *, target - sum(whole * words) over (partition by source) as wanted from x),
+y as (select k.*, r.source_size, r.target, r.whole, r.wanted, r.p, case when p > 0 then u / (1 - u) / (p / (1 - p)) end as rank
+      from k join r on k.source is not distinct from r.source and k.tenths = r.tenths),
+q as (select *, sum(case when p > 0 then size else 0 end) over (partition by source order by rank nulls last, doc_id, size rows unbounded preceding) - size as start from y)
 select doc_id, size, source_size, target,
-       (least(whole + case when start + size / 2.0::double <= target - whole * source_size then 1 else 0 end, 2) * size)::bigint as taken
+       (least(whole + case when p > 0 and start + size / 2.0::double <= wanted then 1 else 0 end, 2) * size)::bigint as taken
 from q""",
     "op6_quality_rules": rf"""
 with d as (
