@@ -6,7 +6,9 @@ import atexit
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,21 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Most bytes and rows of texts that go to a Python worker at a time.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
+def in_arrow(df: DataFrame, scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow in batches bounded by bytes: the session's limits are lowered where they are above ours, so that long
+    texts do not fill the memory of an executor."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        held = str(conf.get(key)).lower()
+        if not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(scan, schema)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

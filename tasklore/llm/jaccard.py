@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklore.llm.common import cut, parts, text_or_empty
+from tasklore.llm.common import cut, in_arrow, parts, text_or_empty
 from tasklore.llm.grouping import connected_components, groups
 from tasklore.llm.shingles import shingle_sets
 
@@ -275,7 +275,7 @@ def summaries(docs: DataFrame) -> DataFrame:
                 yield from frequent()
         yield from frequent()
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty()).mapInArrow(scan, "kind int, doc_id long, n long, sid long, bits binary, h long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), text_or_empty()), scan, "kind int, doc_id long, n long, sid long, bits binary, h long")
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -298,7 +298,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), [len(x) for x in hs]))], ["h", "sid"])
 
-    return docs.select(text_or_empty()).mapInArrow(scan, "h long, sid long")
+    return in_arrow(docs.select(text_or_empty()), scan, "h long, sid long")
 
 
 def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -326,7 +326,7 @@ def possible_links(members: DataFrame) -> DataFrame:
             yield _edges(a, b)
 
     dealt = members.repartition(parts(members.sparkSession), "g", "k", "x", "y").sortWithinPartitions("g", "k", "x", "y")
-    return dealt.select("g", "k", "x", "y", "sid", "n", "bits").mapInArrow(join, "a long, b long")
+    return in_arrow(dealt.select("g", "k", "x", "y", "sid", "n", "bits"), join, "a long, b long")
 
 
 def in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
@@ -348,7 +348,7 @@ def whole_sets(docs: DataFrame) -> DataFrame:
             hashes = pa.array([sets[k].tobytes() for k in ok], pa.binary())
             yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(3), rows.column(0), rows.column(4), hashes], ["cid", "size", "sid", "m", "hashes"])
 
-    return docs.select("sid", "text", "cid", "size", "m").mapInArrow(scan, "cid long, size long, sid long, m long, hashes binary")
+    return in_arrow(docs.select("sid", "text", "cid", "size", "m"), scan, "cid long, size long, sid long, m long, hashes binary")
 
 
 def verified_links(clusters: DataFrame, counted: bool = False) -> DataFrame:
@@ -384,7 +384,7 @@ def verified_links(clusters: DataFrame, counted: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(found[found > 0])], ["a", "b", "c"])
 
     dealt = clusters.repartition(parts(clusters.sparkSession), "cid", "x", "y").sortWithinPartitions("cid", "x", "y")
-    return dealt.select("cid", "x", "y", "sid", "own", "m", "hashes").mapInArrow(join, "a long, b long, c long")
+    return in_arrow(dealt.select("cid", "x", "y", "sid", "own", "m", "hashes"), join, "a long, b long, c long")
 
 
 def jaccard_components(

@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample: texts a language, characters a text (from its start), bytes a dictionary.
-SAMPLE_TEXTS, SAMPLE_CHARS, DICT_BYTES = 300, 1200, 112_640
+from tasklore.llm.common import in_arrow
+
+#: Bounds of the training sample: texts a language, characters of each (from a place that its id decides), bytes a dictionary.
+SAMPLE_TEXTS, SAMPLE_CHARS, DICT_BYTES = 300, 400, 112_640
 BLOCK, LEVELS = 4096, (4, 12)
 #: The share of its bytes by which the second language has to be behind for the first level to do.
 CLEAR = 0.06
@@ -36,16 +38,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """A dictionary for each language of labelled (doc_id, text, lang), from the texts with the smallest hashes of their id.
 
-    At most SAMPLE_TEXTS times SAMPLE_CHARS characters of each language reach the driver.
+    At most SAMPLE_TEXTS times SAMPLE_CHARS characters of each language reach the driver, and each sampled text has an
+    equal share of the dictionary. Only texts whose hash is below what about four times SAMPLE_TEXTS have are sorted.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = known.select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    sample = sample.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_TEXTS)
+    place = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("place")
+    known = labelled.where(F.col("lang").isNotNull())
+    counts = known.groupBy("lang").agg((F.lit(4.0 * SAMPLE_TEXTS) / F.count("*")).alias("below"))
+    start = F.floor(F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)) + 1
+    drawn = known.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", place, F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text"))
+    sample = drawn.join(counts, "lang").where("place < below").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_TEXTS)
     texts: dict[str, list[tuple[int, str]]] = {}
-    for row in sample.collect():
+    for row in sample.select("lang", "nth", "text").collect():
         texts.setdefault(row["lang"], []).append((row["nth"], row["text"]))
-    return {k: b"".join(plain(t) for _, t in sorted(v))[:DICT_BYTES] for k, v in sorted(texts.items())}
+    return {k: b"".join(plain(t)[: max(DICT_BYTES // len(v), 1)] for _, t in sorted(v)) for k, v in sorted(texts.items())}
 
 
 def plain(text: str) -> bytes:
@@ -90,14 +96,15 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], keep: tuple = ()) -> Data
     Ties go to the first language by name, and are rejected. Repeats give repeats, an empty table an empty result.
     """
     kept = docs.select(*keep, "doc_id").schema.fieldNames()
+    at = kept.index("text") if "text" in kept else len(kept)  # a kept text is not sent twice
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep, "doc_id").schema)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(dicts)
         for batch in batches:
-            found = pd.DataFrame([classify(x.as_py()) for x in batch.column(len(kept))], columns=["lang_pred", "score", "rejected"])
+            found = pd.DataFrame([classify(x.as_py()) for x in batch.column(at)], columns=["lang_pred", "score", "rejected"])
             added = [pa.array(found["lang_pred"], pa.string()), pa.array(found["score"], pa.float64()), pa.array(found["rejected"], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], [*kept, "lang_pred", "score", "rejected"])
 
-    given = docs.select(*keep, "doc_id", F.col("text").alias("_text"))
-    return given.mapInArrow(predict, out + ", lang_pred string, score double, rejected boolean")
+    given = docs.select(*keep, "doc_id", *([] if "text" in kept else [F.col("text").alias("_text")]))
+    return in_arrow(given, predict, out + ", lang_pred string, score double, rejected boolean")

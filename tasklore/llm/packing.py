@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklore.llm.common import cut, parts
+from tasklore.llm.common import cut, in_arrow, parts
 
 GROUP = 50_000
 END_ID = 2
@@ -120,7 +120,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, paths: tuple[str, str] |
             kinds = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], [n for n, _ in kinds])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut_up, PIECES)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), cut_up, PIECES)
 
 
 def pack_best_fit(docs: DataFrame, capacity: int = 1024, paths: tuple[str, str] | None = None, group: int = GROUP) -> DataFrame:

@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tasklore.llm.common import in_arrow
+
 # Fixed values of HTML: elements by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -232,7 +234,7 @@ def _subtrees(pages: DataFrame) -> DataFrame:
                 kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "mark", "hashes"])
 
-    return pages.select("host", "html").mapInArrow(scan, "host string, mark long, hashes array<long>")
+    return in_arrow(pages.select("host", "html"), scan, "host string, mark long, hashes array<long>")
 
 
 def main_text(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
@@ -261,4 +263,4 @@ def main_text(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> Dat
 
     kind = given.schema["page_id"].dataType.simpleString()
     joined = given.join(template, "host", "left").select("page_id", "url", "html", "template")
-    return joined.mapInArrow(scan, f"page_id {kind}, url string, text string, n_chars long")
+    return in_arrow(joined, scan, f"page_id {kind}, url string, text string, n_chars long")

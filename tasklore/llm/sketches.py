@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklore.llm.common import parts, text_or_empty
+from tasklore.llm.common import in_arrow, parts, text_or_empty
 
 SMALLEST = 9
 #: Characters from which on a sentence's end also ends a paragraph.
@@ -185,7 +185,7 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
             yield _batch(out)
 
     rows = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
-    return rows.mapInArrow(scan, RESULT)
+    return in_arrow(rows, scan, RESULT)
 
 
 def _versions(own: tuple, following: tuple) -> tuple:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklore.llm.common import parts, text_or_empty
+from tasklore.llm.common import in_arrow, parts, text_or_empty
 from tasklore.llm.grouping import groups
 from tasklore.llm.shingles import buffer_of, chunks, mix, powers
 
@@ -145,7 +145,7 @@ def _anchor_counts(docs: DataFrame) -> DataFrame:
                 rows = pa.array(doc[first] + a)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), batch.column(1).take(rows), batch.column(0).take(rows), pa.array(np.diff(np.append(first, len(doc))))], ["h", "tid", "rep", "n"])
 
-    return docs.select("doc_id", "tid", "text").mapInArrow(scan, "h long, tid long, rep long, n long")
+    return in_arrow(docs.select("doc_id", "tid", "text"), scan, "h long, tid long, rep long, n long")
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def _contexts(docs: DataFrame) -> DataFrame:
             if rows:
                 yield _record(rows)
 
-    return docs.select("tid", "text", "hs").mapInArrow(scan, "h long, tid long, at long, left long, context binary")
+    return in_arrow(docs.select("tid", "text", "hs"), scan, "h long, tid long, at long, left long, context binary")
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
@@ -199,7 +199,7 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["tid", "start", "stop"])
 
     dealt = contexts.repartition(parts(contexts.sparkSession), "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(scan, "tid long, start long, stop long")
+    return in_arrow(dealt, scan, "tid long, start long, stop long")
 
 
 def _counted_spans(docs: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _counted_spans(docs: DataFrame) -> DataFrame:
                 cols = [rolling(raw, LEAST, k)[starts].view(np.int64) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(starts), tid)), pa.array(starts)], ["h", "h2", "tid", "start"])
 
-    strings = docs.select("tid", "text", "hs").mapInArrow(scan, "h long, h2 long, tid long, start long").distinct()
+    strings = in_arrow(docs.select("tid", "text", "hs"), scan, "h long, h2 long, tid long, start long").distinct()
     again = strings.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return strings.join(again, ["h", "h2"]).select("tid", "start", (F.col("start") + LEAST).alias("stop"))
 
@@ -240,7 +240,7 @@ def _merged(spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["tid", "spans"])
 
     listed = spans.groupBy("tid").agg(F.collect_list("start").alias("a"), F.collect_list("stop").alias("b"))
-    return listed.mapInArrow(scan, "tid long, spans array<struct<start: long, stop: long>>")
+    return in_arrow(listed, scan, "tid long, spans array<struct<start: long, stop: long>>")
 
 
 def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:

@@ -203,6 +203,22 @@ def test_mixing(docs, none, rows):
     assert mixing.pareto_mix(none).count() == 0
 
 
+def test_mixing_meets_targets_with_unequal_odds(spark):
+    rng = random.Random(6)
+    made = [(k, " ".join(["w"] * rng.choice([1, 3, 20, 120, 700])), ["a", "a", "b", "c", None][k % 5]) for k in range(6000)]
+    given = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(4)
+    got = mixing.pareto_mix(given).collect()
+    for source in ("a", "b", "c", None):
+        rows = [r for r in got if r["source"] == source]
+        assert sum(r["taken"] for r in rows) == pytest.approx(rows[0]["target"], abs=700)
+    # expected copies are proportional to the measure, where the cap does not hold them
+    rows = [r for r in got if r["source"] == "c"]
+    mean = {s: sum(r["copies"] for r in rows if r["size"] == s) / sum(r["size"] == s for r in rows) for s in (1, 3, 20, 120, 700)}
+    level = mean[700] / 20
+    for s, tenths in ((1, 11), (3, 12), (20, 15), (120, 17), (700, 20)):
+        assert mean[s] == pytest.approx(min(2, level * tenths), abs=0.1)
+
+
 def test_language(spark, docs, none):
     dicts = {"en": langid.plain("the cat and the dog sat on the mat with that " * 40), "de": langid.plain("der hund und die katze sind nicht auf dem dach " * 40)}
     given = spark.createDataFrame([(1, "the dog and the cat on the mat"), (2, "die katze und der hund auf dem dach"), (3, None), (4, "12 ?!")], "doc_id long, text string")
@@ -263,6 +279,33 @@ def test_secret_network_holds_its_recall():
     assert found[y == 1].mean() >= 0.93 and found[y == 0].mean() <= 0.05
 
 
+def test_secret_network_on_kinds_it_was_not_trained_on():
+    net = secrets.trained()
+    x, y = secrets.labelled_findings(800, seed=4, unseen=True)
+    found = net.scores(x) >= net.threshold
+    assert found[y == 1].mean() >= 0.95 and found[y == 1].sum() >= 0.95 * found.sum()
+
+
+def test_base_spans_match_a_plain_scan(spark):
+    rng = random.Random(12)
+    parts = ["password = ", "passwd:'", "SECRET=", "api_key\": \"", "apikey :", "token=", "AKIA" + "Z" * 16, "AKIAXYZ", "deadbeef" * 3, "abc", "0123456789abcdef" * 2, "é", " ", "\n", "x/y+z==", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(300)] + [None, "", "token=" + "a" * 200_000]
+    given = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").unionByName(spark.createDataFrame([(0, texts[0])], "doc_id long, text string"))
+    kinds = {"assign": re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")}
+    rows = {}
+    for k, t in enumerate(texts):
+        found = []
+        for nth, (kind, pattern) in enumerate(kinds.items()):
+            for m in pattern.finditer(t or ""):
+                if len(m[2] if kind == "assign" else m[0]) >= {"assign": 6, "access": 20, "hex": 24}[kind]:
+                    found.append((m.start(), nth, kind, m.end()))
+        rows[k] = (*(sum(f[2] == kind for f in found) for kind in kinds), hashlib.sha256(",".join(f"{f[2]}:{f[0]}:{f[3]}" for f in sorted(found)).encode()).hexdigest())
+    got = secrets.scan_secrets(given).collect()
+    assert len(got) == len(texts) + 1
+    assert all((r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == rows[r["doc_id"]] for r in got)
+    assert all(x in r["spans"].split(",") for r in got if r["n_assign"] for x in [r["spans"].split(",")[0]])
+
+
 def test_secret_network_sees_every_long_token():
     import numpy as np
 
