@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklore.llm.common import in_arrow
+from tasklore.llm.common import cut, in_arrow
 
 #: Bounds of the training sample: texts a language, characters of each (from a place that its id decides), bytes a dictionary.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICT_BYTES = 300, 400, 112_640
@@ -43,7 +43,7 @@ def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """
     place = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("place")
     known = labelled.where(F.col("lang").isNotNull())
-    counts = known.groupBy("lang").agg((F.lit(4.0 * SAMPLE_TEXTS) / F.count("*")).alias("below"))
+    counts = cut(known.groupBy("lang").agg((F.lit(4.0 * SAMPLE_TEXTS) / F.count("*")).alias("below")))  # of known size when joined
     start = F.floor(F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)) + 1
     drawn = known.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", place, F.col("text").substr(start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     order = Window.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text"))

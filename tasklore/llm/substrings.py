@@ -1,12 +1,13 @@
 """Exact removal of long repeated byte strings with a sparse enhanced suffix array (operator 1).
 
-Every string of LEAST bytes holds an anchor: a position whose 64-byte hash is the smallest of a window as long as the
+Every string of PASSAGE bytes holds an anchor: a position whose 64-byte hash is the smallest of a window as long as the
 string allows, so equal strings have equal anchors at equal places. Anchors found once are dropped. Around each of the
 others a document gives the bytes that strings through the anchor can reach. The suffixes that start at equal anchors
 are sorted in a task; a scan with a stack over their common prefixes visits the tree of common-prefix intervals from
 below, and merging the intervals' members in order of their left contexts tells how far each is preceded alike by
-another one: where the left contexts part, a maximal repeat ends, and all its occurrences are covered. Anchors with
-more than GROUP occurrences go another exact way: their strings' hashes are counted in Spark.
+another one: where the left contexts part, a maximal repeat ends, and all its occurrences are covered. Anchors are set
+for strings of PASSAGE bytes, so the same scan also tells which bytes shorter repeated passages cover. Anchors with more
+than GROUP occurrences go another exact way, which spreads them over all tasks: their strings' hashes are counted in Spark.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklore.llm.common import in_arrow, parts, text_or_empty
+from tasklore.llm.common import cut, in_arrow, parts, text_or_empty
 from tasklore.llm.grouping import groups
 from tasklore.llm.shingles import buffer_of, chunks, mix, powers
 
-LEAST, GRAM = 400, 64
-SPAN = LEAST - GRAM + 1
+#: Bytes of a repeated string that is removed, of one that is reported as a passage, and of an anchor.
+LEAST, PASSAGE, GRAM = 400, 256, 64
+SPAN = PASSAGE - GRAM + 1
+ID = ["t1", "t2"]
 #: Contexts of an anchor that one task sorts; beyond it, string hashes are counted instead.
 GROUP = 16_384
 _U = np.uint64
@@ -56,12 +59,12 @@ def sliding(x: np.ndarray, width: int, of: np.ufunc, pad: int) -> np.ndarray:
 
 def anchors(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors of the texts raw[edges[k]:edges[k + 1]], laid end to end."""
-    starts = np.zeros(len(raw) + 1, np.int32)  # how many strings of LEAST bytes start at a place: 1 or 0
-    long = np.diff(edges) >= LEAST
+    starts = np.zeros(len(raw) + 1, np.int32)  # how many strings of PASSAGE bytes start at a place: 1 or 0
+    long = np.diff(edges) >= PASSAGE
     if not long.any():
         return np.empty(0, np.int64), np.empty(0, _U)
     np.add.at(starts, edges[:-1][long], 1)
-    np.add.at(starts, edges[1:][long] - LEAST + 1, -1)
+    np.add.at(starts, edges[1:][long] - PASSAGE + 1, -1)
     starts = np.cumsum(starts)[:-1] > 0
     hashes = rolling(raw, GRAM)
     least = sliding(hashes, SPAN, np.minimum, 2**64 - 1)
@@ -77,7 +80,7 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
-def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = LEAST, gram: int = GRAM) -> list[tuple[int, int, int]]:
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = PASSAGE, gram: int = GRAM) -> list[tuple[int, int, int]]:
     """Members of one anchor by their left contexts, reversed, and right contexts -> (member, left, right): the reach of
     strings of `least` bytes or more, `gram` of them to the right, that the member shares with another one."""
     out: list[tuple[int, int, int]] = []
@@ -130,9 +133,11 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = LEAST,
 
 
 def _anchor_counts(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, t1, t2, text) -> h, t1, t2, rep, n: a row for each text and anchor."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = buffer_of(batch.column(2))
+            raw, offsets = buffer_of(batch.column(3))
             for a, b in chunks(offsets):
                 edges = offsets[a : b + 1] - offsets[a]
                 at, hashes = anchors(raw[offsets[a] : offsets[b]], edges)
@@ -143,18 +148,19 @@ def _anchor_counts(docs: DataFrame) -> DataFrame:
                 doc, hashes = doc[order], hashes[order]
                 first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])))
                 rows = pa.array(doc[first] + a)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), batch.column(1).take(rows), batch.column(0).take(rows), pa.array(np.diff(np.append(first, len(doc))))], ["h", "tid", "rep", "n"])
+                own = [batch.column(k).take(rows) for k in (1, 2, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), *own, pa.array(np.diff(np.append(first, len(doc))))], ["h", "t1", "t2", "rep", "n"])
 
-    return in_arrow(docs.select("doc_id", "tid", "text"), scan, "h long, tid long, rep long, n long")
+    return in_arrow(docs.select("doc_id", "t1", "t2", "text"), scan, "h long, t1 long, t2 long, rep long, n long")
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """docs (tid, text, hs) -> h, tid, at, left, context; and rows without a context: repeats within one text, from at to left."""
+    """docs (t1, t2, text, hs) -> h, t1, t2, at, left, context; and rows without a context: repeats within one text, from at to left."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for tid, text, hs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
+            for t1, t2, text, hs in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True):
                 at, hashes = anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
                 ok = np.isin(hashes, hs.values.to_numpy(zero_copy_only=False).view(_U))
                 seen: dict[tuple[int, int, bytes], int] = {}
@@ -163,110 +169,131 @@ def _contexts(docs: DataFrame) -> DataFrame:
                     one = h, left, text[p - left : p + LEAST]
                     if one not in seen:
                         seen[one] = p
-                        rows.append((h, tid, p, left, one[2]))
-                    elif len(one[2]) >= LEAST:
+                        rows.append((h, t1, t2, p, left, one[2]))
+                    elif len(one[2]) >= PASSAGE:
                         for q in {seen[one], p}:
-                            rows.append((h, tid, q - left, q - left + len(one[2]), None))
+                            rows.append((h, t1, t2, q - left, q - left + len(one[2]), None))
                 if len(rows) > 20_000:
                     yield _record(rows)
                     rows = []
             if rows:
                 yield _record(rows)
 
-    return in_arrow(docs.select("tid", "text", "hs"), scan, "h long, tid long, at long, left long, context binary")
+    return in_arrow(docs.select(*ID, "text", "hs"), scan, "h long, t1 long, t2 long, at long, left long, context binary")
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "tid", "at", "left", "context"])
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "t1", "t2", "at", "left", "context"])
+
+
+SPANS = "t1 long, t2 long, start long, stop long"
+
+
+def _spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["t1", "t2", "start", "stop"])
 
 
 def _sorted_spans(contexts: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         for group in groups(batches, 1):
-            tids, ats, lefts = (group.column(k).to_pylist() for k in (1, 2, 3))
-            texts = group.column(4).to_pylist()
-            if len(texts) > 1:
-                out += [(t, a, e) for t, a, e, c in zip(tids, ats, lefts, texts, strict=True) if c is None]
+            if group.num_rows > 1:
+                ids = list(zip(*(group.column(k).to_pylist() for k in (1, 2)), strict=True))
+                ats, lefts, texts = (group.column(k).to_pylist() for k in (3, 4, 5))
+                out += [(*ids[k], ats[k], lefts[k]) for k, c in enumerate(texts) if c is None]
                 own = [k for k, c in enumerate(texts) if c is not None]
                 found = maximal_repeats([texts[k][: lefts[k]][::-1] for k in own], [texts[k][lefts[k] :] for k in own])
-                out += [(tids[own[m]], ats[own[m]] - left, ats[own[m]] + right) for m, left, right in found]
+                out += [(*ids[own[m]], ats[own[m]] - left, ats[own[m]] + right) for m, left, right in found]
             if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["tid", "start", "stop"])
+                yield _spans(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["tid", "start", "stop"])
+            yield _spans(out)
 
     dealt = contexts.repartition(parts(contexts.sparkSession), "h").sortWithinPartitions("h")
-    return in_arrow(dealt, scan, "tid long, start long, stop long")
+    return in_arrow(dealt, scan, SPANS)
 
 
 def _counted_spans(docs: DataFrame) -> DataFrame:
-    """docs (tid, text, hs): the strings through anchors with very many occurrences, by their hashes' counts."""
+    """docs (t1, t2, text, hs): the strings through anchors with very many occurrences, by their hashes' counts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tid, text, hs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
+            for t1, t2, text, hs in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True):
                 raw = np.frombuffer(text, np.uint8)
                 at, hashes = anchors(raw, np.array([0, len(text)]))
-                wanted = np.zeros(len(text) - LEAST + 2, np.int64)
-                for p in at[np.isin(hashes, hs.values.to_numpy(zero_copy_only=False).view(_U))].tolist():
-                    wanted[max(0, p + GRAM - LEAST)] += 1
-                    wanted[min(p + 1, len(wanted) - 1)] -= 1
-                starts = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
-                cols = [rolling(raw, LEAST, k)[starts].view(np.int64) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(len(starts), tid)), pa.array(starts)], ["h", "h2", "tid", "start"])
-
-    strings = in_arrow(docs.select("tid", "text", "hs"), scan, "h long, h2 long, tid long, start long").distinct()
-    again = strings.groupBy("h", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return strings.join(again, ["h", "h2"]).select("tid", "start", (F.col("start") + LEAST).alias("stop"))
+                at = at[np.isin(hashes, hs.values.to_numpy(zero_copy_only=False).view(_U))]
+                for width in (PASSAGE, LEAST):
+                    if len(text) < width:
+                        continue
+                    wanted = np.zeros(len(text) - width + 2, np.int64)
+                    np.add.at(wanted, np.maximum(0, at + GRAM - width), 1)
+                    np.add.at(wanted, np.minimum(at + 1, len(wanted) - 1), -1)
+                    starts = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
+                    cols = [rolling(raw, width, k)[starts].view(np.int64) for k in (0, 1)] + [np.full(len(starts), x) for x in (t1, t2)] + [starts, starts + width]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["h", "h2", "t1", "t2", "start", "stop"])
+
+    strings = in_arrow(docs.select(*ID, "text", "hs"), scan, "h long, h2 long, " + SPANS).withColumn("width", F.col("stop") - F.col("start"))
+    again = strings.groupBy("h", "h2", "width").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return strings.join(again, ["h", "h2", "width"]).select(*ID, "start", "stop")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """tid, spans: the union of a text's spans as an array of (start, stop); a text's own spans meet in one task."""
+    """t1, t2, spans, n_passage_bytes: the union of a text's spans of LEAST bytes as an array of (start, stop), and the bytes
+    that all its spans cover; a text's own spans meet in one task."""
+
+    def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], np.maximum.accumulate(b[order])
+        first = np.append(True, a[1:] > b[:-1])[: len(a)]
+        last = np.append(np.flatnonzero(first)[1:] - 1, len(a) - 1)[: first.sum()]
+        return a[first], b[last]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for starts, stops in zip(batch.column(1), batch.column(2), strict=True):
+            out, covered = [], []
+            for starts, stops in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = (x.values.to_numpy(zero_copy_only=False) for x in (starts, stops))
-                order = np.argsort(a, kind="stable")
-                a, b = a[order], np.maximum.accumulate(b[order])
-                first = np.append(True, a[1:] > b[:-1])
-                last = np.append(np.flatnonzero(first)[1:] - 1, len(a) - 1)
-                out.append([{"start": x, "stop": y} for x, y in zip(a[first].tolist(), b[last].tolist(), strict=True)])
+                covered.append(int(np.subtract(*union(a, b)[::-1]).sum()))
+                a, b = union(a[b - a >= LEAST], b[b - a >= LEAST])
+                out.append([{"start": x, "stop": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["tid", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, kind), pa.array(covered, pa.int64())], ["t1", "t2", "spans", "covered"])
 
-    listed = spans.groupBy("tid").agg(F.collect_list("start").alias("a"), F.collect_list("stop").alias("b"))
-    return in_arrow(listed, scan, "tid long, spans array<struct<start: long, stop: long>>")
+    listed = spans.groupBy(*ID).agg(F.collect_list("start").alias("a"), F.collect_list("stop").alias("b"))
+    return in_arrow(listed, scan, "t1 long, t2 long, spans array<struct<start: long, stop: long>>, covered long")
 
 
 def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, stop in bytes) for every row of docs (doc_id, text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes, has_passage, spans (start, stop in bytes) for every
+    row of docs (doc_id, text). n_passage_bytes: covered by strings of PASSAGE bytes that also start elsewhere.
 
     A null text counts as empty. Texts that occur more than once are removed whole if they have LEAST bytes; so are
-    repeated rows. One copy of each (by its 64-bit hash) meets the other texts. An empty table gives an empty result.
+    repeated rows. One copy of each (by 128 bits of hash) meets the other texts. An empty table gives an empty result.
     """
     text = text_or_empty()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tid"))
-    counts = _anchor_counts(rows).groupBy("h", "tid").agg(F.min("rep").alias("rep"), F.max("n").alias("n"))
-    again = counts.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1")
-    listed = counts.join(again, "h").groupBy("tid").agg(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"))
+    counts = cut(_anchor_counts(rows))
+    # copies of a text count in times, which only chooses the way; two texts, or one that holds it twice, make an anchor
+    again = counts.groupBy("h").agg(F.count("*").alias("times"), F.min("t1").alias("low"), F.max("t1").alias("high"), F.max("n").alias("n"))
+    again = again.where("low < high or n > 1").select("h", "times")
+    listed = counts.drop("n").join(again, "h").groupBy(*ID).agg(
         F.min("rep").alias("rep"),
-        F.collect_list(F.when(F.col("times") <= group, F.col("h"))).alias("few"),
-        F.collect_list(F.when(F.col("times") > group, F.col("h"))).alias("many"),
+        F.collect_set(F.when(F.col("times") <= group, F.col("h"))).alias("few"),
+        F.collect_set(F.when(F.col("times") > group, F.col("h"))).alias("many"),
     )
-    met = rows.join(listed, "tid").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    met = rows.join(listed, ID).where(F.col("doc_id").eqNullSafe(F.col("rep")))
     spans = _sorted_spans(_contexts(met.where(F.size("few") > 0).withColumnRenamed("few", "hs")))
     spans = spans.unionByName(_counted_spans(met.where(F.size("many") > 0).withColumnRenamed("many", "hs")))
-    copies = rows.groupBy("tid").agg(F.count("*").alias("n_copies")).where("n_copies > 1")
+    copies = rows.groupBy(*ID).agg(F.count("*").alias("n_copies")).where("n_copies > 1")
     size = F.octet_length("text").cast("long")
     none = F.expr("cast(array() as array<struct<start: long, stop: long>>)")
-    out = rows.join(_merged(spans), "tid", "left").join(copies, "tid", "left").withColumn("n_bytes", size)
+    out = rows.join(_merged(spans), ID, "left").join(copies, ID, "left").withColumn("n_bytes", size)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
-    out = out.withColumn("spans", F.when((F.col("n_copies") > 1) & (F.col("n_bytes") >= LEAST), whole).otherwise(F.coalesce("spans", none)))
+    copied = F.coalesce(F.col("n_copies") > 1, F.lit(False))
+    out = out.withColumn("spans", F.when(copied & (F.col("n_bytes") >= LEAST), whole).otherwise(F.coalesce("spans", none)))
+    out = out.withColumn("n_passage_bytes", F.when(copied & (F.col("n_bytes") >= PASSAGE), F.col("n_bytes")).otherwise(F.coalesce("covered", F.lit(0))))
     out = out.withColumn("raw", F.col("text").cast("binary"))
     pieces = (
         "transform(sequence(0, size(spans)), k -> hex(substring(raw, cast(if(k = 0, 0L, spans[greatest(k - 1, 0)].stop) + 1 as int),"
@@ -279,5 +306,7 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
         F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2(kept, 256).alias("kept_sha256"),
+        "n_passage_bytes",
+        (F.col("n_passage_bytes") > 0).alias("has_passage"),
         "spans",
     )

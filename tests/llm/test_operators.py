@@ -44,17 +44,23 @@ def none(spark):
 
 def test_substrings(docs, none, rows):
     texts = [(r[1] or "").encode() for r in rows]
-    seen = Counter(t[p : p + 400] for t in texts for p in range(len(t) - 399))
+
+    def covered(width):
+        seen = Counter(t[p : p + width] for t in texts for p in range(len(t) - width + 1))
+        for t in texts:
+            gone = bytearray(len(t) + 1)
+            for p in range(len(t) - width + 1):
+                if seen[t[p : p + width]] > 1:
+                    gone[p : p + width] = b"\1" * width
+            yield gone
+
     want = []
-    for t in texts:
-        gone = bytearray(len(t) + 1)
-        for p in range(len(t) - 399):
-            if seen[t[p : p + 400]] > 1:
-                gone[p : p + 400] = b"\1" * 400
+    for t, gone, passages in zip(texts, covered(400), covered(256), strict=True):
         kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
-        want.append((len(t), sum(gone), sum(gone[k] and not (k and gone[k - 1]) for k in range(len(t))), hashlib.sha256(kept).hexdigest()))
+        want.append((len(t), sum(gone), sum(gone[k] and not (k and gone[k - 1]) for k in range(len(t))), hashlib.sha256(kept).hexdigest(), sum(passages)))
+    assert any(0 < w[1] < w[4] for w in want)
     for group in (16_384, 1):
-        got = substrings.remove_repeats(docs, group).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        got = substrings.remove_repeats(docs, group).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes").collect()
         assert Counter((r[0], *r[1:]) for r in got) == Counter((r[0], *w) for r, w in zip(rows, want, strict=True))
     assert substrings.remove_repeats(none).count() == 0
 
