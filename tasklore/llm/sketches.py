@@ -2,9 +2,10 @@
 
 A text is cut into paragraphs (lines, and in long lines runs of sentences); each has a digest, the k-th repeat one of
 its own. A sketch holds cells of (count, digests XOR-ed, checks XOR-ed), each digest in three cells of every level, and
-levels of doubling size up to what the text's own number of paragraphs needs. Two sketches subtract cell by cell, what
-they share cancels out, and peeling cells with one digest recovers what differs; where a level is too small for the
-difference, the next larger one is tried. Likeness is the Jaccard similarity of the paragraphs that this gives.
+levels of doubling size, of which up to half a cell a paragraph is stored. Two sketches subtract cell by cell, what they
+share cancels out, and peeling cells with one digest recovers what differs; where a level is too small for the difference,
+the next larger one is tried, made from the digests where it is not stored. Likeness is the Jaccard similarity of the
+paragraphs that this gives.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -54,8 +56,9 @@ def digests(text: str) -> np.ndarray:
 
 
 def level_sizes(n: int) -> list[int]:
+    """The levels of a stored sketch: up to half as many cells as paragraphs, 16 bytes each."""
     sizes = [SMALLEST]
-    while sizes[-1] < 2 * n + SMALLEST:
+    while sizes[-1] < n // 2:
         sizes.append(2 * sizes[-1])
     return sizes
 
@@ -70,24 +73,35 @@ def checks_of(own: np.ndarray) -> np.ndarray:
     return (own * _U(0x9E3779B97F4A7C15) >> _U(32)).astype(np.uint32)
 
 
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class Sketch:
-    def __init__(self, n: int, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.n, self.levels = n, levels
+    """Levels of cells; with the digests at hand (own), also any larger level on demand."""
+
+    def __init__(self, n: int, levels: list[Level], own: np.ndarray | None = None):
+        self.n, self.levels, self.own = n, levels, own
 
     @classmethod
     def of(cls, text: str) -> Sketch:
-        own = digests(text)
-        thrice, checks, levels = np.tile(own, 3), np.tile(checks_of(own), 3), []
-        for size in level_sizes(len(own)):
-            at = cells_of(own, size).ravel()
+        out = cls(len(own := digests(text)), [], own)
+        for k in range(len(level_sizes(out.n))):
+            out.level(k)
+        return out
+
+    def level(self, k: int) -> Level | None:
+        while len(self.levels) <= k and self.own is not None:
+            size = SMALLEST << len(self.levels)
+            at = cells_of(self.own, size).ravel()
             keys, marks = np.zeros(size, _U), np.zeros(size, np.uint32)
-            np.bitwise_xor.at(keys, at, thrice)
-            np.bitwise_xor.at(marks, at, checks)
-            levels.append((np.bincount(at, minlength=size).astype("<i4"), keys, marks))
-        return cls(len(own), levels)
+            np.bitwise_xor.at(keys, at, np.tile(self.own, 3))
+            np.bitwise_xor.at(marks, at, np.tile(checks_of(self.own), 3))
+            self.levels.append((np.bincount(at, minlength=size).astype("<i4"), keys, marks))
+        return self.levels[k] if k < len(self.levels) else None
 
     def encode(self) -> str:
-        raw = self.n.to_bytes(4, "little") + b"".join(c.tobytes() + k.tobytes() + m.tobytes() for c, k, m in self.levels)
+        kept = self.levels[: len(level_sizes(self.n))]
+        raw = self.n.to_bytes(4, "little") + b"".join(c.tobytes() + k.tobytes() + m.tobytes() for c, k, m in kept)
         return base64.b64encode(raw).decode()
 
     @classmethod
@@ -103,16 +117,22 @@ class Sketch:
         return cls(n, levels)
 
     def difference(self, other: Sketch) -> tuple[np.ndarray, np.ndarray] | None:
-        """Digests of this one alone and of the other alone; None if no level that both have is large enough."""
-        for (c1, k1, m1), (c2, k2, m2) in zip(self.levels, other.levels, strict=False):
-            if abs(self.n - other.n) <= len(c1) and (found := peel(c1 - c2, k1 ^ k2, m1 ^ m2)) is not None:
+        """Digests of this one alone and of the other alone. After a failure the next larger level is tried, as long as both
+        have one; None if a stored sketch ends before. Between sketches with their digests there always is a larger level;
+        should peeling still fail at eight cells a digest, the digests are compared."""
+        k = max(0, (abs(self.n - other.n) // SMALLEST).bit_length())
+        while (a := self.level(k)) is not None and (b := other.level(k)) is not None:
+            if (found := peel(a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2])) is not None:
                 return found
+            if self.own is not None and other.own is not None and SMALLEST << k > 8 * (self.n + other.n) + 64:
+                return np.setdiff1d(self.own, other.own), np.setdiff1d(other.own, self.own)
+            k += 1
         return None
 
-    def likeness(self, other: Sketch) -> float:
-        """Shared paragraphs over all of both; 1 for two without any, 0 if the difference is too large to recover."""
+    def likeness(self, other: Sketch) -> float | None:
+        """Shared paragraphs over all of both; 1 for two without any; None if stored sketches are too small for the difference."""
         if (found := self.difference(other)) is None:
-            return 0.0
+            return None
         union = self.n + len(found[1])
         return (self.n - len(found[0])) / union if union else 1.0
 
@@ -139,23 +159,32 @@ def peel(counts: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> tuple[np.nd
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) dealt into ranges of doc_id and sorted: bucket, guest, doc_id, text.
 
-    In a bucket the rows stand by descending doc_id (null last; then by the text's hash), and after them, as guest 1,
-    the first row of the next bucket that has any, or of the first bucket after the last. A number for each bucket
+    In a bucket, a task each, the rows stand by descending doc_id (null last; then by the text's hash), and after them, as
+    guest 1, the first row of the next bucket that has any, or of the first bucket after the last. A number for each bucket
     reaches the driver.
     """
     n = max(1, parts(docs.sparkSession))
-    bounds = sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
-    edges = F.array(*[F.lit(int(x)) for x in bounds]) if bounds else F.expr("cast(array() as array<bigint>)")
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(edges, lambda x: x < F.col("doc_id"))))
-    rows = docs.withColumn("bucket", bucket)
-    heads = sorted(((r["bucket"], r["top"]) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()), reverse=True)
-    goes = F.lit(None).cast("int")
-    for (target, _), (_, top) in zip(heads, heads[1:] + heads[:1], strict=True):
-        goes = F.when(F.col("doc_id").eqNullSafe(F.lit(top).cast("long")), F.lit(target)).otherwise(goes)
-    guests = rows.withColumn("bucket", goes).where(F.col("bucket").isNotNull()).withColumn("guest", F.lit(1))
-    both = rows.withColumn("guest", F.lit(0)).unionByName(guests).withColumn("mark", F.xxhash64("text"))
+    edges = np.array(sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else [], np.float64)
+    place = lambda ids: np.where(np.isnan(ids), 0, np.searchsorted(edges, ids, "left") + 1)
+
+    @F.pandas_udf("int")
+    def bucket_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(place(ids.to_numpy(np.float64, na_value=np.nan)))
+
+    tops = docs.select("doc_id", bucket_of("doc_id").alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("top"))
+    heads = sorted(((r["bucket"], r["top"]) for r in tops.collect()), reverse=True)
+    following = zip(heads, heads[1:] + heads[:1], strict=True)
+    guest_of = {top: target for (target, _), (_, top) in following}
+
+    @F.pandas_udf("array<int>")
+    def buckets_of(ids: pd.Series) -> pd.Series:
+        own = place(ids.to_numpy(np.float64, na_value=np.nan))
+        exact = [None if pd.isna(x) else int(x) for x in ids]
+        return pd.Series([[int(b), guest_of[x]] if x in guest_of else [int(b)] for b, x in zip(own, exact, strict=True)])
+
+    both = docs.select("doc_id", "text", F.posexplode(buckets_of("doc_id")).alias("guest", "bucket")).withColumn("mark", F.xxhash64("text"))
     order = ["bucket", "guest", F.col("doc_id").desc_nulls_last(), "mark"]
-    return both.repartition(max(n, len(heads)), "bucket").sortWithinPartitions(*order).select("bucket", "guest", "doc_id", "text")
+    return both.repartitionById(max(n, len(edges) + 2), "bucket").sortWithinPartitions(*order).select("bucket", "guest", "doc_id", "text")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
