@@ -2,7 +2,7 @@
 
 A page becomes a tree of elements. Each subtree has a hash of its tags and text; Spark counts the hashes over the distinct
 texts of a host's pages, so that copies of a page make nothing a template, and subtrees that recur in a large share of
-them are the host's template and are deleted, inside articles too. Elements that by name, role or class are no article
+them are the host's template and are deleted; inside articles only containers are, not paragraphs or headings. Elements that by name, role or class are no article
 text (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) go on every page.
 """
 
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasklore.llm.common import in_arrow
+from tasklore.llm.common import cut, in_arrow
 
 # Fixed values of HTML: elements by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +44,14 @@ MARKS = frozenset(
     " breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share"
     " sharing social related recommended comment comments disqus replies respond pagination pager widget toolbar skip".split()
 )
+#: Parts that say nothing by themselves: a class of marks and these is a mark ("ad-slot"), one with another word is not ("share-price").
+NEUTRAL = frozenset(
+    "box bar list block wrapper wrap container section area inner outer content slot unit top bottom left right main page site global primary secondary"
+    " links link buttons button btn items item form thread post posts article articles entry text image images icon icons fixed sticky mobile desktop panel"
+    " pane col column row group small large header title body js the to my your our and of for by on in".split()
+)
+#: Elements whose recurring text inside an article is still article text, as paragraphs and headings are.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption summary".split())
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^"'>]|"[^"]*"|'[^']*')*|[^>]*)>""", re.S
 )
@@ -75,11 +83,17 @@ def _dropped(name: str, rest: str, in_article: bool) -> bool:
             return True
         if key == "style" and HIDDEN_STYLE.search(value):
             return True
-        if key in ("class", "id") and not MARKS.isdisjoint(x.lower() for x in SPLIT.split(value)):
+        if key in ("class", "id") and any(map(_marked, value.split())):
             return True
     return False
 
 
+def _marked(name: str) -> bool:
+    """Whether a class or id is made of marks, with neutral parts and numbers between."""
+    own = [x.lower() for x in SPLIT.split(name) if x and not x.isdigit()]
+    return not MARKS.isdisjoint(own) and all(x in MARKS or x in NEUTRAL for x in own)
+
+
 def parse(page: str) -> Node:
     root = Node("#root")
     stack, at, articles = [root], 0, 0
@@ -177,7 +191,7 @@ def blocks(root: Node, template: set[int] | frozenset[int] = frozenset()) -> str
     goes as a whole only if another one stays."""
     mains = main_nodes(root)
     mains = [x for x in mains if signed(x.hash) not in template] or mains
-    top = set(map(id, mains))
+    top, whole = set(map(id, mains)), BLOCK - TEXT if mains else BLOCK
     out: list[str] = []
     held: list[str] = []
 
@@ -193,7 +207,7 @@ def blocks(root: Node, template: set[int] | frozenset[int] = frozenset()) -> str
             flush()
         elif isinstance(x, str):
             held.append(x)
-        elif x.dropped or (id(x) not in top and x.name in BLOCK and x.children and signed(x.hash) in template):
+        elif x.dropped or (id(x) not in top and x.name in whole and x.children and signed(x.hash) in template):
             if x.name in BLOCK:
                 flush()
         elif x.name == "br":
@@ -247,20 +261,25 @@ def main_text(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> Dat
     texts = _subtrees(given).groupBy("host", "mark").agg(F.array_distinct(F.flatten(F.collect_set("hashes"))).alias("hashes"))
     # h null: distinct texts in all
     counts = texts.select("host", F.explode(F.concat("hashes", F.array(F.lit(None).cast("long")))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
-    counts = counts.where(F.col("h").isNull() | (F.col("n") >= least))
+    counts = cut(counts.where(F.col("h").isNull() | (F.col("n") >= least)))
     total = counts.where("h is null").select("host", F.col("n").alias("n_texts"))
     # at most (mean subtrees of a page) / share hashes a host: bounded whatever the number of its pages
     template = counts.where("h is not null").join(total, "host").where(F.col("n") >= share * F.col("n_texts"))
     template = template.groupBy("host").agg(F.collect_list("h").alias("template"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str | None, frozenset[int]] = (None, frozenset())
         for batch in batches:
             texts = []
-            for page, template in zip(batch.column(2), batch.column(3), strict=True):
-                hashed(root := parse(page.as_py()))
-                texts.append(blocks(root, set(template.as_py() or ())))
+            for page, host, template in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if host != last[0]:
+                    last = host, frozenset(template.as_py() or ())
+                root = parse(page.as_py())
+                if last[1]:
+                    hashed(root)
+                texts.append(blocks(root, last[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = given.schema["page_id"].dataType.simpleString()
-    joined = given.join(template, "host", "left").select("page_id", "url", "html", "template")
+    joined = given.join(template, "host", "left").select("page_id", "url", "html", "host", "template")
     return in_arrow(joined, scan, f"page_id {kind}, url string, text string, n_chars long")
