@@ -132,6 +132,17 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = PASSAG
     return out
 
 
+def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of the ranges from a to b, in order."""
+    if not len(a):
+        return a, b
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    first = np.append(True, a[1:] > b[:-1])
+    last = np.append(np.flatnonzero(first)[1:] - 1, len(a) - 1)
+    return a[first], b[last]
+
+
 def _anchor_counts(docs: DataFrame) -> DataFrame:
     """docs (doc_id, t1, t2, text) -> h, t1, t2, rep, n: a row for each text and anchor."""
 
@@ -155,7 +166,8 @@ def _anchor_counts(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """docs (t1, t2, text, hs) -> h, t1, t2, at, left, context; and rows without a context: repeats within one text, from at to left."""
+    """docs (t1, t2, text, hs) -> h, t1, t2, at, left, context; and rows without a context, under any h: what repeats of an
+    anchor within the text cover, from at to left, in pieces below LEAST bytes where no string of LEAST bytes repeats."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,6 +175,7 @@ def _contexts(docs: DataFrame) -> DataFrame:
             for t1, t2, text, hs in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True):
                 at, hashes = anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
                 ok = np.isin(hashes, hs.values.to_numpy(zero_copy_only=False).view(_U))
+                own: list[tuple[int, int]] = []
                 seen: dict[tuple[int, int, bytes], int] = {}
                 for p, h in zip(at[ok].tolist(), hashes[ok].view(np.int64).tolist(), strict=True):
                     left = min(p, LEAST - GRAM)
@@ -171,8 +184,12 @@ def _contexts(docs: DataFrame) -> DataFrame:
                         seen[one] = p
                         rows.append((h, t1, t2, p, left, one[2]))
                     elif len(one[2]) >= PASSAGE:
-                        for q in {seen[one], p}:
-                            rows.append((h, t1, t2, q - left, q - left + len(one[2]), None))
+                        own += [(q - left, q - left + len(one[2])) for q in {seen[one], p}]
+                if own:
+                    a, b = np.array(own).T
+                    rows += [(t1 ^ k, t1, t2, x, y, None) for k, (x, y) in enumerate(zip(*(z.tolist() for z in union(a[b - a >= LEAST], b[b - a >= LEAST])), strict=True))]
+                    short = zip(*(z.tolist() for z in union(a, b)), strict=True)
+                    rows += [(t1 ^ -k, t1, t2, x, min(x + LEAST - 1, y), None) for k, (start, y) in enumerate(short) for x in range(start, y, LEAST - 1)]
                 if len(rows) > 20_000:
                     yield _record(rows)
                     rows = []
@@ -198,7 +215,7 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, int]] = []
         for group in groups(batches, 1):
-            if group.num_rows > 1:
+            if group.num_rows:
                 ids = list(zip(*(group.column(k).to_pylist() for k in (1, 2)), strict=True))
                 ats, lefts, texts = (group.column(k).to_pylist() for k in (3, 4, 5))
                 out += [(*ids[k], ats[k], lefts[k]) for k, c in enumerate(texts) if c is None]
@@ -243,13 +260,6 @@ def _merged(spans: DataFrame) -> DataFrame:
     """t1, t2, spans, n_passage_bytes: the union of a text's spans of LEAST bytes as an array of (start, stop), and the bytes
     that all its spans cover; a text's own spans meet in one task."""
 
-    def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], np.maximum.accumulate(b[order])
-        first = np.append(True, a[1:] > b[:-1])[: len(a)]
-        last = np.append(np.flatnonzero(first)[1:] - 1, len(a) - 1)[: first.sum()]
-        return a[first], b[last]
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, covered = [], []
@@ -283,7 +293,9 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
         F.collect_set(F.when(F.col("times") <= group, F.col("h"))).alias("few"),
         F.collect_set(F.when(F.col("times") > group, F.col("h"))).alias("many"),
     )
-    met = rows.join(listed, ID).where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    # by a difference, not an equality: that would become a key of the join, which then could not share the texts' exchange
+    first = F.coalesce(F.col("doc_id") - F.col("rep") == 0, F.col("doc_id").isNull() & F.col("rep").isNull())
+    met = rows.join(listed, ID).where(first)
     spans = _sorted_spans(_contexts(met.where(F.size("few") > 0).withColumnRenamed("few", "hs")))
     spans = spans.unionByName(_counted_spans(met.where(F.size("many") > 0).withColumnRenamed("many", "hs")))
     copies = rows.groupBy(*ID).agg(F.count("*").alias("n_copies")).where("n_copies > 1")

@@ -254,7 +254,16 @@ def test_fingerprints(docs, none, rows):
         t, n = r[1] or "", following[1] or ""
         edited[r[0], hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()] += 1
     assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == edited
-    assert all(0 <= r[k] <= 1 for r in got for k in ("near_edited", "near_next"))
+    like = Counter()
+    for r, following in zip(order, order[1:] + order[:1], strict=True):
+        t, n = r[1] or "", following[1] or ""
+        own, *others = (set(sketches.digests(x).tolist()) for x in (t, t[: len(t) - len(t) // 2] + n[: len(t) // 2], n))
+        like[r[0], *(len(own & x) / len(own | x) if own | x else 1.0 for x in others)] += 1
+    assert Counter((r["doc_id"], r["near_edited"], r["near_next"]) for r in got) == like
+    by_text = {}
+    for r, (_, t, *_) in zip(sorted(got, key=lambda r: r["n_chars"]), sorted(order, key=lambda r: len(r[1] or "")), strict=True):
+        assert len(r["fingerprint"]) <= 100 + 60 * (len(sketches.digests(t or "")) + sketches.SMALLEST)
+    assert all(by_text.setdefault(r["edited_sha256"], r["edited_fingerprint"]) == r["edited_fingerprint"] for r in got)
     assert sketches.fingerprint_versions(none).count() == 0
 
 
@@ -263,6 +272,7 @@ def test_sketches_recover_differences():
     lines = [words(rng, 12) for _ in range(60)]
     a, b = "\n".join(lines), "\n".join([*lines[:50], *(words(rng, 12) for _ in range(5))])
     x, y = sketches.Sketch.decode(sketches.Sketch.of(a).encode()), sketches.Sketch.of(b)
+    assert x.difference(sketches.Sketch.of(lines[0])) is None and sketches.Sketch.of(a).likeness(sketches.Sketch.of(lines[0])) == 1 / len(sketches.digests(a))
     mine, theirs = x.difference(y)
     p, q = set(sketches.digests(a).tolist()), set(sketches.digests(b).tolist())
     assert set(mine.tolist()) == p - q and set(theirs.tolist()) == q - p
@@ -354,6 +364,32 @@ def test_pages_keep_articles_of_copies(spark):
     assert all(got[30 + k] == f"Own {k}" for k in range(10))
 
 
+def test_pages_keep_text_under_alike_names(spark):
+    made = [(k, "http://one.example/" + str(k), f"<article><h2>Prices</h2><div class='share-price'><p>The share price rose {k}.</p></div><p>A sentence of all.</p>"
+             "<div class='ad-slot'>Buy</div><div id='post-comments'>no</div><div class='social share-buttons'>tell</div></article>") for k in range(8)]
+    frame = spark.createDataFrame(made, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.main_text(frame.unionByName(frame.where("page_id = 3"))).collect()}
+    assert all(got[k] == f"Prices\n\nThe share price rose {k}.\n\nA sentence of all." for k in range(8))
+    assert pages.main_text(frame.limit(0).withColumn("host", frame["url"])).count() == 0
+    assert pages.main_text(frame.withColumns({"host": frame["url"], "template": frame["html"], "text": frame["html"]})).count() == 8
+
+
+def test_pages_of_a_real_table(spark):
+    """Every page of the smallest table has one article of headings and paragraphs: its text by a plain reading."""
+    import html as h
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no tables here")
+    table = spark.read.parquet(f"{d}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in pages.main_text(table).collect()}
+    for r in table.collect():
+        inside = re.search("<article>(.*?)</article>", r["html"] or "", re.S)
+        parts = re.split(r"</?(?:p|h1)>", re.sub("<br>", " ", inside[1])) if inside else []
+        texts = [" ".join(h.unescape(re.sub("<[^>]*>", "", x)).split()) for x in parts]
+        assert got[r["page_id"]] == "\n\n".join(x for x in texts if x)
+
+
 def test_pipeline(spark, docs, rows):
     import corpus_pipeline as p
 
