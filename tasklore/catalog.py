@@ -6,6 +6,8 @@ lectures use the log made of events. Sums of products and powers are rounded to
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from tasklore.functions import scalars as fn
 from tasklore.operators import encoders, history, items, sequences, sessions
 from tasklore.plans import models, replay
 from tasklore.sources import logs
-from tasklore.sources.store import cut
+from tasklore.sources.store import cut, shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -248,6 +250,18 @@ def a3_score_encoder_oof(spark, d):
     return rounded(encoders.score_encoder_oof(_i(spark, d), ["content_id"]).select(*ROW, "fold", "content_id_encoded"))
 
 
+_HELD = f"""{I}, x as (select *, (user_id % 5)::int as fold from i), t as (select content_id, fold, coalesce(sum(case when fold < 4 then answered_correctly end), 0) as s, count(*) filter (where fold < 4) as n from x group by all),
+u as (select content_id, fold, sum(s) over w - s as s, sum(n) over w - n as n from t window w as (partition by content_id)),
+f as (select fold, coalesce(sum(case when fold < 4 then answered_correctly end), 0) as s, count(*) filter (where fold < 4) as n from x group by fold),
+p as (select fold, (sum(s) over () - s) / (sum(n) over () - n) as prior from f),
+e as (select user_id, rn, fold, case when n > 0 then {_sigmoid('n', 5, 1)} * s / n + (1 - {_sigmoid('n', 5, 1)}) * prior else prior end as e from x join u using (content_id, fold) join p using (fold))"""
+
+
+@query(f"""{_HELD} select user_id, rn, fold, round(case when fold = 4 then e else least(greatest(e + (((user_id * 1009 + rn) * 2654435761 % 4294967296)::double / 4294967296 - 0.5) * 0.2, 0), 1) end, 9) as content_id_encoded from e""")
+def a3_score_encoder_held(spark, d):
+    return rounded(encoders.score_encoder_held(_i(spark, d), ["content_id"], held=4, noise=0.2).select(*ROW, "fold", "content_id_encoded"))
+
+
 @query(f"""{I} select user_id, rn, round(count(*) over (partition by question_category) / (count(*) over ()), 9) as question_category_ratio from i""")
 def a4_ratio_encoder(spark, d):
     return rounded(encoders.ratio_encoder(_i(spark, d), "question_category").select(*ROW, "question_category_ratio"))
@@ -298,11 +312,12 @@ def f1_sessions(spark, d):
 t as (select user_id, session_id, task_container_id, nullif(sum(diff) / nullif(count(diff), 0), 0) as content_time from x where content_type_id = 0 group by all),
 q as (select user_id, task_container_id, content_time, lag(content_time) over (partition by user_id, session_id order by task_container_id) as prior_question_time from t),
 k as (select user_id, task_container_id, task_container_id - lag(task_container_id) over (partition by user_id order by task_container_id) as task_diff from (select distinct user_id, task_container_id from v))
-select x.user_id, rn, session_id, session_time, nullif(case when content_type_id = 1 then diff end, 0) as lecture_time, content_time, prior_question_time, task_diff
+select x.user_id, rn, session_id, min(ts_ms) over (partition by x.user_id, session_id) as session_start, session_time, nullif(case when content_type_id = 1 then diff end, 0) as lecture_time,
+  content_time, prior_question_time, prior_question_time - content_id * 100.0::double as prior_question_lost_time, task_diff
 from x left join q using (user_id, task_container_id) left join k using (user_id, task_container_id)""")
 def f2_session_times(spark, d):
-    out = sessions.session_features(_v(spark, d))
-    return out.select(*ROW, "session_id", "session_time", "lecture_time", F.col("content_time").cast("double").alias("content_time"), F.col("prior_question_time").cast("double").alias("prior_question_time"), "task_diff")
+    out = sessions.session_features(_v(spark, d).withColumn("prior_question_elapsed_time", F.col("content_id") * 100.0))
+    return out.select(*ROW, "session_id", "session_start", "session_time", "lecture_time", "prior_question_lost_time", F.col("content_time").cast("double").alias("content_time"), F.col("prior_question_time").cast("double").alias("prior_question_time"), "task_diff")
 
 
 _BUCKET_12 = "case when {0} <= -2 then -2 when {0} <= 2 then {0} when {0} <= 10 then 10 when {0} <= 20 then 20 when {0} <= 30 then 30 when {0} <= 50 then 50 when {0} <= 100 then 100 when {0} <= 300 then 300 else 500 end::int"
@@ -319,6 +334,42 @@ def f4_lectures(spark, d):
     return out.select(*ROW, "n_lectures", "n_lectures_on_question_part", "time_since_last_lecture", "tasks_since_last_lecture", "lecture_id", "lecture_tag", "lecture_part", "tasks_bucket_12", "tasks_bucket_3")
 
 
+LECTURES_SQL = """l as (select p_partkey as lecture_id, p_size % 10 as lecture_tag, p_size % 7 + 1 as lecture_part,
+  case p_partkey % 5 when 0 then 0 when 1 then 1 when 4 then null else 2 end as type_of from part)"""
+
+
+def _lectures(spark, d):
+    names = F.array(*map(F.lit, ["concept", "solving question", "intention", "starter", "unknown"]))
+    part = spark.read.parquet(f"{d}/part.parquet")
+    kind = F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int"))
+    return part.select(F.col("p_partkey").alias("lecture_id"), (F.col("p_size") % 10).alias("tag"), (F.col("p_size") % 7 + 1).alias("part"), kind.alias("type_of"))
+
+
+@query(f"with {LECTURES_SQL} select * from l")
+def p6_lectures(spark, d):
+    return sessions.preprocess_lectures(_lectures(spark, d))
+
+
+@query(f"""{V} select user_id, rn, (sum(content_type_id) over (partition by user_id, tag order by rn rows unbounded preceding))::bigint as n_lectures_on_question_tag from v""")
+def p14_lectures_on_tag(spark, d):
+    return sessions.lectures_on_tag(_v(spark, d)).select(*ROW, "n_lectures_on_question_tag")
+
+
+@query(f"""{_SESSION}, {LECTURES_SQL}, x as (select s.user_id, rn, content_type_id, content_id, task_container_id, ts_ms, session_id, ts_ms - lag(ts_ms) over (partition by s.user_id, session_id order by rn) as diff,
+    case when content_type_id = 1 then lecture_part else part end as part, case when content_type_id = 1 then lecture_tag else tag end as tag, l.type_of as kind
+  from s left join l on l.lecture_id = content_id and content_type_id = 1),
+y as (select *, nullif(case when content_type_id = 1 then diff end, 0) as lecture_time from x),
+z as (select *, max(case when content_type_id = 1 then rn end) over (partition by user_id order by rn rows unbounded preceding) as at, (sum(content_type_id) over (partition by user_id order by rn rows unbounded preceding))::bigint as n_lectures from y)
+select z.user_id, z.rn, z.session_id, z.n_lectures, z.ts_ms - b.ts_ms as time_since_last_lecture, z.task_container_id - b.task_container_id as tasks_since_last_lecture, b.lecture_time as last_lecture_time,
+  coalesce(b.content_id, -1) as lecture_id, coalesce(b.tag, -1) as lecture_tag, coalesce(b.part, 0) - 1 as lecture_part, coalesce(b.kind, -1)::int as last_type_of
+from z left join z b on b.user_id = z.user_id and b.rn = z.at""")
+def f10_lectures_pipeline(spark, d):
+    """Sessions, then lectures by their own table, then the columns that are kept."""
+    log = sessions.with_lectures(sessions.session_features(_v(spark, d)), sessions.preprocess_lectures(_lectures(spark, d)))
+    names = ["session_id", "n_lectures", "time_since_last_lecture", "tasks_since_last_lecture", "last_lecture_time", "lecture_id", "lecture_tag", "lecture_part", "last_type_of"]
+    return fn.select_columns(sessions.lecture_features(log), [*ROW, *names])
+
+
 @query(f"""select l_orderkey, l_linenumber, l_partkey, x, {_BUCKET_12.format('x')} as b12, {_BUCKET_3.format('x')} as b3,
   (case when x <= 15 then 15 when x < 30 then 30 when x = 30 then 40 when x <= 50 then ceil(x / 10) * 10 when x <= 1000 then ceil(x / 100) * 100 else ceil(x / 1000) * 1000 end)::int as grp
 from (select *, l_partkey - 100 as x from lineitem)""")
@@ -368,6 +419,32 @@ def s5_first_rows(spark, d):
     return logs.first_rows(_i(spark, d).select(*ROW, "content_id"), 100, ROW)
 
 
+@query("""select p_partkey::int as question_id, (p_partkey % 4)::int as correct_answer, (p_size % 7 + 1)::int as part, p_name as tags from part""")
+def s1_csv_scan(spark, d):
+    """Questions written as CSV in the shared folder and read in their types, without the column that the schema does not name."""
+    path = f"{shared_dir(spark)}/questions-{uuid.uuid4().hex}"
+    part = spark.read.parquet(f"{d}/part.parquet")
+    made = part.select(F.col("p_partkey").alias("question_id"), "p_comment" if "p_comment" in part.columns else F.lit("x").alias("note"), (F.col("p_partkey") % 4).alias("correct_answer"), (F.col("p_size") % 7 + 1).alias("part"), F.col("p_name").alias("tags"))
+    made.write.option("header", True).csv(path)
+    return logs.read_csv(spark, path, "question_id int, correct_answer int, part int, tags string")
+
+
+@query(f"""{I}, u as (select distinct user_id from i), n as (select user_id from u order by user_id desc limit (select count(*) // 20 from u))
+select user_id, rn, case when n.user_id is null then 'train' else 'test' end as part from i left join n using (user_id)""")
+def r5_last_users(spark, d):
+    log = _i(spark, d).select(*ROW)
+    return log.join(replay.last_users(log, 0.05).withColumn("part", F.lit("test")), "user_id", "left").select(*ROW, F.coalesce("part", F.lit("train")).alias("part"))
+
+
+@query(f"""{V}, q as (select distinct user_id from v where content_type_id = 0 and answered_correctly = 1), w as (select distinct user_id from v where content_type_id = 1)
+select user_id, 'both' as part from (select user_id from q intersect select user_id from w) union all select user_id, 'first' from (select user_id from q except select user_id from w)""")
+def u3_user_sets(spark, d):
+    log = _v(spark, d)
+    right, watched = (log.where(x).select("user_id") for x in ("content_type_id = 0 and answered_correctly = 1", "content_type_id = 1"))
+    tagged = lambda df, name: df.select("user_id", F.lit(name).alias("part"))
+    return tagged(right.intersect(watched), "both").unionByName(tagged(right.subtract(watched), "first"))
+
+
 @query("""select c_custkey, c_mktsegment, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
 def j4_dimensions(spark, d):
     t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
@@ -423,8 +500,7 @@ def e15_log_times(spark, d):
 
 @query()
 def e3_communities(spark, d):
-    part = spark.read.parquet(f"{d}/part.parquet").select(F.hash("p_name").cast("long").alias("name"), "p_name").distinct()
-    return items.communities(items.tag_graph(part, "name", "p_name"))
+    return items.item_communities(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name"), "p_partkey", "p_name")
 
 
 @query()
@@ -463,6 +539,14 @@ def e17_next_task_values(spark, d):
     return out.select(*ROW, "question_elapsed_time", "question_had_explanation")
 
 
+@query(f"""{V}, t as (select user_id, task_container_id, min(ts_ms) as t, count(*) as n from v group by all),
+c as (select user_id, task_container_id, (t - lag(t) over (partition by user_id order by task_container_id)) / n as content_time from t),
+k as (select *, coalesce(task_container_id - {_LAST.format('task_container_id')}, 0) as since from v), b as (select user_id, rn, task_container_id, {_BUCKET_12.format('since')} as bucket from k)
+select user_id, rn, round(content_time, 9) as content_time, (dense_rank() over (order by bucket))::int as lecture_code from b left join c using (user_id, task_container_id)""")
+def e16_lecture_inputs(spark, d):
+    return rounded(sequences.lecture_inputs(_v(spark, d)).select(*ROW, "content_time", "lecture_code"))
+
+
 _LIKE = """list_cosine_similarity(b{0}.e, o1.e) - list_cosine_similarity(b{0}.e, o0.e)"""
 _SHARE = """case when s{0}.t is not null and o.t is not null then len(list_intersect(s{0}.t, o.t)) / len(list_distinct(list_concat(s{0}.t, o.t))) end"""
 
@@ -496,8 +580,11 @@ def v1_latest_tasks(spark, d):
     return replay.latest_tasks(replay.global_times(_v(spark, d)), 2000)
 
 
-_B = f"""{_G}, b0 as (select *, row_number() over w - 1 as nth, greatest(200 - count(*) over (partition by user_id) + 1, 1) as places from h window w as (partition by user_id order by global_ts, task_container_id)),
-b as (select user_id, task_container_id, (floor({_U} * places) + nth)::bigint as batch_id from b0)"""
+_B = f"""{_G}, u0 as (select user_id, count(*) as n, greatest(200 - count(*) + 1, 1) as places from h group by user_id),
+u1 as (select *, case when k < n then sqrt(n / (k + 1)) when k >= places - n then sqrt(n / (places - k)) else 1.0::double end as w from (select *, unnest(range(places)) as k from u0)),
+u2 as (select *, sum(w) over (partition by user_id order by k rows unbounded preceding) as upto, sum(w) over (partition by user_id) as total from u1),
+u as (select user_id, least(count(*) filter (where upto <= {_U} * total), any_value(places) - 1) as start from u2 group by user_id),
+b as (select user_id, task_container_id, (start + row_number() over (partition by user_id order by global_ts, task_container_id) - 1)::bigint as batch_id from h join u using (user_id))"""
 
 
 def _batches(spark, d):
@@ -509,6 +596,13 @@ def v2_batches(spark, d):
     return _batches(spark, d)
 
 
+@query(f"""{_B} select * from b""")
+def s6_saved_batches(spark, d):
+    path = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    replay.save_batches(_batches(spark, d), path)
+    return replay.load_batches(spark, path)
+
+
 @query(f"""{_B}, l as (select batch_id from (select batch_id, percent_rank() over (order by batch_id) as r from (select distinct batch_id from b)) where r > 0.9)
 select v.user_id, rn, case when b.batch_id is null then 'train' when l.batch_id is null then 'test' else 'validation' end as part from v left join b using (user_id, task_container_id) left join l on l.batch_id = b.batch_id""")
 def v3_split(spark, d):
@@ -519,8 +613,9 @@ def v3_split(spark, d):
 
 @query(f"""{_B}, x as (select batch_id, user_id, rn, answered_correctly as y from v join b using (user_id, task_container_id)),
 o as (select *, row_number() over (partition by batch_id order by user_id, rn) as nth from x),
-l as (select batch_id + 1 as batch_id, '[' || string_agg(y::varchar, ',' order by user_id, rn) || ']' as c from x group by batch_id)
-select batch_id, user_id, rn, case when nth = 1 then c end as prior_group_answers_correct from o left join l using (batch_id)""")
+l as (select batch_id, '[' || string_agg(y::varchar, ', ' order by user_id, rn) || ']' as own from x group by batch_id),
+p as (select batch_id, lag(own, 1, '[]') over (order by batch_id) as c from l)
+select batch_id, user_id, rn, case when nth = 1 then c end as prior_group_answers_correct from o left join p using (batch_id)""")
 def t11_replay_batches(spark, d):
     rows = _v(spark, d).join(_batches(spark, d), ["user_id", "task_container_id"]).withColumn("user_answer", F.col("content_id") % 4)
     return replay.replay_batches(rows).select("batch_id", *ROW, "prior_group_answers_correct")
@@ -542,9 +637,27 @@ def m9_losses(spark, d):
     return rounded(rows.select("doc_id", models.log_loss(p, y).alias("bce"), models.focal_loss(p, y).alias("focal"), models.warmup_rate(F.col("doc_id") + 1, 256, 4000).alias("rate")))
 
 
-@query()
+_SKEW = """select '{0}' as "column", round(avg(pow({0} - m, 3)) / pow(avg(pow({0} - m, 2)), 1.5), 9) as skewness, count(distinct {0}) as n_unique,
+  avg(pow({0} - m, 3)) / pow(avg(pow({0} - m, 2)), 1.5) > 1 and count(distinct {0}) > 5 as power from lineitem, (select avg({0}) as m from lineitem)"""
+SCALED = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query(" union all ".join(map(_SKEW.format, SCALED)))
 def m5_scaling_plan(spark, d):
-    return models.scaling_plan(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return rounded(models.scaling_plan(spark.read.parquet(f"{d}/lineitem.parquet"), SCALED))
+
+
+@query(f"""select l_orderkey, l_linenumber, {', '.join(f"round(({c} - avg({c}) over ()) / stddev_pop({c}) over (), 6) as {c}" for c in SCALED)} from lineitem""")
+def m5_scaled(spark, d):
+    out = models.scaled(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", *SCALED), SCALED)
+    return out.withColumns({c: F.round(c, 6) for c in SCALED})
+
+
+@query("""with n as (select l_orderkey, l_linenumber, case when l_partkey % 5 > 0 then l_quantity end as x from lineitem)
+select l_orderkey, l_linenumber, case when x is null then 1 else 0 end as x_missing, coalesce(x, (select quantile_disc(x, 0.5) from n)) as x from n""")
+def m4_missing_flags(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 5 > 0, F.col("l_quantity")).alias("x"))
+    return models.with_missing_flags(rows, ["x"])
 
 
 @query()

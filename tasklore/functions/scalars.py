@@ -46,6 +46,16 @@ def answer_weight(chance: Column, correct: Column) -> Column:
     return F.when(correct == 0, chance).when(correct == 1, 1 - chance).otherwise(0.0)
 
 
+def uniform(number: Column) -> Column:
+    """A fixed number from [0, 1) for a whole number."""
+    return (number * 2654435761 % 4294967296).cast("double") / 4294967296
+
+
+def noisy(x: Column, noise: float, chance: Column) -> Column:
+    """x and uniform noise of that width around 0, kept in [0, 1]; chance: a fixed number from [0, 1) for the row."""
+    return F.least(F.greatest(x + (chance - 0.5) * F.lit(noise), F.lit(0.0)), F.lit(1.0))
+
+
 def ratio(over: Column, under: Column) -> Column:
     return over / F.when(under == 0, 0.00001).otherwise(under)
 
@@ -74,5 +84,11 @@ def select_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns)
 
 
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df with the types that `like` has for the columns of both."""
+    kinds = dict(like.dtypes)
+    return df.withColumns({c: F.col(c).cast(kinds[c]) for c, t in df.dtypes if c in kinds and kinds[c] != t})
+
+
 def narrow_floats(df: DataFrame, kind: str = "float") -> DataFrame:
     return df.withColumns({c: F.col(c).cast(kind) for c, t in df.dtypes if t == "double"})

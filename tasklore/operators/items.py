@@ -59,27 +59,41 @@ def tag_class_graph(items: DataFrame, tags: str = "tags") -> DataFrame:
     )
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """node, community: each node takes, again and again, the label with the largest gain in modularity among its neighbours.
+def item_communities(items: DataFrame, item: str, tags: str) -> DataFrame:
+    """item, community: communities of the graph whose edges join all items that share a tag. Items of one tag string are
+    alike to it, so it is solved over their classes, each edge with the weight of all pairs of items that it stands for."""
+    pairs = F.col("src_items") * F.when(F.col("src") == F.col("dst"), F.col("dst_items") - 1).otherwise(F.col("dst_items"))
+    found = communities(tag_class_graph(items, tags).select("src", "dst", (F.col("w") * pairs).alias("w")))
+    return items.select(item, tags).join(found, F.col(tags) == F.col("node"), "left").select(item, F.coalesce("community", tags).alias("community"))
+
+
+def communities(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, community: each node takes, again and again, the label with the largest gain in modularity among its neighbours,
+    until four rounds in a row move nothing.
 
     Half of the nodes (by a hash of round and node) move in a round, so that two neighbours do not swap for ever. The sums
-    are joins and aggregates over the edges; labels start as the nodes themselves, ties go to the smallest label.
+    are joins and aggregates over the edges; labels start as the nodes themselves, ties go to the node's own, else the smallest.
     """
     degree = edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d"))
     total = edges.agg(F.sum("w").alias("m"))  # one row
-    labels = degree.select("node", F.col("node").alias("c"))
+    labels, still = degree.select("node", F.col("node").alias("c")), 0
     for k in range(rounds):
         weight = degree.join(labels, "node").groupBy("c").agg(F.sum("d").alias("dc"))
-        to = edges.join(labels, edges["dst"] == labels["node"]).groupBy(F.col("src").alias("node"), "c").agg(F.sum("w").alias("k"))
+        # an edge of a node with itself moves with it, and so counts for no label
+        to = edges.where("src <> dst").join(labels, edges["dst"] == labels["node"]).groupBy(F.col("src").alias("node"), "c").agg(F.sum("w").alias("k"))
         own = labels.select("node", F.col("c").alias("now"))
         scored = to.join(degree, "node").join(own, "node").join(weight, "c").crossJoin(F.broadcast(total))
         others = F.col("dc") - F.when(F.col("c") == F.col("now"), F.col("d")).otherwise(0)
         scored = scored.withColumn("gain", F.col("k") - F.col("d") * others / F.col("m"))
-        best = scored.groupBy("node").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("best"))
+        scored = scored.withColumn("gain", F.round("gain", 9))
+        best = scored.groupBy("node").agg(F.min(F.struct(-F.col("gain"), F.when(F.col("c") == F.col("now"), 0).otherwise(1), "c"))["c"].alias("best"))
         moves = F.xxhash64(F.lit(k), F.col("node")) % 2 == 0
-        labels = labels.join(best, "node", "left").select("node", F.when(moves, F.coalesce("best", "c")).otherwise(F.col("c")).alias("c"))
-        if k % 2:
-            labels = cut(labels)
+        after = labels.join(best, "node", "left").select("node", F.when(moves, F.coalesce("best", "c")).otherwise(F.col("c")).alias("c"), F.col("c").alias("was"))
+        after = cut(after)
+        still = 0 if after.where("c <> was").limit(1).count() else still + 1
+        labels = after.select("node", "c")
+        if still == 4:
+            break
     return labels.select("node", F.col("c").alias("community"))
 
 

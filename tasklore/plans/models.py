@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import json
+import math
+import random
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tasklore.sources.store import cut
+
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """auc: the chance that a positive outranks a negative, ties half, by sums over distinct scores."""
     by = df.groupBy(score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = by.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("w"))
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = cut(by.repartitionByRange(n_parts, score).withColumn("part", F.spark_partition_id()))  # scores are spread over ranges
+    to_here = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
+    ranges = by.groupBy("part").agg(F.sum("n").alias("m"))  # one row a range
+    ranges = ranges.select("part", F.coalesce(F.sum("m").over(to_here(Window.orderBy("part"), -1)), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("n").over(to_here(Window.partitionBy("part").orderBy(score), -1)), F.lit(0))
+    wins = by.join(F.broadcast(ranges), "part").select("p", "n", (F.col("p") * (F.col("before") + inside + F.col("n") / 2)).alias("w"))
     return wins.agg((F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
@@ -39,6 +50,71 @@ def scaling_plan(df: DataFrame, columns: list[str], skewed: float = 1.0, least:
     return facts.select(rows.alias("r")).select("r.*").withColumn("power", (F.col("skewness") > skewed) & (F.col("n_unique") > least))
 
 
+def _power(x: Column, strength: float) -> Column:
+    """Yeo and Johnson's power transform."""
+    up = F.ln(x + 1) if abs(strength) < 1e-9 else (F.pow(x + 1, F.lit(strength)) - 1) / strength
+    down = -F.ln(1 - x) if abs(strength - 2) < 1e-9 else -(F.pow(1 - x, F.lit(2 - strength)) - 1) / (2 - strength)
+    return F.when(x >= 0, up).otherwise(down)
+
+
+def scaled(df: DataFrame, columns: list[str], grid: tuple[float, ...] = tuple(k / 10 for k in range(-20, 31))) -> DataFrame:
+    """df with its columns standardized; the skewed ones (scaling_plan) after the power transform of the grid's strength with
+    the largest likelihood. Order: standard columns, then skewed ones. One row of sums reaches the driver for each pass."""
+    plan = {r["column"]: r["power"] for r in scaling_plan(df, columns).collect()}
+    skewed, strength = [c for c in columns if plan[c]], {}
+    if skewed:
+        x = {c: F.col(c).cast("double") for c in skewed}
+        sums = df.agg(
+            *[F.var_pop(_power(x[c], s)).alias(f"{c}_{k}") for c in skewed for k, s in enumerate(grid)],
+            *[F.sum(F.signum(x[c]) * F.ln(F.abs(x[c]) + 1)).alias(f"{c}_log") for c in skewed],
+            *[F.count(c).alias(f"{c}_n") for c in skewed],
+        ).first()
+        for c in skewed:
+            fit = lambda k, c=c: -sums[f"{c}_n"] / 2 * math.log(max(sums[f"{c}_{k}"], 1e-300)) + (grid[k] - 1) * sums[f"{c}_log"]
+            strength[c] = grid[max(range(len(grid)), key=fit)]
+    made = {c: _power(F.col(c).cast("double"), strength[c]) if c in strength else F.col(c).cast("double") for c in columns}
+    facts = df.agg(*[F.avg(made[c]).alias(f"m_{c}") for c in columns], *[F.stddev_pop(made[c]).alias(f"s_{c}") for c in columns])  # one row
+    out = df.crossJoin(F.broadcast(facts))
+    others = [c for c in df.columns if c not in columns]
+    ordered = [c for c in columns if c not in skewed] + skewed
+    return out.select(*others, *[((made[c] - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}"))).alias(c) for c in ordered])
+
+
+def with_missing_flags(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds column_missing, 1 where the column is null, and fills nulls with the column's median (approximate, one row)."""
+    medians = df.agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"_{c}") for c in columns])
+    flags = {f"{c}_missing": F.col(c).isNull().cast("int") for c in columns}
+    filled = {c: F.coalesce(c, F.col(f"_{c}")) for c in columns}
+    return df.withColumns(flags).crossJoin(F.broadcast(medians)).withColumns(filled).drop(*[f"_{c}" for c in columns])
+
+
+def random_parameters(space: dict[str, tuple[float, float] | list], n: int, seed: int = 0) -> list[dict]:
+    """n draws of hyper-parameters: from a range (low, high) or out of a list; a whole range gives whole numbers."""
+    rng = random.Random(seed)
+
+    def one(given: tuple | list):
+        if isinstance(given, list):
+            return rng.choice(given)
+        low, high = given
+        return rng.randint(low, high) if isinstance(low, int) and isinstance(high, int) else rng.uniform(low, high)
+
+    return [{k: one(v) for k, v in space.items()} for _ in range(n)]
+
+
+def save_bundle(path: str, models: dict[str, PipelineModel], state: DataFrame, facts: dict) -> None:
+    """Models, the state table and facts (what JSON holds) in one folder; load_bundle gives them back."""
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/models/{name}")
+    state.write.mode("overwrite").parquet(f"{path}/state")
+    spark = state.sparkSession
+    spark.createDataFrame([(json.dumps({"models": sorted(models), "facts": facts}),)], "text string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel], DataFrame, dict]:
+    held = json.loads(spark.read.text(f"{path}/facts").first()[0])
+    return {n: PipelineModel.load(f"{path}/models/{n}") for n in held["models"]}, spark.read.parquet(f"{path}/state"), held["facts"]
+
+
 def _assembled(columns: list[str]) -> list:
     filled = [f"{c}_filled" for c in columns]
     return [Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
@@ -56,8 +132,8 @@ def learners(n: int, label: str) -> dict:
 def blended(train: DataFrame, held: DataFrame, columns: list[str], label: str, keys: list[str], names: tuple[str, ...] = ("boosted", "forest", "perceptron")) -> DataFrame:
     """keys, label, each learner's chance of a 1 and their logistic blend over the held rows.
 
-    Learners fit on the training rows; the blender on a fifth of the held rows' users, and it scores all held rows. With one
-    learner its chance is the blend.
+    Learners fit on the training rows; the blender is cross-validated over two halves of the held rows' users, so that each
+    half is scored by the blender of the other. With one learner its chance is the blend.
     """
     double = {c: F.col(c).cast("double") for c in [*columns, label]}
     train, out = train.withColumns(double), held.withColumns(double)
@@ -67,9 +143,10 @@ def blended(train: DataFrame, held: DataFrame, columns: list[str], label: str, k
         out = scored.withColumn(name, vector_to_array("probability")[1]).select(*out.columns, name)
     if len(names) > 1:
         join = VectorAssembler(inputCols=list(names), outputCol="scores")
-        fit_on = join.transform(out.where(F.pmod(F.xxhash64(keys[0]), F.lit(5)) == 0))
-        model = LogisticRegression(featuresCol="scores", labelCol=label).fit(fit_on)
-        out = model.transform(join.transform(out)).withColumn("blend", vector_to_array("probability")[1])
+        halves = join.transform(out.withColumn("_half", F.pmod(F.xxhash64(keys[0]), F.lit(2))))
+        fitted = [LogisticRegression(featuresCol="scores", labelCol=label).fit(halves.where(F.col("_half") != k)) for k in (0, 1)]
+        both = [m.transform(halves.where(F.col("_half") == k)).withColumn("blend", vector_to_array("probability")[1]) for k, m in enumerate(fitted)]
+        out = both[0].unionByName(both[1])
     else:
         out = out.withColumn("blend", F.col(names[0]))
     return out.select(*keys, label, *names, "blend")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DAY = 86_400_000
-
+from tasklore.functions.scalars import uniform
 
-def uniform(user: Column) -> Column:
-    """A fixed number from [0, 1) for a user."""
-    return (user * 2654435761 % 4294967296).cast("double") / 4294967296
+DAY = 86_400_000
 
 
 def global_times(log: DataFrame) -> DataFrame:
@@ -34,13 +32,29 @@ def latest_tasks(log: DataFrame, size: int) -> DataFrame:
     return out.where(F.col("_upto") <= size).select("user_id", "task_container_id", "global_ts")
 
 
+def weighted_start(chance: Column, n_places: Column, n: Column) -> Column:
+    """The place, from 0, at which the running total of start_weight passes `chance` (from [0, 1)) of the whole: all places
+    of a user are gone through within one row."""
+    places = F.sequence(F.lit(0), (n_places - 1).cast("int"))
+    weight = lambda k: start_weight(k, n_places, n)
+    total = F.aggregate(places, F.lit(0.0), lambda s, k: s + weight(k))
+    begin = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("place"), total.alias("total"))
+
+    def step(s: Column, k: Column) -> Column:
+        now = s["sum"] + weight(k)
+        return F.struct(now.alias("sum"), (s["place"] + F.when(now <= chance * s["total"], 1).otherwise(0)).alias("place"), s["total"].alias("total"))
+
+    return F.least(F.aggregate(places, begin, step, lambda s: s["place"]), (n_places - 1).cast("int"))
+
+
 def deal_batches(tasks: DataFrame, n_batches: int) -> DataFrame:
-    """user_id, task_container_id, batch_id: a user's tasks go to consecutive batches from a start that depends on the user."""
-    user = Window.partitionBy("user_id")
-    nth = F.row_number().over(user.orderBy("global_ts", "task_container_id")) - 1
-    places = F.greatest(n_batches - F.count("*").over(user) + 1, F.lit(1))
-    out = tasks.select("user_id", "task_container_id", nth.alias("_nth"), places.alias("_places"))
-    return out.select("user_id", "task_container_id", (F.floor(uniform(F.col("user_id")) * F.col("_places")) + F.col("_nth")).cast("long").alias("batch_id"))
+    """user_id, task_container_id, batch_id: a user's tasks go to consecutive batches from a weighted start that depends on the user."""
+    users = tasks.groupBy("user_id").agg(F.count("*").alias("_n"))
+    places = F.greatest(n_batches - F.col("_n") + 1, F.lit(1))
+    starts = users.select("user_id", weighted_start(uniform(F.col("user_id")), places, F.col("_n")).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("global_ts", "task_container_id")) - 1
+    out = tasks.select("user_id", "task_container_id", nth.alias("_nth")).join(starts, "user_id")
+    return out.select("user_id", "task_container_id", (F.col("_start") + F.col("_nth")).cast("long").alias("batch_id"))
 
 
 def start_weight(place: Column, n_places: Column, n: Column) -> Column:
@@ -48,6 +62,24 @@ def start_weight(place: Column, n_places: Column, n: Column) -> Column:
     return F.when(place < n, F.sqrt(n / (place + 1))).when(place >= n_places - n, F.sqrt(n / (n_places - place))).otherwise(1.0)
 
 
+def last_users(log: DataFrame, share: float) -> DataFrame:
+    """user_id of the last `share` of the users by number, rounded down."""
+    users = log.select("user_id").distinct()
+    return users.orderBy(F.col("user_id").desc()).limit(int(share * users.count()))
+
+
+def save_batches(batches: DataFrame, path: str) -> None:
+    batches.write.mode("overwrite").parquet(path)
+
+
+def load_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The persisted assignment of tasks to batches; says how to make it where it is missing."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no batches at {path}: deal and save them first (deal_batches, save_batches)") from e
+
+
 def split(log: DataFrame, batches: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train rows (in no batch), and the rows of the first batches and of the last `ratio` of them."""
     merged = log.join(batches, ["user_id", "task_container_id"], "left")
@@ -58,10 +90,14 @@ def split(log: DataFrame, batches: DataFrame, ratio: float) -> tuple[DataFrame,
 
 
 def replay_batches(rows: DataFrame) -> DataFrame:
-    """Adds the right answers and responses of the batch before, as JSON text on the first row of a batch, else null."""
+    """Adds the right answers and responses of the batch before, the last that there is, as the text of a list on the first
+    row of a batch, else null. The first batch has the empty list."""
     order = Window.partitionBy("batch_id").orderBy("user_id", "rn")
     done = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("user_id", "rn", "answered_correctly", "user_answer"))).alias("_l"))
-    before = done.select((F.col("batch_id") + 1).alias("batch_id"), F.to_json(F.col("_l.answered_correctly")).alias("_c"), F.to_json(F.col("_l.user_answer")).alias("_u"))
+    ids = done.select("batch_id", F.lag("batch_id").over(Window.orderBy("batch_id")).alias("_prior"))  # a number for each batch
+    text = lambda name: F.concat(F.lit("["), F.array_join(F.col(f"_l.{name}").cast("array<string>"), ", "), F.lit("]"))
+    told = done.select(F.col("batch_id").alias("_prior"), text("answered_correctly").alias("_c"), text("user_answer").alias("_u"))
+    before = ids.join(told, "_prior", "left").select("batch_id", *(F.coalesce(c, F.lit("[]")).alias(c) for c in ("_c", "_u")))
     out = rows.withColumn("_first", F.row_number().over(order)).join(before, "batch_id", "left")
     first = F.col("_first") == 1
     return out.withColumns({"prior_group_answers_correct": F.when(first, F.col("_c")), "prior_group_responses": F.when(first, F.col("_u"))}).drop("_first", "_c", "_u")

@@ -18,8 +18,10 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir), or one of our own where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir), or one of our own where it is unset and all run in one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (found or _own_dir()).rstrip("/")
 
 
@@ -34,9 +36,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def _content(value: object) -> str:
+    if not isinstance(value, DataFrame):
+        return str(value)
+    mark = F.xxhash64(*value.columns)
+    facts = value.agg(F.count("*"), F.bit_xor(mark), F.sum(F.shiftright(mark, 20))).first()
+    return f"{value.schema.simpleString()} {tuple(facts)}"
+
+
 def cached(make, spark: SparkSession, folder: str, **params) -> DataFrame:
-    """make(**params), kept in folder under a name made of all parameters; read again if it is there in full."""
-    name = hashlib.sha256(json.dumps([make.__name__, params], sort_keys=True, default=str).encode()).hexdigest()[:24]
+    """make(**params), kept in folder under a name made of all parameters; read again if it is there in full. A DataFrame
+    counts by its schema and by its rows, however they are ordered, so that changed data are made anew."""
+    name = hashlib.sha256(json.dumps([make.__module__, make.__qualname__, params], sort_keys=True, default=_content).encode()).hexdigest()[:24]
     path = f"{folder}/{name}"
     if not _exists(spark, f"{path}/_SUCCESS"):
         make(**params).write.mode("overwrite").parquet(path)
