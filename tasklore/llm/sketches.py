@@ -2,7 +2,7 @@
 
 A text is cut into paragraphs (lines, and in long lines runs of sentences); each has a digest, the k-th repeat one of
 its own. A sketch holds cells of (count, digests XOR-ed, checks XOR-ed), each digest in three cells of every level, and
-levels of doubling size, of which up to half a cell a paragraph is stored. Two sketches subtract cell by cell, what they
+levels of growing size, of which up to half a cell a paragraph is stored. Two sketches subtract cell by cell, what they
 share cancels out, and peeling cells with one digest recovers what differs; where a level is too small for the difference,
 the next larger one is tried, made from the digests where it is not stored. Likeness is the Jaccard similarity of the
 paragraphs that this gives.
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tasklore.llm.common import in_arrow, parts, text_or_empty
 
-SMALLEST = 9
+#: Cells of the smallest level, and how many times as many the next one has.
+SMALLEST, GROWTH = 9, 4
 #: Characters from which on a sentence's end also ends a paragraph.
 LONG = 80
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -59,7 +60,7 @@ def level_sizes(n: int) -> list[int]:
     """The levels of a stored sketch: up to half as many cells as paragraphs, 16 bytes each."""
     sizes = [SMALLEST]
     while sizes[-1] < n // 2:
-        sizes.append(2 * sizes[-1])
+        sizes.append(GROWTH * sizes[-1])
     return sizes
 
 
@@ -69,6 +70,10 @@ def cells_of(own: np.ndarray, size: int) -> np.ndarray:
     return ((own >> SHIFTS) & _U(0x1FFFFF)).astype(np.int64) % third + THIRDS * third
 
 
+def thrice(x: np.ndarray) -> np.ndarray:
+    return np.concatenate((x, x, x))
+
+
 def checks_of(own: np.ndarray) -> np.ndarray:
     return (own * _U(0x9E3779B97F4A7C15) >> _U(32)).astype(np.uint32)
 
@@ -91,11 +96,11 @@ class Sketch:
 
     def level(self, k: int) -> Level | None:
         while len(self.levels) <= k and self.own is not None:
-            size = SMALLEST << len(self.levels)
+            size = SMALLEST * GROWTH ** len(self.levels)
             at = cells_of(self.own, size).ravel()
             keys, marks = np.zeros(size, _U), np.zeros(size, np.uint32)
-            np.bitwise_xor.at(keys, at, np.tile(self.own, 3))
-            np.bitwise_xor.at(marks, at, np.tile(checks_of(self.own), 3))
+            np.bitwise_xor.at(keys, at, thrice(self.own))
+            np.bitwise_xor.at(marks, at, thrice(checks_of(self.own)))
             self.levels.append((np.bincount(at, minlength=size).astype("<i4"), keys, marks))
         return self.levels[k] if k < len(self.levels) else None
 
@@ -120,11 +125,13 @@ class Sketch:
         """Digests of this one alone and of the other alone. After a failure the next larger level is tried, as long as both
         have one; None if a stored sketch ends before. Between sketches with their digests there always is a larger level;
         should peeling still fail at eight cells a digest, the digests are compared."""
-        k = max(0, (abs(self.n - other.n) // SMALLEST).bit_length())
+        k = 0
+        while SMALLEST * GROWTH**k < abs(self.n - other.n):  # that many digests differ at least
+            k += 1
         while (a := self.level(k)) is not None and (b := other.level(k)) is not None:
             if (found := peel(a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2])) is not None:
                 return found
-            if self.own is not None and other.own is not None and SMALLEST << k > 8 * (self.n + other.n) + 64:
+            if self.own is not None and other.own is not None and SMALLEST * GROWTH**k > 8 * (self.n + other.n) + 64:
                 return np.setdiff1d(self.own, other.own), np.setdiff1d(other.own, self.own)
             k += 1
         return None
@@ -140,7 +147,7 @@ class Sketch:
 def peel(counts: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     mine: list[np.ndarray] = []
     theirs: list[np.ndarray] = []
-    if len(counts) >= 36 and not (keys == 0).any():
+    if len(counts) >= 36 and np.count_nonzero(keys) > 0.97 * len(keys):
         return None  # a difference that can be peeled leaves about a tenth of the cells empty
     while True:
         at = np.flatnonzero(np.abs(counts) == 1)
@@ -149,9 +156,9 @@ def peel(counts: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> tuple[np.nd
             return None if counts.any() or keys.any() else (np.concatenate(mine or [keys[:0]]), np.concatenate(theirs or [keys[:0]]))
         own, first = np.unique(keys[at], return_index=True)
         signs, cells = counts[at[first]], cells_of(own, len(counts)).ravel()
-        np.subtract.at(counts, cells, np.tile(signs, 3))
-        np.bitwise_xor.at(marks, cells, np.tile(marks[at[first]], 3))
-        np.bitwise_xor.at(keys, cells, np.tile(own, 3))
+        np.subtract.at(counts, cells, thrice(signs))
+        np.bitwise_xor.at(marks, cells, thrice(marks[at[first]]))
+        np.bitwise_xor.at(keys, cells, thrice(own))
         mine.append(own[signs > 0])
         theirs.append(own[signs < 0])
 
