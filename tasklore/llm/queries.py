@@ -12,44 +12,54 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of 400 bytes removed, and the bytes that repeated passages of 256 bytes cover, for every document."""
     return substrings.remove_repeats(_docs(spark, sf_dir)).drop("spans")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under the law of bytes. DuckDB has no crc32, so there is no SQL."""
     return sharding.shard_by_bytes(_docs(spark, sf_dir))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and network spans of every document."""
     return secrets.scan_secrets(_docs(spark, sf_dir)).drop("masked")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mixture takes of every document."""
     return mixing.pareto_mix(_docs(spark, sf_dir)).drop("source", "copies")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and verdicts of every document."""
     return quality.quality_rules(_docs(spark, sf_dir)).drop("failed_rules", "n_stop_words", "n_lines")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learned from those not held out."""
     docs = _docs(spark, sf_dir).withColumn("held_out", langid.held_out())
     dicts = langid.dictionaries(docs.where("doc_id is not null and not held_out"))
-    return langid.identify(docs, dicts, keep=("held_out",))
+    return langid.identify(docs, dicts, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and number of links of every document."""
     return jaccard.jaccard_components(_docs(spark, sf_dir), counted=True)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likenesses."""
     return sketches.fingerprint_versions(_docs(spark, sf_dir))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document."""
     return packing.pack_best_fit(_docs(spark, sf_dir))
 
 

@@ -191,6 +191,45 @@ def test_packing(docs, none, rows):
     assert packing.pack_best_fit(none).count() == 0
 
 
+def test_best_fit_matches_a_linear_search():
+    import numpy as np
+
+    rng = random.Random(21)
+    for capacity in (7, 64, 1024):
+        lengths = np.array([rng.randint(1, capacity) for _ in range(400)])
+        bins, offsets = packing.best_fit_decreasing(lengths, capacity)
+        room, placed = [], {}
+        for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            fits = [x for x in room if x >= lengths[i]]
+            if fits:
+                room.remove(min(fits))
+            placed[i] = capacity - (min(fits) if fits else capacity)
+            room.append((min(fits) if fits else capacity) - int(lengths[i]))
+        assert [placed[i] for i in range(len(lengths))] == offsets.tolist() and len(set(bins.tolist())) == len(room)
+
+
+def test_pieces_hold_the_ids_of_the_named_tokenizer(spark, rows, docs):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    d, capacity = "/root/testdata/sf0.001", 1024
+    whole = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    tables = [(docs, [(r[0], r[1]) for r in rows])]
+    if os.path.isdir(d):
+        table = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+        tables.append((table, [tuple(r) for r in table.collect()]))
+    for frame, given in tables:
+        want = Counter()
+        for doc_id, text in given:
+            ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+            first = len(ids) % capacity or capacity
+            for k, start in enumerate([0, *range(first, len(ids), capacity)]):
+                stop = first + k * capacity
+                want[doc_id, k, start, stop - start, zlib.crc32(ids[start:stop].tobytes())] += 1
+        got = packing.pack_best_fit(frame, capacity).collect()
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+
+
 def test_tokenizers_agree_on_special_text():
     from tokenizers import Tokenizer
 
@@ -404,3 +443,22 @@ def test_pipeline(spark, docs, rows):
     assert third.count() == len(rows) and third.where("text like '%[SECRET]%'").count() == 1
     mixed = p.mixing_sources(spark, now, "")
     assert mixed.columns == p.COLUMNS and p.best_fit_packing(spark, mixed, "").count() >= mixed.count()
+
+
+def test_pipeline_stages_on_empty_null_and_repeated_rows(spark, none):
+    import corpus_pipeline as p
+
+    empty = none.drop("size", "shard", "extra")
+    rng = random.Random(9)
+    text = words(rng, 60)
+    made = [(1, text, "en", "a", 3), (1, text, "en", "a", 3), (2, None, None, None, None), (None, words(rng, 30), None, "b", None), (3, "", "en", "b", 0), (4, "1 2 3", None, "b", 5)]
+    odd = spark.createDataFrame([(*r, "x", "y") for r in made], "doc_id long, text string, lang string, source string, n_chars long, size string, mark string")
+    for name, stage in p.STAGES:
+        out = stage(spark, empty, "")
+        assert out.count() == 0 and (name == "best_fit_packing" or out.columns == p.COLUMNS)
+        got = [r["doc_id"] for r in stage(spark, odd, "").collect()]
+        assert {1, None} <= set(got), name
+        if name == "near_duplicates":
+            assert sorted(got, key=str) == [1, 2, 3, 4, None]  # repeated rows are copies
+        if name == "language_id":
+            assert not {2, 3, 4} & set(got)
