@@ -26,8 +26,8 @@ from tasklore.llm.common import cut, in_arrow, parts, text_or_empty
 from tasklore.llm.grouping import connected_components, groups
 from tasklore.llm.shingles import shingle_sets
 
-#: Bits of the smallest bitmap. A set has the next power of two from SPREAD bits a shingle on: unrelated sets are pruned at any size.
-BITS, SPREAD = 2048, 1.5
+#: Bits of the smallest bitmap. A set has the next power of two from SPREAD bits a shingle on: that prunes unrelated sets at any size.
+BITS, SPREAD = 2048, 1.0
 #: Sets up to this size have the smallest bitmap; above it, size classes grow by 4 / 3, the largest ratio of linked sets.
 SMALL = int(BITS / SPREAD)
 LEAF, FAN = 32, 8
