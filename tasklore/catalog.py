@@ -137,9 +137,13 @@ def w4b_weighted_decayed(spark, d):
     return rounded(history.rolling_score(_weighted(spark, d), ["user_id"], weighted=True, decay=0.98).select(*ROW, *[f"`{x}`" for x in history.score_name(["user_id"], True, None, 0.98)]))
 
 
-@query()
+@query(f"""{I}, x as (select user_id, rn, task_container_id as k, answered_correctly as y, {_WEIGHT} as w from i),
+c as (select *, sum(w) over (partition by user_id order by rn) - w as c from x),
+t as (select user_id, k, min(c) as c from c group by all),
+s as (select t.user_id, t.k, sum(c.y * c.w) as s, sum(c.w) as n from t join c on c.user_id = t.user_id and c.k < t.k and t.c - c.c <= 3 + 1e-9 group by all)
+select user_id, rn, round(s / n, 9) as weighted_score_n, round(coalesce(n, 0), 9) as weighted_count_n from x left join s using (user_id, k)""")
 def w4d_weighted_last_n(spark, d):
-    return rounded(items.weighted_rolling(_weighted(spark, d), ["user_id"], 3.0).select(*ROW, "weighted_score_n", "weighted_count_n"))
+    return rounded(history.weighted_rolling(_weighted(spark, d), ["user_id"], 3.0).select(*ROW, "weighted_score_n", "weighted_count_n"))
 
 
 _LAST = "last_value(case when content_type_id = 1 then {0} end ignore nulls) over (partition by user_id order by rn rows unbounded preceding)"

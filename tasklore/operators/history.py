@@ -70,7 +70,7 @@ def rolling_score(
     """Adds the score and count of the keys' rows in earlier tasks, and with time_since_last the time and tasks since.
 
     rolling keeps the last N rows, weighted takes the rows' weights for their number, decay multiplies by itself a task.
-    A weighted rolling score drops rows while their weights exceed N; no window frame says that, so it is refused.
+    A rolling score by weights is weighted_rolling.
     """
     if rolling and (time_since_last or decay):
         raise ValueError("a rolling score has neither decay nor time since last")
@@ -103,6 +103,22 @@ def rolling_score(
     return out.drop("_k", "_s", "_n", "_total")
 
 
+def weighted_rolling(log: DataFrame, keys: list[str], n: float, label: str = "answered_correctly", weight: str = "answer_weight") -> DataFrame:
+    """Adds weighted_score_n and weighted_count_n: rows of earlier tasks, the oldest dropped while their weights exceed n.
+
+    What is left is always the longest run of latest rows whose weights are n or less, so it is a range frame over the weight
+    that came before a row, in billionths. Weights are 0 or more (null: 0); a sum of a billionth above n counts as n.
+    """
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    so_far = Window.partitionBy(*keys).orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    out = log.withColumns({"_k": task_ordinal(keys), "_c": F.round(F.coalesce(F.sum(w).over(so_far), F.lit(0.0)) * 1e9).cast("long")})
+    held = Window.partitionBy(*keys).orderBy("_c").rangeBetween(-round(n * 1e9) - 1, -1)  # not the row itself
+    out = out.withColumns({"_s": F.coalesce(F.sum(F.col(label) * w).over(held), F.lit(0.0)), "_n": F.coalesce(F.sum(w).over(held), F.lit(0.0))})
+    out = out.withColumns({"_s": over_task(keys, F.col("_s")), "weighted_count_n": over_task(keys, F.col("_n"))})
+    score = F.when(F.col("weighted_count_n") > 0, F.col("_s") / F.col("weighted_count_n"))
+    return out.withColumn("weighted_score_n", score).select(*log.columns, "weighted_score_n", "weighted_count_n")
+
+
 def last_lecture(value: str) -> Column:
     """The value at the user's last lecture row up to this one, even if it is null there; null before the first."""
     until = Window.partitionBy("user_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -156,37 +153,3 @@ def log_time_scores(df: DataFrame, column: str) -> DataFrame:
     facts = df.agg(F.avg(seconds).alias("_m"), F.stddev_pop(seconds).alias("_d"))  # one row
     out = df.crossJoin(F.broadcast(facts))
     return out.withColumn(f"{column}_z", F.coalesce(F.try_divide(seconds - F.col("_m"), F.col("_d")), F.lit(0.0))).drop("_m", "_d")
-
-
-def weighted_rolling(log: DataFrame, keys: list[str], n: float, label: str = "answered_correctly", weight: str = "answer_weight") -> DataFrame:
-    """Adds weighted_score_n and weighted_count_n: rows of earlier tasks, the oldest dropped while their weights exceed n.
-
-    No window frame is bounded by a sum, so this runs over each group of keys in order (the history of one user).
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[float, float]] = []
-        last_key = task = None
-        total = count = 0.0
-        fresh: list[tuple[float, float]] = []
-        for pdf in batches:
-            scores, counts = [], []
-            for row in zip(*(pdf[c] for c in keys), pdf["task_container_id"], pdf[label], pdf[weight], strict=True):
-                key, now, y, w = row[: len(keys)], row[-3], row[-2], row[-1]
-                if key != last_key:
-                    held, fresh, total, count, last_key, task = [], [], 0.0, 0.0, key, now
-                if now != task:
-                    for one in fresh:
-                        held.append(one)
-                        total, count = total + one[0], count + one[1]
-                    while count > n and held:
-                        old = held.pop(0)
-                        total, count = total - old[0], count - old[1]
-                    fresh, task = [], now
-                scores.append(total / count if count > 0 else None)
-                counts.append(count)
-                fresh.append((y * w, w))
-            yield pdf.assign(weighted_score_n=pd.array(scores, "Float64"), weighted_count_n=counts)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema) + ", weighted_score_n double, weighted_count_n double"
-    return log.repartition(*keys).sortWithinPartitions(*keys, "rn").mapInPandas(run, schema)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tasklore.operators import history, items, sessions
+from tasklore.operators import history, sessions
 
 HOUR = 3_600_000
 
@@ -82,4 +82,26 @@ def test_sessions_start_late_and_empty_logs(spark):
 
 def test_weighted_last_rows(spark):
     log = spark.createDataFrame([(1, k, k, k + 1, 1, 1, 1.0, 0) for k in range(6)], COLUMNS)
-    assert [r[0] for r in items.weighted_rolling(log, ["user_id"], 2.0).orderBy("rn").select("weighted_count_n").collect()] == [0, 1, 2, 2, 2, 2]
+    assert [r[0] for r in history.weighted_rolling(log, ["user_id"], 2.0).orderBy("rn").select("weighted_count_n").collect()] == [0, 1, 2, 2, 2, 2]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_weighted_last_rows_drop_the_oldest(spark, seed):
+    rows = [(*r[:6], round(r[6], 1), r[7]) for r in random_log(seed)]
+    log = spark.createDataFrame(rows, COLUMNS)
+    want = {}
+    for user in {r[0] for r in rows}:
+        held, fresh, task = [], [], None
+        for r in sorted((r for r in rows if r[0] == user), key=lambda r: r[3]):
+            if r[2] != task:
+                held, fresh, task = held + fresh, [], r[2]
+                while sum(w for _, w in held) > 2 + 1e-9:
+                    held = held[1:]
+            n = sum(w for _, w in held)
+            want[user, r[3]] = (sum(y * w for y, w in held) / n if n > 0 else None, n)
+            fresh.append((r[5], r[6]))
+    got = {(r.user_id, r.rn): (r.weighted_score_n, r.weighted_count_n) for r in history.weighted_rolling(log, ["user_id"], 2.0).collect()}
+    assert got.keys() == want.keys()
+    for key, (score, n) in want.items():
+        assert got[key][1] == pytest.approx(n, abs=1e-9)
+        assert got[key][0] == (None if score is None else pytest.approx(score))
