@@ -673,26 +673,55 @@ def m6_blend(spark, d):
     return models.blended(log.where("fold < 3"), log.where("fold >= 3"), columns, "answered_correctly", ROW, ("boosted", "forest"))
 
 
+PAIRS = [["user_id", f"question_{x}"] for x in ("part", "category", "tag", "community")]
+WITH_ITEM = ["user_id", "content_id"]
+
+
 @query()
 def f11_feature_frame(spark, d):
-    """The main pipeline's history features, in its order, on one log. Encoders read the log twice, so it is cut between."""
-    log = cut(_i(spark, d))
+    """The main pipeline's features, in its order, on the log of orders: questions and answers, clusters and likeness, ratios,
+    scores in sample and out of fold, and the history of every key set.
+
+    That log has no lectures, so the lecture columns and the encoders by them are left out (f10_lectures_pipeline has the
+    former). What aggregates a log and joins the result reads it twice, so the log is cut between; history windows are one plan.
+    """
+    part = spark.read.parquet(f"{d}/part.parquet")
+    named = part.select(F.col("p_partkey").alias("content_id"), F.col("p_name").alias("tags"))
+    groups = items.item_communities(named, "content_id", "tags").withColumnRenamed("community", "question_community")
+    embedded = spark.read.parquet(f"{d}/embeddings.parquet")
+    vectors = embedded.select(F.expr("vec_id div 2").alias("content_id"), (F.col("vec_id") % 2).alias("correct"), F.col("embedding").alias("vector"))
+    kinds = items.clusters(vectors.where("correct = 1").select("content_id", "vector"), 10).select("content_id", F.col("category").alias("question_cluster"))
+
+    log = cut(_i(spark, d).join(groups, "content_id", "left").join(kinds, "content_id", "left"))
     prior = _prior(log)
-    log = cut(encoders.with_incorrect_answers(log, encoders.incorrect_answers(log)))
+    log = cut(sessions.session_features(log.withColumn("prior_question_elapsed_time", F.col("elapsed_ms"))))
+    log = log.join(sessions.question_times(log, "elapsed_ms"), "content_id", "left")
+    log = cut(sessions.first_task_flag(sessions.task_size(log), 79, "user_79"))
     log = cut(encoders.prior_answer_ratio(log))
+    log = cut(encoders.with_incorrect_answers(log, encoders.incorrect_answers(log)))
     log = cut(encoders.answer_frequency(log))
-    for column in ("question_category", "content_id"):
-        log = cut(encoders.ratio_encoder(log, column))
-    log = cut(encoders.score_encoder_oof(log, ["content_id"]))
+    log = rows = cut(sequences.answer_likeness(log, named, vectors))
+    for column in ("task_container_id", "question_category", "question_tag", "tags", "content_id", "question_community"):
+        log = encoders.ratio_encoder(log, column, rows)
+    for column in ("question_part", "question_category", "question_tag", "question_community"):
+        log = encoders.score_encoder(log, [column], rows=rows)
+    log = cut(encoders.score_encoder_oof(cut(log), ["content_id"]))
+    log = cut(encoders.score_encoder_oof(log, ["user_79", "content_id"], smoothing=(20, 5), parent="content_id_encoded"))
     log = log.withColumn("answer_weight", fn.answer_weight(F.col("content_id_encoded"), F.col("answered_correctly")))
-    for keys in (["user_id"], ["user_id", "question_part"], ["user_id", "question_category"]):
-        log = history.rolling_score(log, keys, (5, 2), prior)
+
+    for keys in (["user_id"], *PAIRS):
+        log = history.rolling_score(log, keys, (5, 2), prior, time_since_last=len(keys) == 2)
         log = history.rolling_score(log, keys, (2.5, 1), prior, rolling=20)
         log = history.rolling_score(log, keys, (2, 1), prior, weighted=True)
-        log = cut(history.rolling_score(log, keys, (1, 1), prior, decay=0.9))
-    log = history.task_lags(log, ["content_id_encoded", "elapsed_ms", "prior_answer_ratio"])
-    log = fn.densities(log.withColumn("user_id_count", F.col("rn") - 1), ["user_id_question_part_count", "user_id_question_category_count"])
-    return log.drop("answer_weight", "fold")
+        log = history.rolling_score(log, keys, (1, 1), prior, decay=0.9)
+        if keys in (["user_id"], PAIRS[0]):
+            log = history.rolling_score(log, keys, (10, 2), prior, decay=0.99)
+    log = history.rolling_score(log, ["user_id"], (4, 1), prior, weighted=True, decay=0.98)
+    log = history.rolling_score(log, WITH_ITEM, time_since_last=True)
+    log = cut(history.rolling_score(log, WITH_ITEM, rolling=1))
+    log = history.task_lags(log, ["content_id_encoded", "mean_content_time", "prior_question_time", "elapsed_ms", "prior_answer_ratio"])
+    log = fn.densities(log, ["_".join(keys) + "_count" for keys in (*PAIRS, WITH_ITEM)])
+    return log.drop("answer_weight", "fold", "correct_answer", "user_answer", "had_explanation", "prior_question_elapsed_time")
 
 
 FLAGSHIP = "w1_rolling_score"
