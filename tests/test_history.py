@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tasklore.operators import history, sessions
+from tasklore.operators import encoders, history, sessions
 
 HOUR = 3_600_000
 
@@ -105,3 +105,15 @@ def test_weighted_last_rows_drop_the_oldest(spark, seed):
     for key, (score, n) in want.items():
         assert got[key][1] == pytest.approx(n, abs=1e-9)
         assert got[key][0] == (None if score is None else pytest.approx(score))
+
+
+def test_encoders_take_a_parent_and_other_rows(spark):
+    log = spark.createDataFrame([(u, k, 1 if u < 3 else 9, u % 2, 0.25) for k, u in enumerate((0, 1, 2, 3))], "user_id int, rn int, item int, answered_correctly int, up double")
+    got = encoders.score_encoder_oof(log, ["item"], smoothing=(5, 1), parent="up").orderBy("rn").collect()
+    assert got[3].item_encoded == 0.25  # no other fold has the item
+    weight = 1 / (1 + 2.718281828459045**3)
+    assert got[0].item_encoded == pytest.approx(weight * 0.5 + (1 - weight) * 0.25)
+    some = log.where("user_id < 2")
+    assert [r.item_ratio for r in encoders.ratio_encoder(log, "item", some).orderBy("rn").collect()] == [1, 1, 1, 0]
+    own = encoders.score_encoder(log, ["item"], (None, None), rows=some).orderBy("rn").collect()
+    assert [r.item_encoded for r in own] == [0.5, 0.5, 0.5, None]
