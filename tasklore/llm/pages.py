@@ -63,6 +63,8 @@ SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 PAGES, SHARE = 4, 0.3
 #: Pages that a task remembers as seen.
 HELD = 200_000
+#: A host with a larger share of all pages than this is dealt to several tasks.
+FAIR = 1 / 4096
 
 
 class Node:
@@ -251,11 +253,19 @@ def _subtrees(pages: DataFrame) -> DataFrame:
     return in_arrow(pages.select("host", "html"), scan, "host string, mark long, hashes array<long>")
 
 
+def _shares(pages: DataFrame) -> DataFrame:
+    """host, shares for the hosts that hold more than FAIR of all pages: how many tasks such a host's pages are dealt to, so that
+    none takes more than about FAIR of them. Reads urls only; fewer than 1 / FAIR rows."""
+    rows = pages.groupBy("host").agg(F.count("*").alias("n"))
+    total = rows.agg(F.sum("n").alias("total"))
+    return rows.join(F.broadcast(total)).where(F.col("n") > FAIR * F.col("total")).select("host", F.ceil(F.col("n") / (FAIR * F.col("total"))).cast("int").alias("shares"))
+
+
 def main_text(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
     A null page is empty and has an empty text; a null url, or one without a host, belongs to the host "". Pages of one
-    text count once. An empty table gives an empty result.
+    text count once. An empty table gives an empty result. The pages of a host with very many are dealt to many tasks.
     """
     given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     texts = _subtrees(given).groupBy("host", "mark").agg(F.array_distinct(F.flatten(F.collect_set("hashes"))).alias("hashes"))
@@ -281,5 +291,9 @@ def main_text(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = given.schema["page_id"].dataType.simpleString()
-    joined = given.join(template, "host", "left").select("page_id", "url", "html", "host", "template")
+    shares = _shares(given)  # broadcast: at most 1 / FAIR of the hosts' rows can pass its bound
+    dealt = given.join(F.broadcast(shares), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shares", F.lit(1))))
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1).cast("array<long>"))
+    copied = template.join(F.broadcast(shares), "host", "left").select("host", "template", salts.alias("salt"))
+    joined = dealt.join(copied, ["host", "salt"], "left").select("page_id", "url", "html", "host", "template")
     return in_arrow(joined, scan, f"page_id {kind}, url string, text string, n_chars long")
