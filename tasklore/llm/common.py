@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,22 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tasklore.sources.store import shared_dir
+
 #: Word characters: anything but these six white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="tasklore-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or _own_dir()).rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
