@@ -22,7 +22,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard and slot under the law of bytes. DuckDB has no crc32, so there is no SQL."""
+    """Every document's shard and slot under the law of bytes."""
     return sharding.shard_by_bytes(_docs(spark, sf_dir))
 
 
@@ -73,7 +73,67 @@ QUERIES = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: CRC-32 of a list of bytes, by the table of the reflected polynomial.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, crcs[xor(c % 256, x) + 1])), 4294967295)"""
+
 ORACLE_SQL = {
+    "op1_suffix_array_dedup": f"""
+with d as (select doc_id, row_number() over () as doc, hex(encode(coalesce(text, ''))) as hx from documents),
+q as (select doc, c, substr(hx, 512 * c + 1, {510 + 2 * substrings.LEAST}) as piece from (select *, unnest(range(0, length(hx) // 512 + 1)) as c from d)),
+p as (select *, unnest(range(0, least(256, length(piece) // 2 - {substrings.PASSAGE - 1}))) as k from q),
+w as (
+  select doc, 256 * c + k as place, hash(substr(piece, 2 * k + 1, {2 * substrings.PASSAGE})) as passage,
+         case when 2 * k + {2 * substrings.LEAST} <= length(piece) then hash(substr(piece, 2 * k + 1, {2 * substrings.LEAST})) end as whole
+  from p),
+r as (
+  select doc, place, {substrings.LEAST} as width from w where whole in (select whole from w where whole is not null group by whole having count(*) > 1)
+  union all
+  select doc, place, {substrings.PASSAGE} from w where passage in (select passage from w group by passage having count(*) > 1)),
+g as (select *, coalesce(place > lag(place) over o + width, true) as opens from r window o as (partition by doc, width order by place)),
+s as (select *, sum(opens::int) over (partition by doc, width order by place rows unbounded preceding) as run from g),
+u as (select doc, width, run, min(place) as start, max(place) + width as stop from s group by doc, width, run),
+z as (select *, coalesce(lag(stop) over (partition by doc, width order by start), 0) as before from u),
+k as (
+  select doc, sum(stop - start) filter (width = {substrings.LEAST}) as n_removed, count(*) filter (width = {substrings.LEAST}) as n_spans,
+         max(stop) filter (width = {substrings.LEAST}) as last, sum(stop - start) filter (width = {substrings.PASSAGE}) as n_passage_bytes
+  from z group by doc),
+h as (
+  select doc, string_agg(substr(hx, 2 * before + 1, 2 * (start - before)), '' order by start) as kept
+  from z join d using (doc) where width = {substrings.LEAST} group by doc)
+select doc_id, (length(hx) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(hx, 2 * coalesce(last, 0) + 1))) as kept_sha256,
+       coalesce(n_passage_bytes, 0)::bigint as n_passage_bytes, coalesce(n_passage_bytes, 0) > 0 as has_passage
+from d left join k using (doc) left join h using (doc)""",
+    "op3_sharding": f"""
+with c as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+             lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as crcs),
+b as (select doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint) as bytes from documents),
+d as (select doc_id, (len(bytes) + 1)::bigint as size, {_CRC32}::bigint as text_crc32 from b, c),
+p as (
+  select *, sum(size) over (order by doc_id nulls first, text_crc32, size rows unbounded preceding) - size as start, sum(size) over () as total,
+         row_number() over (order by doc_id nulls first, text_crc32, size) as place
+  from d),
+s as (select *, least(((2 * start + size) * 8) // (2 * total), 7)::int as shard from p)
+select doc_id, size, text_crc32, 'bytes' as law, shard, place - min(place) over (partition by shard) as slot, null::int as grown_shard
+from s""",
+    "op8_ngram_jaccard": f"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as ws from documents),
+g as (
+  select distinct doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') as gram
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n_shingles from g group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as both from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+half as (
+  select c.a, c.b from common c join n x on c.a = x.doc_id join n y on c.b = y.doc_id
+  where 100 * c.both >= 75 * (x.n_shingles + y.n_shingles - c.both)),
+link as (select a, b from half union all select b, a from half),
+reach as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a),
+k as (select a as doc_id, count(*) as n_links from link group by a),
+m as (select a as doc_id, min(b) as low from reach group by a)
+select doc_id, coalesce(n_shingles, 0)::bigint as n_shingles, least(doc_id, coalesce(low, doc_id)) as component_id, coalesce(n_links, 0)::bigint as n_links
+from d left join n using (doc_id) left join k using (doc_id) left join m using (doc_id)""",
     "op5_mixing": rf"""
 with d as (
   select doc_id, source, len({_WORDS})::bigint as size,
