@@ -413,6 +413,22 @@ def test_pages_keep_text_under_alike_names(spark):
     assert pages.main_text(frame.withColumns({"host": frame["url"], "template": frame["html"], "text": frame["html"]})).count() == 8
 
 
+def test_pages_of_a_large_host_met_by_shuffled_joins(spark):
+    shell = "<body><div><p>Same on all</p></div><p>Own {}</p></body>"
+    made = [(k, f"http://large.example/{k}", shell.format(k)) for k in range(300)] + [(300 + k, f"http://h{k}.example/", shell.format(k)) for k in range(30)]
+    frame = spark.createDataFrame([*made, (None, "http://large.example/0", None)], "page_id long, url string, html string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pages.main_text(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    got = {r["page_id"]: r["text"] for r in found}
+    assert len(found) == 331 and got[None] == ""
+    assert all(got[k] == f"Own {k}" for k in range(300))
+    assert all(got[300 + k] == f"Same on all\n\nOwn {k}" for k in range(30))
+
+
 def test_pages_of_a_real_table(spark):
     """Every page of the smallest table has one article of headings and paragraphs: its text by a plain reading."""
     import html as h
