@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tasklore.llm import jaccard, langid, mixing, packing, pages, quality, secrets, sharding, sketches, substrings
+from tasklore.llm import codes, jaccard, langid, mixing, packing, pages, passages, quality, resampling, secrets, sharding, sketches, substrings
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +63,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(_docs(spark, sf_dir))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 20 words that started earlier removed, for every document."""
+    return passages.remove_passages(_docs(spark, sf_dir)).drop("spans")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code and exact error of every vector."""
+    return codes.product_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document toward the benchmark's features."""
+    return resampling.importance_resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_html_extraction, op3_sharding, op4_secret_scans, op5_mixing,
         op6_quality_rules, op7_language_id, op8_ngram_jaccard, op9_fingerprints, op10_best_fit_packing,
+        op11_substring_dedup, op12_vector_codes, op13_importance_resampling,
     )
 }
 
@@ -78,6 +94,36 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 #: CRC-32 of a list of bytes, by the table of the reflected polynomial.
 _CRC32 = """xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, crcs[xor(c % 256, x) + 1])), 4294967295)"""
 
+
+
+def _codes_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
+    """Product codes as one SQL statement: a few steps for each round of the codebooks."""
+    steps = [
+        """k as (select vec_id, label, embedding from embeddings where embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"""c as (select vec_id, label, (i - 1) // (len(embedding) // {parts}) as part, (i - 1) % (len(embedding) // {parts}) as place, floor({codes.SCALE} * embedding[i]::double)::bigint as x
+  from (select *, unnest(range(1, len(embedding) + 1)) as i from k))""",
+        f"f as (select vec_id, row_number() over (order by vec_id) - 1 as entry from k order by vec_id limit {entries})",
+        "b0 as (select part, entry, place, x as y from c join f using (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        steps += [
+            f"d{r} as materialized (select vec_id, part, entry, sum((x - y) * (x - y))::bigint as d from c join b{r} using (part, place) group by all)",
+            f"a{r} as materialized (select vec_id, part, arg_min(entry, d * {entries} + entry) as entry, min(d) as d from d{r} group by all)",
+        ]
+        if r < rounds:
+            steps += [
+                f"m{r} as (select part, entry, place, floor(sum(x) / count(*))::bigint as y from c join a{r} using (vec_id, part) group by all)",
+                f"b{r + 1} as materialized (select part, entry, place, coalesce(m.y, b.y) as y from b{r} b left join m{r} m using (part, entry, place))",
+            ]
+    steps += [
+        f"e as (select vec_id, string_agg(printf('%02x', entry), '' order by part) as code, sum(d)::bigint as error from a{rounds} group by vec_id)",
+        "t as (select vec_id, label, code, error from e join k using (vec_id))",
+        f"s as (select sha256(string_agg(y::varchar, ',' order by part, entry, place)) as h from b{rounds})",
+    ]
+    return "with " + ",\n".join(steps) + "\nselect vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, h as codebooks_sha256 from t, s"
+
+
 ORACLE_SQL = {
     "op1_suffix_array_dedup": f"""
 with d as (select doc_id, row_number() over () as doc, hex(encode(coalesce(text, ''))) as hx from documents),
@@ -182,4 +228,38 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          {" or ".join(f"((({r.over} < {r.under} * {r.low}::double) or ({r.over} > {r.under} * {r.high}::double)) and n_words >= {r.least})".replace(f"({r.over} < {r.under} * None::double)", "false").replace(f"({r.over} > {r.under} * None::double)", "false") for r in quality.RULES)}
        ) as kept
 from f""",
+    "op11_substring_dedup": rf"""
+with d as (select doc_id, {_WORDS} as ws from documents),
+w as (select doc_id, unnest(range(1, len(ws) - {passages.LEAST - 2})) as i, unnest(list_transform(range(1, len(ws) - {passages.LEAST - 2}), lambda k: hash(list_slice(ws, k, k + {passages.LEAST - 1})))) as h
+      from d where len(ws) >= {passages.LEAST}),
+f as (select doc_id, i from w qualify row_number() over (partition by h order by doc_id, i) > 1),
+g as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + {passages.LEAST}, true) as opens from f),
+r as (select doc_id, i, sum(opens::int) over (partition by doc_id order by i rows unbounded preceding) as run from g),
+s as (select doc_id, min(i) as start, max(i) + {passages.LEAST} as stop from r group by doc_id, run),
+z as (select *, coalesce(lag(stop) over (partition by doc_id order by start), 1) as before from s),
+k as (select doc_id, sum(stop - start) as n_removed, max(stop) as last, flatten(list(list_slice(ws, before, start - 1) order by start)) as kept from z join d using (doc_id) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+       sha256(array_to_string(list_concat(coalesce(kept, []), list_slice(ws, coalesce(last, 1), len(ws))), ' ')) as kept_sha256
+from d left join k using (doc_id)""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_importance_resampling": rf"""
+with tab as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+             lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as crcs),
+d as (select doc_id, 0 as side, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+      union all select null, 1, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+n as (select row_number() over () as doc, * from d),
+g as (select doc, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+             list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) as gram from n),
+u as (select gram, list_transform(regexp_extract_all(hex(encode(gram)), '..'), lambda x: ('0x' || x)::bigint) as bytes from (select distinct gram from g)),
+c as (select gram, ({_CRC32} % {resampling.BUCKETS})::int as bucket from u, tab),
+o as (select doc, side, bucket, count(*) as n from g join c using (gram) join n using (doc) group by all),
+b as (select bucket, sum(case when side = 0 then n else 0 end) as s, sum(case when side = 1 then n else 0 end) as t from o group by bucket),
+z as (select sum(s) as ss, sum(t) as tt from b),
+gain as (select bucket, floor(1000 * ln((t + 1)::double * (ss + {resampling.BUCKETS}) / ((s + 1)::double * (tt + {resampling.BUCKETS}))))::bigint as gain from b, z),
+w as (select doc, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from o join gain using (bucket) where side = 0 group by doc),
+k as (select doc_id, len(ws) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight, ('0x' || substr(sha256('42:' || doc_id), 1, 8))::bigint as h
+      from n left join w using (doc) where side = 0),
+x as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296.0::double)))::bigint as score from k),
+r as (select *, row_number() over (order by n_words >= {resampling.LEAST_WORDS} desc, score desc, doc_id) as place, count(*) filter (where n_words >= {resampling.LEAST_WORDS}) over () as total from x)
+select doc_id, n_words::bigint as n_words, n_features, weight, score, case when n_words >= {resampling.LEAST_WORDS} and place <= {resampling.SHARE} * total // 100 then place end as rank from r""",
 }
