@@ -1,13 +1,14 @@
 """Removal of repeated passages of words by prefix-partitioned sparse suffix trees (operator 11).
 
 Every window of LEAST words holds an anchor: a place whose GRAM words hash least among those of the window, so that equal
-windows have their anchors at equal places. Suffixes start at anchors. They are split by prefixes of variable length: the
-GRAM words of the anchor, where no more suffixes share them than a task should hold, and beyond that all LEAST words of
-each window that the anchor stands for, a prefix so long that its suffixes share one deep node. A prefix found once is
-dropped before any text moves. A task builds the suffix tree of each of its prefixes, inserting suffixes in document order:
-what a suffix meets on its way down starts earlier. Each place of the tree keeps the left contexts met there, so a suffix
-learns how far it repeats an earlier one to both sides, which is what the tree's deep internal nodes and the diversity of
-their left contexts say. Prefixes of LEAST words need no tree: their node's earliest leaf is a minimum, taken in Spark.
+windows have their anchors at equal places. Suffixes start at anchors, each with the words of its windows before and after
+(its context). They are split by prefixes of variable length. A prefix is the anchor's GRAM words where a task can hold its
+suffixes; where there are more, equal contexts first become one suffix, and if these are still too many, they are split by
+all LEAST words of each window, a prefix so long that its suffixes share one deep node. A prefix found once is dropped before
+any text moves. A task builds the suffix tree of each of its prefixes, inserting suffixes in document order: what a suffix
+meets on its way down starts earlier. Each place of the tree keeps the left contexts met there, so a suffix learns how far it
+repeats an earlier one to both sides, which is what the tree's deep internal nodes and the diversity of their left contexts
+say. Prefixes of LEAST words need no tree: their node's earliest leaf is a minimum, taken in Spark.
 """
 
 from __future__ import annotations
@@ -162,7 +163,11 @@ def _wanted(column: pa.Array, a: int, b: int) -> np.ndarray:
 
 
 def _suffixes(met: DataFrame) -> DataFrame:
-    """met (doc, t1, t2, text, hs) -> h, doc, t1, t2, at, n_left, context: the suffixes of the prefixes that hs names."""
+    """met (doc, t1, t2, text, hs) -> h, doc, t1, t2, at, n_left, context: the suffixes of the prefixes that hs names.
+
+    A context that a text holds again is not a suffix more: rows without a context, under any h, tell what such repeats cover,
+    from at to n_left.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,20 +178,52 @@ def _suffixes(met: DataFrame) -> DataFrame:
                 starts, ends, edges, words = word_hashes(piece, offsets[a : b + 1] - offsets[a])
                 at, hashes = anchors(words, edges)
                 doc = np.searchsorted(edges, at, "right") - 1
-                ok = np.isin(hashes ^ mix(doc.astype(_U) + _U(1)), _wanted(batch.column(4), a, b))
-                at, hashes, doc = at[ok], hashes[ok], doc[ok]
+                mixed = hashes ^ mix(doc.astype(_U) + _U(1))
+                ok = np.isin(mixed, _wanted(batch.column(4), a, b))
+                at, hashes, doc, mixed = at[ok], hashes[ok], doc[ok], mixed[ok]
                 low, high = np.maximum(edges[doc], at - (LEAST - GRAM)), np.minimum(edges[doc + 1], at + LEAST)
                 data = piece.tobytes()
+                _, which, n = np.unique(mixed, return_inverse=True, return_counts=True)
+                again = n[which] > 1  # only these can repeat in their text
                 for x in range(0, len(at), _ROWS):
                     y = slice(x, x + _ROWS)
-                    cut = [data[p:q] for p, q in zip(starts[low[y]].tolist(), ends[high[y] - 1].tolist(), strict=True)]
+                    context = [data[p:q] for p, q in zip(starts[low[y]].tolist(), ends[high[y] - 1].tolist(), strict=True)]
                     rows = pa.array(doc[y] + a)
                     cols = [pa.array(hashes[y].view(np.int64)), *[c.take(rows) for c in ids], pa.array(at[y] - edges[doc[y]]), pa.array(at[y] - low[y])]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.binary())], ["h", *_ID, "at", "n_left", "context"])
+                    out = pa.RecordBatch.from_arrays([*cols, pa.array(context, pa.binary())], _SUFFIX)
+                    yield out.filter(pa.array(~again[y]))
+                if again.any():
+                    yield from _once(np.flatnonzero(again), data, starts, ends, edges, at, hashes, doc, low, high, ids, a)
 
     return in_arrow(met, scan, "h long, doc long, t1 long, t2 long, at long, n_left long, context binary")
 
 
+_SUFFIX = ["h", *_ID, "at", "n_left", "context"]
+
+
+def _once(rows, data, starts, ends, edges, at, hashes, doc, low, high, ids, a) -> Iterator[pa.RecordBatch]:
+    """The rows' suffixes without those that their text held before, and the spans of the latter."""
+    seen: set[tuple] = set()
+    first, spans = [], {}
+    for k in rows.tolist():
+        context = data[starts[low[k]] : ends[high[k] - 1]]
+        one = int(doc[k]), int(hashes[k]), int(at[k] - low[k]), b" ".join(context.split())
+        if one in seen:
+            spans.setdefault(one[0], []).append((int(low[k] - edges[doc[k]]), int(high[k] - edges[doc[k]])))
+        else:
+            seen.add(one)
+            first.append((k, context))
+    kept = np.array([k for k, _ in first], np.int64)
+    own = pa.array(doc[kept] + a)
+    cols = [pa.array(hashes[kept].view(np.int64)), *[c.take(own) for c in ids], pa.array(at[kept] - edges[doc[kept]]), pa.array(at[kept] - low[kept])]
+    yield pa.RecordBatch.from_arrays([*cols, pa.array([c for _, c in first], pa.binary())], _SUFFIX)
+    for d, found in spans.items():
+        x, y = union(*np.array(found).T)
+        own = pa.array(np.full(len(x), d + a))
+        t1 = ids[1].take(own)
+        yield pa.RecordBatch.from_arrays([t1, ids[0].take(own), t1, ids[2].take(own), pa.array(x), pa.array(y), pa.nulls(len(x), pa.binary())], _SUFFIX)
+
+
 _SPANS = "t1 long, t2 long, start long, stop long"
 
 
@@ -196,14 +233,17 @@ def _tree_spans(suffixes: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, int]] = []
         for group in groups(batches, 1):
-            if group.num_rows < 2:
-                continue
             t1, t2, at, n_left, context = (group.column(k).to_pylist() for k in range(2, 7))
-            members = []
-            for n, c in zip(n_left, context, strict=True):
-                words = c.split()
-                members.append((words[:n][::-1], words[n:]))
-            out += [(t1[k], t2[k], at[k] - left, at[k] + right) for k, (left, right) in enumerate(repeats(members)) if right]
+            rows, members = [], []
+            for k, (n, c) in enumerate(zip(n_left, context, strict=True)):
+                if c is None:
+                    out.append((t1[k], t2[k], at[k], n))
+                else:
+                    words = c.split()
+                    rows.append(k)
+                    members.append((words[:n][::-1], words[n:]))
+            if len(members) > 1:
+                out += [(t1[k], t2[k], at[k] - left, at[k] + right) for k, (left, right) in zip(rows, repeats(members), strict=True) if right]
             if len(out) > _ROWS:
                 yield _spans(out)
                 out = []
@@ -218,33 +258,41 @@ def _spans(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["t1", "t2", "start", "stop"])
 
 
-def _window_spans(met: DataFrame) -> DataFrame:
-    """As _tree_spans for prefixes with very many suffixes: their windows are split by all LEAST words, and every window but
-    the earliest of equal ones is a span. The minimum is taken in each task before rows meet; the join's keys can be split."""
+def _classes(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Suffixes with their own context's earliest place: (spans of all but the earliest of equal contexts, the earliest ones).
+
+    Equal contexts hold the same windows, so the later ones are covered whole. The minimum is taken in each task before rows
+    meet, and the join's keys can be split.
+    """
+    words = F.col("context").cast("string")
+    mark = F.coalesce(words, F.concat_ws(" ", "t1", "at"))  # rows without a context stay apart
+    marked = suffixes.withColumns({"c1": F.xxhash64("n_left", mark), "c2": F.xxhash64(F.lit(7), "n_left", mark), "place": F.struct(*_ID, "at")})
+    first = marked.groupBy("c1", "c2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    joined = marked.join(first, ["c1", "c2"], "left").withColumn("later", F.coalesce(F.col("place") != F.col("first"), F.lit(False)) & F.col("context").isNotNull())
+    n_words = F.size(F.split(F.trim(F.regexp_replace(words, r"[\x20\x09-\x0D]+", " ")), " "))
+    later = joined.where("later").select("t1", "t2", (F.col("at") - F.col("n_left")).alias("start"), (F.col("at") - F.col("n_left") + n_words).alias("stop"))
+    return later, joined.where("not later").select(*_SUFFIX)
+
+
+def _window_spans(suffixes: DataFrame) -> DataFrame:
+    """As _tree_spans, for prefixes whose contexts are too many for a task: split by all LEAST words of each window that the
+    suffixes stand for, and every window but the earliest of equal ones is a span."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = buffer_of(batch.column(3))
-            for a, b in chunks(offsets):
-                _, _, edges, words = word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                at, hashes = anchors(words, edges)
-                doc = np.searchsorted(edges, at, "right") - 1
-                ok = np.isin(hashes ^ mix(doc.astype(_U) + _U(1)), _wanted(batch.column(4), a, b))
-                at, doc = at[ok], doc[ok]
-                low, high = np.maximum(edges[doc], at - (LEAST - GRAM)), np.minimum(edges[doc + 1] - LEAST, at)
-                begins = np.zeros(len(words) + 1, np.int32)
-                np.add.at(begins, low, 1)
-                np.add.at(begins, high + 1, -1)
-                begin = np.flatnonzero(np.cumsum(begins) > 0)
-                if not len(begin):
-                    continue
-                doc = np.searchsorted(edges, begin, "right") - 1
-                g = [run_hashes(words, LEAST, kind)[begin].view(np.int64) for kind in (0, 1)]
-                rows = pa.array(doc + a)
-                cols = [*map(pa.array, g), *[batch.column(k).take(rows) for k in range(3)], pa.array(begin - edges[doc])]
-                yield pa.RecordBatch.from_arrays(cols, ["g1", "g2", *_ID, "at"])
-
-    windows = in_arrow(met, scan, "g1 long, g2 long, doc long, t1 long, t2 long, at long").withColumn("place", F.struct(*_ID, "at"))
+            rows, starts, digests = [], [], []
+            for k, (at, n_left, context) in enumerate(zip(*(batch.column(c).to_pylist() for c in (4, 5, 6)), strict=True)):
+                words = context.split()
+                for x in range(max(0, n_left - (LEAST - GRAM)), min(n_left, len(words) - LEAST) + 1):
+                    rows.append(k)
+                    starts.append(at - n_left + x)
+                    digests.append(hashlib.blake2b(b" ".join(words[x : x + LEAST]), digest_size=16).digest())
+            pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            own = pa.array(rows, pa.int64())
+            cols = [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *[batch.column(k).take(own) for k in (1, 2, 3)], pa.array(starts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["g1", "g2", *_ID, "at"])
+
+    windows = in_arrow(suffixes, scan, "g1 long, g2 long, doc long, t1 long, t2 long, at long").withColumn("place", F.struct(*_ID, "at"))
     first = windows.groupBy("g1", "g2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(first, ["g1", "g2"]).where("place <> first")
     return later.select("t1", "t2", F.col("at").alias("start"), (F.col("at") + LEAST).alias("stop"))
@@ -296,8 +344,11 @@ def remove_passages(docs: DataFrame, group: int = GROUP) -> DataFrame:
         F.collect_set(F.when(F.col("times") > group, F.col("h"))).alias("many"),
     )
     met = texts.join(listed, ["t1", "t2"])
-    spans = _tree_spans(_suffixes(met.where(F.size("few") > 0).select(*_ID, "text", "few")))
-    spans = spans.unionByName(_window_spans(met.where(F.size("many") > 0).select(*_ID, "text", "many")))
+    later, classes = _classes(_suffixes(met.where(F.size("many") > 0).select(*_ID, "text", "many")))
+    wide = classes.where("context is not null").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group).select("h")
+    slim = classes.join(wide, "h", "left_anti").select(*_SUFFIX)
+    spans = _tree_spans(_suffixes(met.where(F.size("few") > 0).select(*_ID, "text", "few")).unionByName(slim)).unionByName(later)
+    spans = spans.unionByName(_window_spans(classes.where("context is not null").join(wide, "h", "left_semi").select(*_SUFFIX)))
     found = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     kept = _kept(texts.join(found, ["t1", "t2"], "left")).withColumnRenamed("doc", "first")
     out = rows.drop("text").join(kept, ["t1", "t2"])
