@@ -262,11 +262,11 @@ def _classes(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Suffixes with their own context's earliest place: (spans of all but the earliest of equal contexts, the earliest ones).
 
     Equal contexts hold the same windows, so the later ones are covered whole. The minimum is taken in each task before rows
-    meet, and the join's keys can be split.
+    meet, and the join's keys can be split. Every use reads all columns, so that all share the exchange of the suffixes.
     """
     words = F.col("context").cast("string")
     mark = F.coalesce(words, F.concat_ws(" ", "t1", "at"))  # rows without a context stay apart
-    marked = suffixes.withColumns({"c1": F.xxhash64("n_left", mark), "c2": F.xxhash64(F.lit(7), "n_left", mark), "place": F.struct(*_ID, "at")})
+    marked = suffixes.withColumns({"c1": F.xxhash64("n_left", mark), "c2": F.xxhash64(F.lit(7), "n_left", mark), "place": F.struct(*_ID, "at", "h")})
     first = marked.groupBy("c1", "c2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = marked.join(first, ["c1", "c2"], "left").withColumn("later", F.coalesce(F.col("place") != F.col("first"), F.lit(False)) & F.col("context").isNotNull())
     n_words = F.size(F.split(F.trim(F.regexp_replace(words, r"[\x20\x09-\x0D]+", " ")), " "))
@@ -344,7 +344,8 @@ def remove_passages(docs: DataFrame, group: int = GROUP) -> DataFrame:
         F.collect_set(F.when(F.col("times") > group, F.col("h"))).alias("many"),
     )
     met = texts.join(listed, ["t1", "t2"])
-    later, classes = _classes(_suffixes(met.where(F.size("many") > 0).select(*_ID, "text", "many")))
+    many = _suffixes(met.where(F.size("many") > 0).select(*_ID, "text", "many")).repartition(parts(docs.sparkSession), "t1", "at")
+    later, classes = _classes(many)
     wide = classes.where("context is not null").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group).select("h")
     slim = classes.join(wide, "h", "left_anti").select(*_SUFFIX)
     spans = _tree_spans(_suffixes(met.where(F.size("few") > 0).select(*_ID, "text", "few")).unionByName(slim)).unionByName(later)
