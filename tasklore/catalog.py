@@ -6,16 +6,15 @@ lectures use the log made of events. Sums of products and powers are rounded to
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tasklore.functions import scalars as fn
 from tasklore.operators import encoders, history, items, sequences, sessions
-from tasklore.plans import models, replay
+from tasklore.plans import frame, models, profile, replay
 from tasklore.sources import logs
-from tasklore.sources.store import cut, shared_dir
+from tasklore.sources.store import cut, scratch
+from tasklore.streaming import stateful
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -426,7 +425,7 @@ def s5_first_rows(spark, d):
 @query("""select p_partkey::int as question_id, (p_partkey % 4)::int as correct_answer, (p_size % 7 + 1)::int as part, p_name as tags from part""")
 def s1_csv_scan(spark, d):
     """Questions written as CSV in the shared folder and read in their types, without the column that the schema does not name."""
-    path = f"{shared_dir(spark)}/questions-{uuid.uuid4().hex}"
+    path = scratch(spark, "questions")
     part = spark.read.parquet(f"{d}/part.parquet")
     made = part.select(F.col("p_partkey").alias("question_id"), "p_comment" if "p_comment" in part.columns else F.lit("x").alias("note"), (F.col("p_partkey") % 4).alias("correct_answer"), (F.col("p_size") % 7 + 1).alias("part"), F.col("p_name").alias("tags"))
     made.write.option("header", True).csv(path)
@@ -569,6 +568,64 @@ def e8_answer_likeness(spark, d):
     return rounded(out.select(*ROW, *[f"{n}_{k}" for k in (1, 2, 3) for n in ("similarity", "tags_similarity", "tags_answered_similarity")]))
 
 
+@query()
+def e8_likeness_out_of_fold(spark, d):
+    """Likeness by vectors trained on the histories of other folds' users."""
+    log = _i(spark, d).withColumn("fold", encoders.folds(F.col("user_id"), 5))
+    tags = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("content_id"), F.col("p_name").alias("tags"))
+    log = cut(log)
+    out = sequences.answer_likeness(log, tags, items.answer_vectors(log))
+    return rounded(out.select(*ROW, "fold", *[f"{n}_{k}" for k in (1, 2, 3) for n in ("similarity", "tags_similarity", "tags_answered_similarity")]))
+
+
+@query("""with s as (select p_partkey, list_distinct(string_split(p_name, ' ')) as t from part), n as (select count(*) as n from s), o as (select t, count(*) as c from (select unnest(t) as t from s) group by t),
+p as (select a, unnest(t) as b from (select unnest(t) as a, t from s)), q as (select a, b, count(*) as ab from p group by all)
+select a, b, round((ab - x.c * y.c / n) / (n - 1), 9) as covariance from q join o x on x.t = a join o y on y.t = b, n""")
+def e13_tag_covariance(spark, d):
+    return rounded(items.tag_covariance(spark.read.parquet(f"{d}/part.parquet"), "p_partkey", "p_name"))
+
+
+@query()
+def e13_tag_components(spark, d):
+    return items.tag_components(spark.read.parquet(f"{d}/part.parquet"), "p_partkey", "p_name", 4)[0]
+
+
+def _profile_sql(source: str, columns: dict[str, str]) -> str:
+    """columns: name -> Spark's type."""
+    parts = []
+    for c, t in columns.items():
+        kind = profile.kind_of(t)
+        number = ", ".join(f"{f}({c})::double" if kind == "number" else "null::double" for f in ("min", "median", "max"))
+        date = ", ".join(f"{f}({c})::date::varchar" if kind == "date" else "null::varchar" for f in ("min", "max"))
+        best = f"(select string_agg(v || '=' || n, ', ' order by n desc, v) from (select {c}::varchar as v, count(*) as n from x where {c} is not null group by all order by n desc, v limit 5))" if kind == "category" else "null::varchar"
+        parts.append(f"""select '{c}' as "column", '{t}' as type, '{kind}' as kind, count(*) as n_rows, count(*) - count({c}) as n_null, count(distinct {c}) as n_unique, {number}, {date}, {best} from x""")
+    names = '("column", type, kind, n_rows, n_null, n_unique, low, mid, high, first_date, last_date, frequent)'
+    return f"with x as ({source}), p{names} as ({' union all '.join(parts)}) select * from p"
+
+
+_LINES = {"l_partkey": "bigint", "l_quantity": "double", "l_discount": "double", "l_returnflag": "string", "l_shipdate": "date", "l_few": "string"}
+
+
+@query(_profile_sql("select l_partkey, l_quantity::double as l_quantity, case when l_partkey % 3 > 0 then l_discount end::double as l_discount, l_returnflag, l_shipdate::date as l_shipdate, case when l_partkey % 7 = 0 then l_linestatus end as l_few from lineitem", _LINES))
+def f8_analyzed_lines(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        F.col("l_partkey").cast("long").alias("l_partkey"), F.col("l_quantity").cast("double").alias("l_quantity"),
+        F.when(F.col("l_partkey") % 3 > 0, F.col("l_discount")).cast("double").alias("l_discount"), "l_returnflag", F.col("l_shipdate").cast("date").alias("l_shipdate"),
+        F.when(F.col("l_partkey") % 7 == 0, F.col("l_linestatus")).alias("l_few"),
+    )
+    return rounded(profile.analyzed(rows))
+
+
+_EVENTS = {"user_id": "bigint", "event_type": "string", "value": "double", "ts": "timestamp"}
+
+
+@query(_profile_sql("select user_id, event_type, case when event_id % 4 > 0 then value end::double as value, ts::timestamp as ts from events", _EVENTS))
+def f8_analyzed_events(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    value = F.when(F.col("event_id") % 4 > 0, F.col("value")).cast("double")
+    return rounded(profile.analyzed(rows.select(F.col("user_id").cast("long").alias("user_id"), "event_type", value.alias("value"), F.col("ts").cast("timestamp").alias("ts"))))
+
+
 # replay, models
 
 _U = "((user_id * 2654435761) % 4294967296)::double / 4294967296"
@@ -602,7 +659,7 @@ def v2_batches(spark, d):
 
 @query(f"""{_B} select * from b""")
 def s6_saved_batches(spark, d):
-    path = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    path = scratch(spark, "batches")
     replay.save_batches(_batches(spark, d), path)
     return replay.load_batches(spark, path)
 
@@ -658,70 +715,280 @@ def m5_scaled(spark, d):
 
 
 @query("""with n as (select l_orderkey, l_linenumber, case when l_partkey % 5 > 0 then l_quantity end as x from lineitem)
-select l_orderkey, l_linenumber, case when x is null then 1 else 0 end as x_missing, coalesce(x, (select quantile_disc(x, 0.5) from n)) as x from n""")
+select l_orderkey, l_linenumber, case when x is null then 1 else 0 end as x_missing, coalesce(x, (select median(x) from n))::double as x from n""")
 def m4_missing_flags(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 5 > 0, F.col("l_quantity")).alias("x"))
     return models.with_missing_flags(rows, ["x"])
 
 
-@query()
-def m6_blend(spark, d):
+MODEL_COLUMNS = ["user_id_score", "recent", "content_id_encoded", "elapsed_ms"]
+
+
+def _model_rows(spark, d):
     log = history.rolling_score(history.rolling_score(_i(spark, d), ["user_id"]), ["user_id"], decay=0.9)
     log = encoders.score_encoder_oof(log, ["content_id"])
-    columns = ["user_id_score", "recent", "content_id_encoded", "elapsed_ms"]
-    log = cut(log.withColumn("recent", F.col("`user_id_score_decay_0.9`")).select(*ROW, "fold", "answered_correctly", *columns))
-    return models.blended(log.where("fold < 3"), log.where("fold >= 3"), columns, "answered_correctly", ROW, ("boosted", "forest"))
+    return cut(log.withColumn("recent", F.col("`user_id_score_decay_0.9`")).select(*ROW, "fold", "answered_correctly", *MODEL_COLUMNS))
+
+
+@query()
+def m1_early_stop(spark, d):
+    """The rounds of boosted trees with their AUC on the training and the held rows; `kept` is the one that counts."""
+    log = _model_rows(spark, d)
+    found = models.boosted(log.where("fold < 3"), log.where("fold = 3"), MODEL_COLUMNS, "answered_correctly")
+    return rounded(found.rates.withColumn("kept", F.col("round") == found.rounds))
 
 
-PAIRS = [["user_id", f"question_{x}"] for x in ("part", "category", "tag", "community")]
-WITH_ITEM = ["user_id", "content_id"]
+@query()
+def m6_blend(spark, d):
+    log = _model_rows(spark, d)
+    return models.blended(log.where("fold < 3"), log.where("fold >= 3"), MODEL_COLUMNS, "answered_correctly", ROW)
 
 
 @query()
+def m6_blend_auc(spark, d):
+    """AUC of each learner and of the cross-validated blend, by fold of the held users."""
+    names = ["boosted", "forest", "perceptron", "blend"]
+    rows = cut(m6_blend(spark, d)).select("fold", "answered_correctly", F.explode(F.array(*[F.struct(F.lit(n).alias("learner"), F.col(n).alias("score")) for n in names])).alias("r"))
+    by = models.auc_by(rows.select(F.concat_ws(":", "r.learner", "fold").alias("own"), "r.score", "answered_correctly"), "own", "score", "answered_correctly")
+    return rounded(by.select(F.split("own", ":")[0].alias("learner"), F.split("own", ":")[1].cast("int").alias("fold"), "auc"))
+
+
+# the whole frame
+
+_J = f"""with j1 as (
+  select o_custkey as user_id, epoch_us(o_orderdate::timestamp) // 1000 as ms, l_orderkey as k1, l_linenumber as k2, l_suppkey as k3, l_quantity as k4, l_extendedprice as k5, l_shipdate as k6, l_partkey as content_id,
+    case when l_returnflag <> 'R' then 1 else 0 end as y, trunc(l_quantity)::int as q, case when l_discount > 0.05 then 1 else 0 end as h, p_size % 7 + 1 as part, substr(p_brand, 7)::int as tag, p_type, p_name
+  from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
+j2 as (select user_id, (ms - min(ms) over (partition by user_id)) * 80 as ts_ms, event_id, event_type, k from (select *, epoch_us(ts::timestamp) // 1000 as ms, regexp_extract(props, '([0-9]+)', 1)::bigint as k from events)),
+j3 as (
+  select user_id, ms - min(ms) over (partition by user_id) as ts_ms, 0 as content_type_id, k1, k2, k3, k4, k5, k6, content_id, y as answered_correctly, (content_id % 4)::int as correct_answer,
+    (case when y = 1 then content_id % 4 else (content_id % 4 + 1 + q % 3) % 4 end)::int as user_answer, k4 * 1000.0::double as prior_question_elapsed_time, h as prior_question_had_explanation, part, tag, p_type as question_category, p_name as tags from j1
+  union all select user_id, ts_ms, 1, event_id, null, null, null, null, null, k, null, null, null, null, null, k % 7 + 1, k % 10, null, null from j2 where event_type = 'signup'),
+j as (select *, dense_rank() over (partition by user_id order by ts_ms, content_type_id, k1) - 1 as task_container_id,
+  row_number() over (partition by user_id order by ts_ms, content_type_id, k1, k2, content_id, k3, k4, k5, k6) as rn from j3)"""
+
+_QUESTIONS = f""", {LECTURES_SQL}, a as (select j.* exclude (part, tag), case when content_type_id = 1 then lecture_part else part end as part, case when content_type_id = 1 then lecture_tag else tag end as tag
+  from j left join l on l.lecture_id = content_id and content_type_id = 1),
+g as (select *, case when ts_ms - coalesce(lag(ts_ms) over (partition by user_id order by rn), 0) >= 7200000 then 1 else 0 end as new from a),
+s as (select *, sum(new) over (partition by user_id order by rn rows unbounded preceding)::bigint as session_id from g),
+x as (select *, ts_ms - min(ts_ms) over (partition by user_id, session_id) as session_time, ts_ms - lag(ts_ms) over (partition by user_id, session_id order by rn) as diff from s),
+ct as (select user_id, session_id, task_container_id, nullif(sum(diff) / nullif(count(diff), 0), 0) as content_time from x where content_type_id = 0 group by all),
+pq as (select user_id, task_container_id, content_time, lag(content_time) over (partition by user_id, session_id order by task_container_id) as prior_question_time from ct),
+td as (select user_id, task_container_id, task_container_id - lag(task_container_id) over (partition by user_id order by task_container_id) as task_diff from (select distinct user_id, task_container_id from j)),
+lec as (select *, nullif(case when content_type_id = 1 then diff end, 0) as lecture_time, max(case when content_type_id = 1 then rn end) over w as at, (sum(content_type_id) over w)::bigint as n_lectures,
+  {', '.join(f"(sum(case when content_type_id = 1 and part = {k} then 1 else 0 end) over w)::bigint as p{k}" for k in range(1, 8))} from x window w as (partition by user_id order by rn rows unbounded preceding)),
+i as materialized (select z.user_id, row_number() over (partition by z.user_id order by z.rn) as rn, (z.user_id % 5)::int as fold, z.ts_ms, z.task_container_id, z.content_id, z.answered_correctly, z.correct_answer, z.user_answer,
+  z.prior_question_elapsed_time, z.prior_question_had_explanation, z.part as question_part, z.tag as question_tag, z.question_category, z.tags, z.session_id, z.session_time, pq.content_time, pq.prior_question_time,
+  pq.prior_question_time - z.prior_question_elapsed_time as prior_question_lost_time, td.task_diff, z.n_lectures, [z.p1, z.p2, z.p3, z.p4, z.p5, z.p6, z.p7][z.part] as n_lectures_on_question_part,
+  z.ts_ms - b.ts_ms as time_since_last_lecture, z.task_container_id - b.task_container_id as tasks_since_last_lecture, b.lecture_time as last_lecture_time, coalesce(b.content_id, -1) as lecture_id,
+  {_BUCKET_12.format('coalesce(z.task_container_id - b.task_container_id, 0)')} as tasks_bucket_12, {_BUCKET_3.format('coalesce(z.task_container_id - b.task_container_id, 0)')} as tasks_bucket_3,
+  count(*) over (partition by z.user_id, z.task_container_id) as task_size, max(case when z.task_container_id = 0 and z.content_id = 79 then 1 else 0 end) over (partition by z.user_id) as user_79
+  from lec z left join lec b on b.user_id = z.user_id and b.rn = z.at left join pq on pq.user_id = z.user_id and pq.task_container_id = z.task_container_id
+  left join td on td.user_id = z.user_id and td.task_container_id = z.task_container_id where z.content_type_id = 0)"""
+
+_LAST_FOLD = 4
+
+
+def _shrunk_sql(s: str, n: str, prior: str, least: float, value: float) -> str:
+    return f"(case when {n} > 0 then {_sigmoid(n, least, value)} * {s} / {n} + (1 - {_sigmoid(n, least, value)}) * {prior} else {prior} end)"
+
+
+def _held_sql(keys: str, least: float, value: float, parent: str, noise: float) -> str:
+    """An encoder of frame.encoder_list over rows with shown (the label, null in the last fold), held_mean and chance."""
+    own, both = f"partition by {keys}", f"partition by {keys}, fold"
+    s, n = (f"(coalesce({f}(shown) over ({own}), 0) - coalesce({f}(shown) over ({both}), 0))" for f in ("sum", "count"))
+    e = _shrunk_sql(s, n, parent, least, value)
+    return f"case when fold = {_LAST_FOLD} then {e} else least(greatest({e} + (chance - 0.5) * {noise}, 0), 1) end as {'_'.join(keys.split(', '))}_encoded"
+
+
+_ENCODED = f""", c as (select content_id, correct_answer, user_answer, count(*) as n from i group by all),
+t as (select *, sum(n) over (partition by content_id) as total, case when user_answer = correct_answer then 1 else 0 end as is_correct from c),
+p as (select is_correct, sum(n) / sum(total) as prior from t group by is_correct),
+r as (select content_id, user_answer, is_correct, {_sigmoid('total', 5, 1)} * n / total + (1 - {_sigmoid('total', 5, 1)}) * prior as r1, {_sigmoid('total', 10, 2)} * n / total + (1 - {_sigmoid('total', 10, 2)}) * prior as r2 from t join p using (is_correct)),
+k1 as (select user_id, task_container_id, avg(r1) as a from i left join r using (content_id, user_answer) group by all),
+k2 as (select user_id, task_container_id, lag(a) over (partition by user_id order by task_container_id) as prior_answer_ratio from k1),
+w1 as (select *, row_number() over (partition by content_id order by r2 desc, user_answer) as nth from r where is_correct = 0),
+w2 as (select content_id, {', '.join(f"coalesce(max(case when nth = {k} then r2 end), 0) as answer_{k + 1}_ratio" for k in (1, 2, 3))} from w1 group by content_id),
+ex as (select content_id, {', '.join(f"coalesce(max(case when user_answer = {k} then r2 end), 0) as e{k}" for k in range(4))} from r group by content_id),
+om as (select median(content_time) as m from i), im as (select content_id, median(content_time) as o, count(content_time) as n from i group by content_id),
+hm as (select fold, (sum(s) over () - s) / (sum(n) over () - n) as held_mean from (select fold, coalesce(sum(case when fold <> {_LAST_FOLD} then answered_correctly end), 0) as s, count(*) filter (where fold <> {_LAST_FOLD}) as n from i group by fold)),
+e0 as (select i.*, (select avg(answered_correctly) from i) as mean, held_mean, case when fold <> {_LAST_FOLD} then answered_correctly end as shown, ((user_id * 1009 + rn) * 2654435761 % 4294967296)::double / 4294967296 as chance,
+    i.content_time / (case when im.n > 0 then {_sigmoid('im.n', 5, 1)} * im.o + (1 - {_sigmoid('im.n', 5, 1)}) * om.m else om.m end) as mean_content_time, prior_answer_ratio,
+    {', '.join(f"coalesce(answer_{k}_ratio, (select avg(answer_{k}_ratio) from w2)) as answer_{k}_ratio" for k in (2, 3, 4))}, e0, e1, e2, e3
+  from i left join hm using (fold) left join im using (content_id) left join k2 using (user_id, task_container_id) left join w2 using (content_id) left join ex using (content_id), om),
+e1 as (select *, {', '.join(f"count(*) over (partition by {c}) / (count(*) over ()) as {c}_ratio" for c in frame.RATIOS)},
+    {', '.join(_shrunk_sql(f"sum(answered_correctly) over (partition by {c})", f"count(*) over (partition by {c})", "mean", 5, 1) + f" as {c}_encoded" for c in frame.PLAIN)},
+    {_held_sql('content_id', 5, 1, 'held_mean', 0.001)}, {_held_sql('lecture_id', 5, 1, 'held_mean', 0.001)} from e0),
+e2 as (select *, {_held_sql('user_79, content_id', 20, 5, 'content_id_encoded', 0.002)}, {_held_sql('tasks_bucket_3, content_id', 20, 5, 'content_id_encoded', 0.002)} from e1),
+e3 as (select *, {_held_sql('tasks_bucket_12, content_id', 20, 5, 'tasks_bucket_3_content_id_encoded', 0.002)}, case when answered_correctly = 0 then content_id_encoded else 1 - content_id_encoded end as w from e2),
+e4 as materialized (select *, rn - 1 as r0, {', '.join(f"dense_rank() over (partition by {keys} order by ts_ms, task_container_id) - 1 as k_{n}" for n, keys in enumerate(("user_id", *(f"user_id, {c}" for c in (*frame.PLAIN, "content_id")))))} from e3)"""
+
+
+def _frame_sql() -> str:
+    pairs = [("user_id",), *(("user_id", c) for c in frame.PLAIN)]
+    sums, inner, out = [], [], []
+    before = lambda v, n, keys: f"coalesce(sum({v}) over (partition by {keys} order by k_{n} {BEFORE}), 0)"
+    faded = lambda v, n, keys, d: f"{before(f'({v}) * pow({d}, -k_{n})', n, keys)} * pow({d}, k_{n})"
+
+    def score(name: str, count: str, s: str, n: str, least: float, value: float, prior: str) -> None:
+        out.append(f'round({_shrunk_sql(s, n, prior, least, value)}, 6) as "{name}", round({n} + 3e-8, 6)::double as "{count}"')
+
+    for n, keys in enumerate([*pairs, ("user_id", "content_id")]):
+        by, stem = ", ".join(keys), "_".join(keys)
+        prior = "mean" if n == 0 else f"{keys[-1]}_encoded"
+        sums += [f"{before('answered_correctly', n, by)} as s_{n}", f"{before('1', n, by)} as n_{n}"]
+        if n:
+            sums += [f"max(ts_ms) over (partition by {by} order by k_{n} {BEFORE}) as t_{n}", f"max(task_container_id) over (partition by {by} order by k_{n} {BEFORE}) as c_{n}"]
+            out.append(f"ts_ms - t_{n} as time_since_last_{keys[1]}, task_container_id - c_{n} as tasks_since_last_{keys[1]}")
+        rows = 1 if n == len(pairs) else 20
+        inner += [f"coalesce(sum(answered_correctly) over (partition by {by} order by rn rows between {rows} preceding and 1 preceding), 0) as rs_{n}", f"count(*) over (partition by {by} order by rn rows between {rows} preceding and 1 preceding) as rn_{n}"]
+        sums += [f"first({x}_{n}) over (partition by {by}, k_{n} order by rn) as f{x}_{n}" for x in ("rs", "rn")]
+        if n == len(pairs):
+            out.append(f"round(case when n_{n} > 0 then s_{n} / n_{n} end, 6) as {stem}_score, n_{n}::double as {stem}_count, round(case when frn_{n} > 0 then frs_{n} / frn_{n} end, 6) as {stem}_score_1, frn_{n}::double as {stem}_count_1")
+            continue
+        score(f"{stem}_score", f"{stem}_count", f"s_{n}", f"n_{n}", 5, 2, prior)
+        score(f"{stem}_score_20", f"{stem}_count_20", f"frs_{n}", f"frn_{n}", 2.5, 1, prior)
+        sums += [f"{before('answered_correctly * w', n, by)} as ws_{n}", f"{before('w', n, by)} as wn_{n}"]
+        score(f"{stem}_weighted_score", f"{stem}_weighted_count", f"ws_{n}", f"wn_{n}", 2, 1, prior)
+        for tag, d, least, value in (("d", 0.9, 1, 1), ("l", 0.99, 10, 2)) if n < 2 else (("d", 0.9, 1, 1),):
+            sums += [f"{faded('answered_correctly', n, by, d)} as {tag}s_{n}", f"{faded('1', n, by, d)} as {tag}n_{n}"]
+            score(f"{stem}_score_decay_{d}", f"{stem}_count_decay_{d}", f"{tag}s_{n}", f"{tag}n_{n}", least, value, prior)
+    sums += [f"{faded('answered_correctly * w', 0, 'user_id', 0.98)} as xs", f"{faded('w', 0, 'user_id', 0.98)} as xn"]
+    score("user_id_weighted_score_decay_0.98", "user_id_weighted_count_decay_0.98", "xs", "xn", 4, 1, "mean")
+    for k in range(4):
+        frequency = "rows between unbounded preceding and 1 preceding"
+        sums += [f"coalesce(sum((case when user_answer = {k} then 1 else 0 end) * pow(0.99, -r0)) over (partition by user_id order by r0 {frequency}), 0) * pow(0.99, r0 - 1) as a_{k}", f"coalesce(sum(e{k} * pow(0.99, -r0)) over (partition by user_id order by r0 {frequency}), 0) * pow(0.99, r0 - 1) as x_{k}"]
+    a, x = ("[" + ", ".join(f"{v}_{k}" for k in range(4)) + "][correct_answer + 1]" for v in "ax")
+    out.append(f"round({_shrunk_sql(a, x, '1', 4, 1)}, 6) as user_answer_frequency")
+    lags = ", ".join(f"lag({f}, {n}) over (partition by user_id order by task_container_id) as {f}_lag_{n}" for f in frame.LAGGED for n in (1, 2, 3))
+    made = [f"round({f}_lag_{n}, 6)::double as {f}_lag_{n}" for f in frame.LAGGED for n in (1, 2, 3)]
+    out += ["round(coalesce(n_0 * 86400000 / nullif(ts_ms, 0), 0), 6) as user_id_density"]
+    out += [f"round(coalesce(n_{n} / nullif(n_0, 0), 0), 6) as user_id_{c}_density" for n, c in enumerate((*frame.PLAIN, "content_id"), 1)]
+    exact = ["user_id", "rn", "fold", "ts_ms", "task_container_id", "content_id", "answered_correctly", "prior_question_had_explanation", "question_part", "question_tag", "question_category", "session_id", "session_time", "task_diff",
+             "n_lectures", "n_lectures_on_question_part", "time_since_last_lecture", "tasks_since_last_lecture", "last_lecture_time", "task_size", "user_79"]
+    near = ["prior_question_elapsed_time", "content_time", "prior_question_time", "prior_question_lost_time", "mean_content_time", "prior_answer_ratio", *encoders.WRONG, *[f"{c}_ratio" for c in frame.RATIOS],
+            *[f"{c}_encoded" for c in (*frame.PLAIN, "content_id", "lecture_id", "user_79_content_id", "tasks_bucket_3_content_id", "tasks_bucket_12_content_id")]]
+    return f"""{_J}{_QUESTIONS}{_ENCODED}, e5 as materialized (select *, {', '.join(inner)} from e4), e6 as (select *, {', '.join(sums)} from e5),
+tl as (select user_id, task_container_id, {', '.join(f"avg({f}) as {f}" for f in frame.LAGGED)} from e4 group by all), ll as (select user_id, task_container_id, {lags} from tl)
+select {', '.join(exact)}, {', '.join(f"round({c}, 6)::double as {c}" for c in near)}, {', '.join(out)}, {', '.join(made)} from e6 left join ll using (user_id, task_container_id)"""
+
+
+def _sixth(df: DataFrame) -> DataFrame:
+    """Doubles at six places. Decayed counts are whole numbers times powers of 0.9 or 0.99 and so can end in a 5 at the seventh;
+    they are moved off that midpoint, here and in the SQL."""
+    off = lambda c: F.col(f"`{c}`") + (F.lit(3e-8) if "_count" in c else F.lit(0.0))
+    return df.withColumns({c: F.round(off(c), 6) for c, t in df.dtypes if t == "double"})
+
+
+@query(_frame_sql())
 def f11_feature_frame(spark, d):
-    """The main pipeline's features, in its order, on the log of orders: questions and answers, clusters and likeness, ratios,
-    scores in sample and out of fold, and the history of every key set.
+    """The main pipeline's features over the log of questions and lectures: all but what is fitted (communities, clusters,
+    likeness), which f11_fitted_frame has."""
+    log = logs.study_log(spark, d)
+    return _sixth(frame.feature_frame(log, sessions.preprocess_lectures(_lectures(spark, d)), last=_LAST_FOLD))
 
-    That log has no lectures, so the lecture columns and the encoders by them are left out (f10_lectures_pipeline has the
-    former). What aggregates a log and joins the result reads it twice, so the log is cut between; history windows are one plan.
-    """
-    part = spark.read.parquet(f"{d}/part.parquet")
-    named = part.select(F.col("p_partkey").alias("content_id"), F.col("p_name").alias("tags"))
-    groups = items.item_communities(named, "content_id", "tags").withColumnRenamed("community", "question_community")
-    embedded = spark.read.parquet(f"{d}/embeddings.parquet")
-    vectors = embedded.select(F.expr("vec_id div 2").alias("content_id"), (F.col("vec_id") % 2).alias("correct"), F.col("embedding").alias("vector"))
-    kinds = items.clusters(vectors.where("correct = 1").select("content_id", "vector"), 10).select("content_id", F.col("category").alias("question_cluster"))
-
-    log = cut(_i(spark, d).join(groups, "content_id", "left").join(kinds, "content_id", "left"))
-    prior = _prior(log)
-    log = cut(sessions.session_features(log.withColumn("prior_question_elapsed_time", F.col("elapsed_ms"))))
-    log = log.join(sessions.question_times(log, "elapsed_ms"), "content_id", "left")
-    log = cut(sessions.first_task_flag(sessions.task_size(log), 79, "user_79"))
-    log = cut(encoders.prior_answer_ratio(log))
-    log = cut(encoders.with_incorrect_answers(log, encoders.incorrect_answers(log)))
-    log = cut(encoders.answer_frequency(log))
-    log = rows = cut(sequences.answer_likeness(log, named, vectors))
-    for column in ("task_container_id", "question_category", "question_tag", "tags", "content_id", "question_community"):
-        log = encoders.ratio_encoder(log, column, rows)
-    for column in ("question_part", "question_category", "question_tag", "question_community"):
-        log = encoders.score_encoder(log, [column], rows=rows)
-    log = cut(encoders.score_encoder_oof(cut(log), ["content_id"]))
-    log = cut(encoders.score_encoder_oof(log, ["user_79", "content_id"], smoothing=(20, 5), parent="content_id_encoded"))
-    log = log.withColumn("answer_weight", fn.answer_weight(F.col("content_id_encoded"), F.col("answered_correctly")))
-
-    for keys in (["user_id"], *PAIRS):
-        log = history.rolling_score(log, keys, (5, 2), prior, time_since_last=len(keys) == 2)
-        log = history.rolling_score(log, keys, (2.5, 1), prior, rolling=20)
-        log = history.rolling_score(log, keys, (2, 1), prior, weighted=True)
-        log = history.rolling_score(log, keys, (1, 1), prior, decay=0.9)
-        if keys in (["user_id"], PAIRS[0]):
-            log = history.rolling_score(log, keys, (10, 2), prior, decay=0.99)
-    log = history.rolling_score(log, ["user_id"], (4, 1), prior, weighted=True, decay=0.98)
-    log = history.rolling_score(log, WITH_ITEM, time_since_last=True)
-    log = cut(history.rolling_score(log, WITH_ITEM, rolling=1))
-    log = history.task_lags(log, ["content_id_encoded", "mean_content_time", "prior_question_time", "elapsed_ms", "prior_answer_ratio"])
-    log = fn.densities(log, ["_".join(keys) + "_count" for keys in (*PAIRS, WITH_ITEM)])
-    return log.drop("answer_weight", "fold", "correct_answer", "user_answer", "had_explanation", "prior_question_elapsed_time")
+
+@query()
+def f11_fitted_frame(spark, d):
+    """f11_feature_frame with the columns by fitted communities and clusters, and likeness by vectors of other folds' users."""
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("content_id"), F.col("p_name").alias("tags"))
+    log = cut(logs.study_log(spark, d))
+    asked = log.where("content_type_id = 0")
+    groups = items.item_communities(part, "content_id", "tags").withColumnRenamed("community", "question_community")
+    vectors = items.item_vectors(asked, F.col("content_id")).select(F.col("word").cast("long").alias("content_id"), "vector")
+    kinds = items.clusters(vectors, 10, seeds=(123, 124)).select("content_id", F.col("category").alias("question_cluster"))
+    likeness = part, items.answer_vectors(asked)
+    lectures = sessions.preprocess_lectures(_lectures(spark, d))
+    return _sixth(frame.feature_frame(log, lectures, last=_LAST_FOLD, groups=cut(groups), kinds=cut(kinds), likeness=likeness))
+
+
+# online forms, replayed over the latest tasks of every user
+
+
+REPLAYED = [
+    stateful.Score(smoothing=(5, 2)), stateful.Score("question_part", (5, 2), time_since_last=True), stateful.Score("question_category", decay=0.9),
+    stateful.Score(rolling=5), stateful.Score(weighted=True), stateful.Score("content_id", rolling=1),
+]
+LAGGED = ["elapsed_ms", "had_explanation"]
+HELD = 3
+_BACK = "max(task_container_id) over (partition by user_id) - task_container_id"
+
+
+def _shown_and_told(log: DataFrame, kind, hidden: list[str]):
+    """The latest HELD tasks of each user as batches: each shows one task of a user and tells the answers to the one before."""
+    types = dict(log.dtypes)
+    for k in range(HELD):
+        shown = log.where(F.col("_back") == HELD - 1 - k).withColumns({"kind": kind} | {c: F.lit(None).cast(types[c]) for c in hidden})
+        told = log.where((F.col("_back") == HELD - k) & (kind == "question") & F.lit(k > 0)).withColumn("kind", F.lit("answer"))
+        yield shown.unionByName(told)
+
+
+def _held_back(log: DataFrame) -> DataFrame:
+    last = F.max("task_container_id").over(Window.partitionBy("user_id"))
+    return log.withColumn("_back", last - F.col("task_container_id"))
+
+
+def _sums(keys: str, y: str = "answered_correctly", n: str = "1") -> str:
+    return f"sum({y}) over (partition by {keys} order by k {BEFORE}), sum({n}) over (partition by {keys} order by k {BEFORE})"
+
+
+@query(f"""{I}, k as (select *, {_WEIGHT} as w0, dense_rank() over (partition by user_id order by ts_ms, task_container_id) - 1 as k,
+    dense_rank() over (partition by user_id, question_category order by ts_ms, task_container_id) - 1 as kc, {_BACK} as back from i),
+t as (select user_id, task_container_id, {', '.join(f"avg({f}) as {f}" for f in LAGGED)} from i group by all),
+l as (select user_id, task_container_id, {', '.join(f"lag({f}, {j}) over w as {f}_lag_{j}" for f in LAGGED for j in (1, 2, 3))} from t window w as (partition by user_id order by task_container_id)),
+r as (select *, coalesce(sum(answered_correctly) over u, 0) as s5, count(*) over u as n5, lag(answered_correctly) over c as y1 from k
+  window u as (partition by user_id order by rn rows between 5 preceding and 1 preceding), c as (partition by user_id, content_id order by rn)),
+s as (select *, coalesce(sum(answered_correctly) over a, 0) as s0, count(*) over a as n0, coalesce(sum(answered_correctly) over p, 0) as s1, count(*) over p as n1, max(ts_ms) over p as t1, max(task_container_id) over p as c1,
+    coalesce(sum(answered_correctly * pow(0.9, -kc)) over g, 0) * pow(0.9, kc) as s2, coalesce(sum(pow(0.9, -kc)) over g, 0) * pow(0.9, kc) as n2,
+    first(s5) over f as s3, first(n5) over f as n3, coalesce(sum(answered_correctly * w0) over a, 0) as s4, coalesce(sum(w0) over a, 0) as n4, first(y1) over e as y5
+  from r window a as (partition by user_id order by k {BEFORE}), p as (partition by user_id, question_part order by k {BEFORE}), g as (partition by user_id, question_category order by kc {BEFORE}),
+    f as (partition by user_id, k order by rn), e as (partition by user_id, content_id, k order by rn))
+select s.user_id, rn, round(case when n0 > 0 then {_sigmoid('n0', 5, 2)} * s0 / n0 + (1 - {_sigmoid('n0', 5, 2)}) * 0.6 else 0.6 end, 9) as user_id_score, n0::double as user_id_count,
+  round(case when n1 > 0 then {_sigmoid('n1', 5, 2)} * s1 / n1 + (1 - {_sigmoid('n1', 5, 2)}) * 0.6 else 0.6 end, 9) as user_id_question_part_score, n1::double as user_id_question_part_count,
+  ts_ms - t1 as time_since_last_question_part, s.task_container_id - c1 as tasks_since_last_question_part,
+  round(case when n2 > 0 then s2 / n2 end, 9) as "user_id_question_category_score_decay_0.9", round(n2, 9) as "user_id_question_category_count_decay_0.9",
+  round(case when n3 > 0 then s3 / n3 end, 9) as user_id_score_5, n3::double as user_id_count_5, round(case when n4 > 0 then s4 / n4 end, 9) as user_id_weighted_score, round(n4, 9) as user_id_weighted_count,
+  y5::double as user_id_content_id_score_1, case when y5 is null then 0 else 1 end::double as user_id_content_id_count_1,
+  {', '.join(f"round({f}_lag_{j}, 9) as {f}_lag_{j}" for f in LAGGED for j in (1, 2, 3))}
+from s left join l on l.user_id = s.user_id and l.task_container_id = s.task_container_id where back < {HELD}""")
+def t1_replay_scores(spark, d):
+    """The latest tasks of every user through the stateful processor, started from the state of the log before them: what a
+    row is shown equals what the batch forms say of it."""
+    log = _held_back(_weighted(spark, d))
+    past = log.where(F.col("_back") >= HELD)
+    parts = [stateful.Scores(REPLAYED), stateful.Lags(LAGGED)]
+    state = stateful.score_state(past, REPLAYED).unionByName(stateful.lag_state(past, LAGGED))
+    names = ["user_id", "rn", "ts_ms", "task_container_id", "content_id", "question_part", "question_category", "answered_correctly", "answer_weight", *LAGGED, "_back"]
+    batches = _shown_and_told(cut(log.select(*names)), F.lit("question"), ["answered_correctly", "answer_weight"])
+    shown = stateful.with_scores(stateful.replay(batches, parts, scratch(spark, "replay"), state), REPLAYED, 0.6)
+    return rounded(shown.drop("ts_ms", "task_container_id", "kind"))
+
+
+@query(f"""{_SESSION}, {LECTURES_SQL}, x as (select s.user_id, rn, content_type_id, content_id, task_container_id, ts_ms, session_id, {_BACK.replace('user_id', 's.user_id')} as back,
+    min(ts_ms) over (partition by s.user_id, session_id) as session_start, ts_ms - lag(ts_ms) over (partition by s.user_id, session_id order by rn) as diff,
+    task_container_id - lag(task_container_id) over (partition by s.user_id order by task_container_id) as task_diff,
+    case when content_type_id = 1 then lecture_part else part end as part, case when content_type_id = 1 then lecture_tag else tag end as tag, l.type_of as kind
+  from s left join l on l.lecture_id = content_id and content_type_id = 1),
+y as (select *, nullif(case when content_type_id = 1 then diff end, 0) as lecture_time, case when content_type_id = 0 then nullif(diff, 0) end::double as content_time from x),
+q as (select user_id, rn, lag(content_time) over (partition by user_id, session_id order by rn) as prior_question_time from y where content_type_id = 0),
+z as (select *, max(case when content_type_id = 1 then rn end) over w as at, (sum(content_type_id) over w)::bigint as n_lectures,
+    {', '.join(f"count(*) filter (where content_type_id = 1 and part = {k}) over w as n_lectures_part{k}" for k in range(1, 8))} from y window w as (partition by user_id order by rn rows unbounded preceding))
+select z.user_id, z.rn, z.session_id, z.session_start, z.ts_ms - z.session_start as session_time, z.content_time, z.lecture_time::double as lecture_time, q.prior_question_time, z.task_diff::double as task_diff, z.n_lectures,
+  {', '.join(f"z.n_lectures_part{k}" for k in range(1, 8))}, z.ts_ms - b.ts_ms as time_since_last_lecture, z.task_container_id - b.task_container_id as tasks_since_last_lecture, b.lecture_time::double as last_lecture_time,
+  coalesce(b.content_id, -1)::bigint as lecture_id, coalesce(b.tag, -1)::bigint as lecture_tag, (coalesce(b.part, 0) - 1)::bigint as lecture_part, coalesce(b.kind, -1)::int as last_type_of,
+  {_BUCKET_12.format('coalesce(z.task_container_id - b.task_container_id, 0)')} as tasks_bucket_12, {_BUCKET_3.format('coalesce(z.task_container_id - b.task_container_id, 0)')} as tasks_bucket_3
+from z left join z b on b.user_id = z.user_id and b.rn = z.at left join q on q.user_id = z.user_id and q.rn = z.rn where z.back < {HELD}""")
+def t3_replay_sessions(spark, d):
+    """As t1_replay_scores, for the sessions and lectures of the log that has lectures."""
+    log = _held_back(sessions.with_lectures(_v(spark, d), sessions.preprocess_lectures(_lectures(spark, d))))
+    past = sessions.session_features(log.where(F.col("_back") >= HELD))
+    own = stateful.Sessions()
+    state = stateful.session_state(past).unionByName(stateful.lecture_state(past))
+    kind = F.when(F.col("content_type_id") == 1, "lecture").otherwise("question")
+    names = ["user_id", "rn", "ts_ms", "task_container_id", "content_id", "content_type_id", "part", "tag", "type_of", "answered_correctly", "_back"]
+    batches = _shown_and_told(cut(log.select(*names)), kind, ["answered_correctly"])
+    shown = stateful.replay(batches, [own, stateful.Lectures(own)], scratch(spark, "replay"), state)
+    return stateful.with_lecture_times(shown).drop("ts_ms", "task_container_id", "kind")
 
 
 FLAGSHIP = "w1_rolling_score"

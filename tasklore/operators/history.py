@@ -103,6 +103,36 @@ def rolling_score(
     return out.drop("_k", "_s", "_n", "_total")
 
 
+def rolling_scores(log: DataFrame, keys: list[str], specs: list[dict], prior: Column | float, label: str = "answered_correctly", weight: str = "answer_weight") -> DataFrame:
+    """rolling_score for several settings (smoothing, rolling, weighted, decay, time_since_last) of the same keys: all windows
+    in three projections, so that those alike in order are one sort."""
+    own = {"_k": task_ordinal(keys)}
+    y, w = F.col(label), F.col(weight)
+    lasts, sums, out = {}, {}, {}
+    before = earlier_tasks(keys)
+    for i, spec in enumerate(specs):
+        if spec.get("rolling") and (spec.get("time_since_last") or spec.get("decay") or spec.get("weighted")):
+            raise ValueError("a rolling score has no weights, decay or time since last")
+        one = w if spec.get("weighted") else F.lit(1.0)
+        if n := spec.get("rolling"):
+            rows = Window.partitionBy(*keys).orderBy("rn").rowsBetween(-n, -1)
+            lasts |= {f"_s{i}": F.coalesce(F.sum(y * one).over(rows), F.lit(0.0)), f"_n{i}": F.coalesce(F.sum(one).over(rows), F.lit(0.0))}
+            sums |= {f"_t{i}": over_task(keys, F.col(f"_s{i}")), f"_c{i}": over_task(keys, F.col(f"_n{i}"))}
+        elif d := spec.get("decay"):
+            sums |= {f"_t{i}": decayed(keys, y * one, d), f"_c{i}": decayed(keys, one, d)}
+        else:
+            sums |= {f"_t{i}": F.coalesce(F.sum(y * one).over(before), F.lit(0.0)), f"_c{i}": F.coalesce(F.sum(one).over(before), F.lit(0.0))}
+        if spec.get("time_since_last"):
+            if len(keys) != 2:
+                raise ValueError("time since last takes two keys")
+            out[f"time_since_last_{keys[1]}"] = F.col("ts_ms") - F.max("ts_ms").over(before)
+            out[f"tasks_since_last_{keys[1]}"] = F.col("task_container_id") - F.max("task_container_id").over(before)
+        score, count = score_name(keys, bool(spec.get("weighted")), spec.get("rolling"), spec.get("decay"))
+        given = prior if isinstance(prior, Column) else F.lit(prior)
+        out[score], out[count] = shrunk(F.col(f"_t{i}"), F.col(f"_c{i}"), given, *(spec.get("smoothing") or (None, None))), F.col(f"_c{i}")
+    return log.withColumns(own).withColumns(lasts).withColumns(sums).withColumns(out).drop("_k", *lasts, *sums)
+
+
 def weighted_rolling(log: DataFrame, keys: list[str], n: float, label: str = "answered_correctly", weight: str = "answer_weight") -> DataFrame:
     """Adds weighted_score_n and weighted_count_n: rows of earlier tasks, the oldest dropped while their weights exceed n.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Word2Vec
+from pyspark.ml.feature import PCA, CountVectorizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,34 +64,63 @@ def item_communities(items: DataFrame, item: str, tags: str) -> DataFrame:
     return items.select(item, tags).join(found, F.col(tags) == F.col("node"), "left").select(item, F.coalesce("community", tags).alias("community"))
 
 
-def communities(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, community: each node takes, again and again, the label with the largest gain in modularity among its neighbours,
-    until four rounds in a row move nothing.
+def communities(edges: DataFrame, rounds: int = 100, levels: int = 20) -> DataFrame:
+    """node, community: level by level, nodes move to the community with the largest gain in modularity until none moves, and
+    the communities become the nodes of the next level, whose edges are the sums of those between them; until a level moves
+    nothing. Raises if the rounds or levels do not suffice.
 
-    Half of the nodes (by a hash of round and node) move in a round, so that two neighbours do not swap for ever. The sums
-    are joins and aggregates over the edges; labels start as the nodes themselves, ties go to the node's own, else the smallest.
+    edges: src, dst, w with both directions of each; an edge of a node with itself counts once. A community is named by one of
+    its nodes. Every level is joins and aggregates over its edges, and each is smaller than the one before.
+    """
+    labels, now = None, cut(edges.select("src", "dst", "w"))
+    for _ in range(levels):
+        found, moved = _settled(now, rounds)
+        labels = found if labels is None else cut(labels.join(found.select(F.col("node").alias("community"), F.col("community").alias("_up")), "community").select("node", F.col("_up").alias("community")))
+        if not moved:
+            return labels
+        a, b = (found.select(F.col("node").alias(c), F.col("community").alias(f"_{c}")) for c in ("src", "dst"))
+        now = cut(now.join(a, "src").join(b, "dst").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("w").alias("w")))
+    raise RuntimeError(f"communities did not settle in {levels} levels")
+
+
+def _settled(edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """node, community of one level, and whether any node moved.
+
+    A round moves a share of the nodes (by a hash of round and node), so that two neighbours do not swap for ever; the share
+    halves every twenty rounds. Labels start as the nodes themselves; ties go to the node's own, else to the smallest. A level
+    has settled when in a round no node at all, of its share or not, would gain by moving.
     """
     degree = edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d"))
     total = edges.agg(F.sum("w").alias("m"))  # one row
-    labels, still = degree.select("node", F.col("node").alias("c")), 0
+    labels, moved = degree.select("node", F.col("node").alias("c")), False
     for k in range(rounds):
         weight = degree.join(labels, "node").groupBy("c").agg(F.sum("d").alias("dc"))
         # an edge of a node with itself moves with it, and so counts for no label
         to = edges.where("src <> dst").join(labels, edges["dst"] == labels["node"]).groupBy(F.col("src").alias("node"), "c").agg(F.sum("w").alias("k"))
         own = labels.select("node", F.col("c").alias("now"))
-        scored = to.join(degree, "node").join(own, "node").join(weight, "c").crossJoin(F.broadcast(total))
+        # a node's own label is a choice even where no neighbour has it
+        choices = to.unionByName(own.select("node", F.col("now").alias("c"), F.lit(0).cast(dict(to.dtypes)["k"]).alias("k"))).groupBy("node", "c").agg(F.sum("k").alias("k"))
+        scored = choices.join(degree, "node").join(own, "node").join(weight, "c").crossJoin(F.broadcast(total))
         others = F.col("dc") - F.when(F.col("c") == F.col("now"), F.col("d")).otherwise(0)
-        scored = scored.withColumn("gain", F.col("k") - F.col("d") * others / F.col("m"))
-        scored = scored.withColumn("gain", F.round("gain", 9))
+        scored = scored.withColumn("gain", F.round(F.col("k") - F.col("d") * others / F.col("m"), 9))
         best = scored.groupBy("node").agg(F.min(F.struct(-F.col("gain"), F.when(F.col("c") == F.col("now"), 0).otherwise(1), "c"))["c"].alias("best"))
-        moves = F.xxhash64(F.lit(k), F.col("node")) % 2 == 0
-        after = labels.join(best, "node", "left").select("node", F.when(moves, F.coalesce("best", "c")).otherwise(F.col("c")).alias("c"), F.col("c").alias("was"))
+        moves = F.pmod(F.xxhash64(F.lit(k), F.col("node")), F.lit(2 << k // 20)) == 0
+        after = labels.join(best, "node").select("node", F.when(moves, F.col("best")).otherwise(F.col("c")).alias("c"), (F.col("best") != F.col("c")).alias("would"))
         after = cut(after)
-        still = 0 if after.where("c <> was").limit(1).count() else still + 1
         labels = after.select("node", "c")
-        if still == 4:
-            break
-    return labels.select("node", F.col("c").alias("community"))
+        if not after.where("would").limit(1).count():
+            return labels.select("node", F.col("c").alias("community")), moved
+        moved = True
+    raise RuntimeError(f"communities did not settle in {rounds} rounds")
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row, modularity: the share of weight inside communities, less what is expected from their nodes' degrees."""
+    a, b = (labels.select(F.col("node").alias(c), F.col("community").alias(f"_{c}")) for c in ("src", "dst"))
+    own = edges.join(a, "src").join(b, "dst")
+    inside = own.groupBy("_src").agg(F.sum("w").alias("d"), F.sum(F.when(F.col("_src") == F.col("_dst"), F.col("w")).otherwise(0)).alias("i"))
+    total = inside.agg(F.sum("d").alias("m"))  # one row
+    return inside.crossJoin(F.broadcast(total)).agg(F.sum(F.col("i") / F.col("m") - F.pow(F.col("d") / F.col("m"), 2)).alias("modularity"))
 
 
 def sentences(log: DataFrame, token: Column, key: str = "user_id") -> DataFrame:
@@ -106,6 +135,23 @@ def item_vectors(log: DataFrame, token: Column, size: int = 16, window: int = 5,
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
+def answer_vectors(log: DataFrame, n_folds: int = 5, size: int = 16, window: int = 5, seed: int = 42, iterations: int = 1) -> DataFrame:
+    """fold, content_id, correct, vector: skip-gram vectors of items answered right (1) and wrong (0), for each fold of users
+    trained on the histories of all the others. One fit for each fold, each over the whole cluster."""
+    fold = F.pmod(F.col("user_id"), F.lit(n_folds)).cast("int")
+    token = F.concat(F.when(F.col("answered_correctly") == 1, "").otherwise("-"), F.col("content_id").cast("string"))
+    out = None
+    for k in range(n_folds):
+        rows = log.where(fold != k)
+        if rows.limit(1).count():
+            own = item_vectors(rows, token, size, window, seed, iterations).withColumn("fold", F.lit(k))
+            out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no fold has other users to learn from")
+    wrong = F.col("word").startswith("-")
+    return out.select("fold", F.abs(F.col("word").cast("long")).alias("content_id"), F.when(wrong, 0).otherwise(1).alias("correct"), "vector")
+
+
 def clusters(vectors: DataFrame, k: int, column: str = "vector", seeds: tuple[int, ...] = (123,)) -> DataFrame:
     """Adds category: the k-means cluster, of the seed with the least cost."""
     data = vectors.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
@@ -121,6 +167,30 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def tag_covariance(items: DataFrame, item: str, tags: str) -> DataFrame:
+    """a, b, covariance of the 0/1 columns that say which tags an item has, for tags that some item has both of, in either
+    order and with themselves. Any other pair has -p_a p_b n / (n - 1), p being a tag's share of the n items.
+
+    Pairs are made inside a row, from its own tags; a null tag string has no tags.
+    """
+    own = items.select(item, F.array_distinct(F.filter(F.split(F.coalesce(tags, F.lit("")), " "), lambda x: x != "")).alias("s"))
+    total = own.agg(F.count("*").alias("n"))  # one row
+    ones = own.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
+    both = own.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).groupBy("a", "b").agg(F.count("*").alias("ab"))
+    rows = both.join(ones.select(F.col("t").alias("a"), F.col("c").alias("ca")), "a").join(ones.select(F.col("t").alias("b"), F.col("c").alias("cb")), "b").crossJoin(F.broadcast(total))
+    return rows.select("a", "b", F.try_divide(F.col("ab") - F.col("ca") * F.col("cb") / F.col("n"), F.col("n") - 1).alias("covariance"))
+
+
+def tag_components(items: DataFrame, item: str, tags: str, k: int) -> tuple[DataFrame, list[float]]:
+    """(item, components), and the share of variance that each of the k explains: principal components of the 0/1 columns of
+    tags. Spark adds up the covariance over the cluster; its eigenvectors are taken on the driver, a number for each pair of
+    tags (tags are a few hundred; beyond 65,535 Spark refuses)."""
+    own = items.select(item, F.filter(F.split(F.coalesce(tags, F.lit("")), " "), lambda x: x != "").alias("_s"))
+    counted = CountVectorizer(binary=True, minDF=1, inputCol="_s", outputCol="_hot").fit(own).transform(own)
+    model = PCA(k=k, inputCol="_hot", outputCol="_pca").fit(counted)
+    return model.transform(counted).select(item, vector_to_array("_pca").alias("components")), model.explainedVariance.tolist()
+
+
 def usual_category(items: DataFrame, group: str, category: str) -> DataFrame:
     """Adds category where it is null: the most frequent one of the item's group (the smallest, in a tie)."""
     counts = items.where(F.col(category).isNotNull()).groupBy(group, category).agg(F.count("*").alias("n"))

@@ -6,13 +6,18 @@ import json
 import math
 import random
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tasklore.operators.ranges import exact_quantiles, in_ranges
 from tasklore.sources.store import cut
 
 
@@ -29,6 +34,19 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return wins.agg((F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
+def auc_by(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
+    """group, auc: roc_auc of each group, null where it has one kind of label only. Distinct scores are spread over ranges of
+    (group, score), so a group is never in one task."""
+    by = df.groupBy(group, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+    dealt = in_ranges(by, [group, score])
+    before = lambda w: F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy(group, "_range").agg(F.sum("n").alias("m"))  # a row for each group of a range
+    sums = sums.select(group, "_range", before(Window.partitionBy(group).orderBy("_range")).alias("_before"))
+    inside = before(Window.partitionBy(group, "_range").orderBy(score))
+    wins = dealt.withColumn("m", F.col("n")).withColumn("_in", inside).join(sums, [group, "_range"])
+    return wins.groupBy(group).agg(F.try_divide(F.sum(F.col("p") * (F.col("_before") + F.col("_in") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+
+
 def log_loss(p: Column, y: Column) -> Column:
     q = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
     return -(y * F.ln(q) + (1 - y) * F.ln(1 - q))
@@ -81,8 +99,10 @@ def scaled(df: DataFrame, columns: list[str], grid: tuple[float, ...] = tuple(k
 
 
 def with_missing_flags(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds column_missing, 1 where the column is null, and fills nulls with the column's median (approximate, one row)."""
-    medians = df.agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"_{c}") for c in columns])
+    """Adds column_missing, 1 where the column is null, and fills nulls with the column's exact median (one row)."""
+    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")).select("r.*")
+    found = exact_quantiles(stacked, "x", [0.5], ["column"])  # a row for each column
+    medians = found.agg(*[F.max(F.when(F.col("column") == c, F.col("quantiles")[0])).alias(f"_{c}") for c in columns])
     flags = {f"{c}_missing": F.col(c).isNull().cast("int") for c in columns}
     filled = {c: F.coalesce(c, F.col(f"_{c}")) for c in columns}
     return df.withColumns(flags).crossJoin(F.broadcast(medians)).withColumns(filled).drop(*[f"_{c}" for c in columns])
@@ -129,24 +149,89 @@ def learners(n: int, label: str) -> dict:
     }
 
 
-def blended(train: DataFrame, held: DataFrame, columns: list[str], label: str, keys: list[str], names: tuple[str, ...] = ("boosted", "forest", "perceptron")) -> DataFrame:
-    """keys, label, each learner's chance of a 1 and their logistic blend over the held rows.
+@dataclass
+class Boosted:
+    """Boosted trees of which the first `rounds` count. rates: round, auc_train, auc_held."""
+
+    prepare: PipelineModel
+    model: GBTClassificationModel
+    rounds: int
+    rates: DataFrame
+
+    def transform(self, df: DataFrame, column: str) -> DataFrame:
+        """Adds column: the chance of a 1."""
+        sums = _staged(self.prepare.transform(df), self.model, self.rounds)
+        return sums.withColumn(column, 1 / (1 + F.exp(-2 * F.element_at("_sums", -1)))).select(*df.columns, column)
+
 
-    Learners fit on the training rows; the blender is cross-validated over two halves of the held rows' users, so that each
-    half is scored by the blender of the other. With one learner its chance is the blend.
+def _staged(df: DataFrame, model: GBTClassificationModel, rounds: int) -> DataFrame:
+    """Adds _sums: the margin after each of the first rounds."""
+    out, sums = df, []
+    for k, (tree, weight) in enumerate(zip(model.trees[:rounds], model.treeWeights, strict=False)):
+        tree.setPredictionCol(f"_tree_{k}")
+        out = tree.transform(out)
+        sums.append((sums[-1] if sums else F.lit(0.0)) + F.col(f"_tree_{k}") * F.lit(float(weight)))
+    return out.withColumn("_sums", F.array(*sums)).drop(*[f"_tree_{k}" for k in range(len(sums))])
+
+
+def boosted(train: DataFrame, held: DataFrame, columns: list[str], label: str, limit: int = 30, tolerance: float = 0.01, step: float = 0.1, depth: int = 4) -> Boosted:
+    """Trees boosted on the training rows, with an early stop: rounds end when the held rows' loss no longer falls by the
+    tolerance, or at the limit, and of those the round with the largest AUC on the held rows counts (the first, in a tie).
+
+    All rounds are scored in one pass over each set of rows; a row for each round reaches the driver.
+    """
+    double = {c: F.col(c).cast("double") for c in [*columns, label]}
+    both = train.withColumns(double).withColumn("_held", F.lit(False)).unionByName(held.withColumns(double).withColumn("_held", F.lit(True)))
+    prepare = Pipeline(stages=_assembled(columns)).fit(both.where("not _held"))
+    rows = cut(prepare.transform(both).select("features", label, "_held"))
+    learner = GBTClassifier(labelCol=label, maxIter=limit, maxDepth=depth, stepSize=step, seed=1, validationIndicatorCol="_held", validationTol=tolerance)
+    model = learner.fit(rows)
+    staged = _staged(rows, model, len(model.trees)).select(label, "_held", F.posexplode("_sums").alias("k", "score"))
+    rates = auc_by(staged.withColumn("set", F.col("k") * 2 + F.col("_held").cast("int")), "set", "score", label)
+    rates = rates.groupBy((F.expr("set div 2") + 1).cast("int").alias("round")).agg(
+        F.max(F.when(F.col("set") % 2 == 0, F.col("auc"))).alias("auc_train"), F.max(F.when(F.col("set") % 2 == 1, F.col("auc"))).alias("auc_held")
+    )
+    rates = cut(rates)
+    best = max(rates.collect(), key=lambda r: (r["auc_held"] or 0.0, -r["round"]))
+    return Boosted(prepare, model, best["round"], rates)
+
+
+def cross_validated_blend(scored: DataFrame, names: list[str], label: str, user: str, folds: int = 3, strengths: tuple[float, ...] = (0.0, 0.1)) -> DataFrame:
+    """Adds fold and blend: a logistic regression over the learners' chances, for each fold of users fitted on the others, with
+    the penalty that cross-validation over those other folds prefers by AUC."""
+    rows = VectorAssembler(inputCols=list(names), outputCol="scores").transform(scored.withColumn("fold", F.pmod(F.xxhash64(user), F.lit(folds)).cast("int")))
+    rows, out = cut(rows), None
+    learner = LogisticRegression(featuresCol="scores", labelCol=label)
+    grid = ParamGridBuilder().addGrid(learner.regParam, list(strengths)).build()
+    for k in range(folds):
+        others = rows.where(F.col("fold") != k).withColumn("_inner", F.when(F.col("fold") > k, F.col("fold") - 1).otherwise(F.col("fold")).cast("int"))
+        judge = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+        fitted = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=judge, numFolds=folds - 1, foldCol="_inner").fit(others)
+        own = fitted.bestModel.transform(rows.where(F.col("fold") == k)).withColumn("blend", vector_to_array("probability")[1])
+        own = own.select(*scored.columns, "fold", "blend")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def blended(
+    train: DataFrame, held: DataFrame, columns: list[str], label: str, keys: list[str], names: tuple[str, ...] = ("boosted", "forest", "perceptron"), folds: int = 3
+) -> DataFrame:
+    """keys, label, fold, each learner's chance of a 1 and their logistic blend over the held rows.
+
+    Learners fit on the training rows; boosted trees stop early by a fifth of the training rows' users (of the first key). The
+    blend is cross-validated over folds of the held rows' users (cross_validated_blend). With one learner its chance is the blend.
     """
     double = {c: F.col(c).cast("double") for c in [*columns, label]}
     train, out = train.withColumns(double), held.withColumns(double)
     for name in names:
+        if name == "boosted":
+            late = F.pmod(F.xxhash64(F.lit("stop"), keys[0]), F.lit(5)) == 0
+            out = boosted(train.where(~late), train.where(late), columns, label).transform(out, name)
+            continue
         model = Pipeline(stages=[*_assembled(columns), learners(len(columns), label)[name]]).fit(train)
         scored = model.transform(out)
         out = scored.withColumn(name, vector_to_array("probability")[1]).select(*out.columns, name)
-    if len(names) > 1:
-        join = VectorAssembler(inputCols=list(names), outputCol="scores")
-        halves = join.transform(out.withColumn("_half", F.pmod(F.xxhash64(keys[0]), F.lit(2))))
-        fitted = [LogisticRegression(featuresCol="scores", labelCol=label).fit(halves.where(F.col("_half") != k)) for k in (0, 1)]
-        both = [m.transform(halves.where(F.col("_half") == k)).withColumn("blend", vector_to_array("probability")[1]) for k, m in enumerate(fitted)]
-        out = both[0].unionByName(both[1])
-    else:
-        out = out.withColumn("blend", F.col(names[0]))
-    return out.select(*keys, label, *names, "blend")
+    out = out.select(*keys, label, *names)
+    if len(names) == 1:
+        return out.withColumns({"fold": F.lit(0), "blend": F.col(names[0])}).select(*keys, label, "fold", *names, "blend")
+    return cross_validated_blend(out, list(names), label, keys[0], folds).select(*keys, label, "fold", *names, "blend")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tasklore.functions.scalars import uniform
+from tasklore.operators.ranges import placed
 
 DAY = 86_400_000
 
@@ -64,8 +65,8 @@ def start_weight(place: Column, n_places: Column, n: Column) -> Column:
 
 def last_users(log: DataFrame, share: float) -> DataFrame:
     """user_id of the last `share` of the users by number, rounded down."""
-    users = log.select("user_id").distinct()
-    return users.orderBy(F.col("user_id").desc()).limit(int(share * users.count()))
+    users = placed(log.select("user_id").distinct(), [F.col("user_id").desc()])
+    return users.where(F.col("_place") <= F.floor(F.col("_total") * share)).select("user_id")
 
 
 def save_batches(batches: DataFrame, path: str) -> None:

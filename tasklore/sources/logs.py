@@ -81,6 +81,47 @@ def watch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def study_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both logs as one: order lines as questions, and each user's "signup" events as lectures among them, their days stretched
+    by 80 so that they spread over the years of orders. Each log starts at 0 for each of its users. Lecture rows have null
+    answers; prior_question_elapsed_time and prior_question_had_explanation are of the row."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    items = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(items, F.col("l_partkey") == F.col("p_partkey"))
+    right, answer = F.col("l_returnflag") != "R", F.col("l_partkey") % 4
+    questions = rows.select(
+        F.col("o_custkey").alias("user_id"),
+        (millis("o_orderdate") - F.min(millis("o_orderdate")).over(Window.partitionBy("o_custkey"))).alias("ts_ms"),
+        F.lit(0).alias("content_type_id"),
+        F.col("l_orderkey").alias("_k"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").alias("_o"),
+        F.col("l_partkey").alias("content_id"),
+        right.cast("int").alias("answered_correctly"),
+        answer.cast("int").alias("correct_answer"),
+        F.when(right, answer).otherwise((answer + 1 + F.col("l_quantity").cast("int") % 3) % 4).cast("int").alias("user_answer"),
+        (F.col("l_quantity") * 1000).cast("double").alias("prior_question_elapsed_time"),
+        (F.col("l_discount") > 0.05).cast("int").alias("prior_question_had_explanation"),
+        (F.col("p_size") % 7 + 1).cast("int").alias("part"),
+        F.expr("int(substr(p_brand, 7))").alias("tag"),
+        F.col("p_type").alias("question_category"),
+        F.col("p_name").alias("tags"),
+    )
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    begun = events.withColumn("ts_ms", (millis("ts") - F.min(millis("ts")).over(Window.partitionBy("user_id"))) * 80).where("event_type = 'signup'")
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    kinds = dict(questions.dtypes)
+    made = {"user_id": F.col("user_id"), "ts_ms": F.col("ts_ms"), "content_type_id": F.lit(1), "_k": F.col("event_id"), "content_id": k, "part": k % 7 + 1, "tag": k % 10}
+    lectures = begun.select(*[made.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in questions.columns])
+    task = Window.partitionBy("user_id").orderBy("ts_ms", "content_type_id", "_k")
+    both = questions.unionByName(lectures)
+    out = both.withColumns({
+        "task_container_id": (F.dense_rank().over(task) - 1).cast("long"),
+        "rn": F.row_number().over(Window.partitionBy("user_id").orderBy("ts_ms", "content_type_id", "_k", "_o")).cast("long"),
+    })
+    return out.drop("_k", "_o")
+
+
 def first_users(log: DataFrame, n: int, order: list[str]) -> DataFrame:
     """Rows of the first n users by appearance in the order given; for n <= 0 of the last |n| (all, if n is 0)."""
     if n == 0:

@@ -117,3 +117,28 @@ def test_encoders_take_a_parent_and_other_rows(spark):
     assert [r.item_ratio for r in encoders.ratio_encoder(log, "item", some).orderBy("rn").collect()] == [1, 1, 1, 0]
     own = encoders.score_encoder(log, ["item"], (None, None), rows=some).orderBy("rn").collect()
     assert [r.item_encoded for r in own] == [0.5, 0.5, 0.5, None]
+
+
+def test_many_scores_of_one_key_set_equal_single_ones(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(4), []
+    for u in range(4):
+        for t in range(9):
+            for k in range(rng.randrange(1, 4)):
+                rows.append((u, len(rows), t * 1000, t, rng.randrange(3), rng.randrange(2), rng.random(), rng.random()))
+    log = spark.createDataFrame(rows, "user_id int, rn int, ts_ms long, task_container_id long, part int, answered_correctly int, answer_weight double, part_encoded double")
+    specs = [{"smoothing": (5, 2), "time_since_last": True}, {"smoothing": (2.5, 1), "rolling": 3}, {"smoothing": (2, 1), "weighted": True}, {"decay": 0.9}]
+    got = history.rolling_scores(log, ["user_id", "part"], specs, F.col("part_encoded"))
+    want = log
+    for s in specs:
+        want = history.rolling_score(want, ["user_id", "part"], prior=F.col("part_encoded"), **s)
+    assert sorted(got.columns) == sorted(want.columns)
+    a, b = ({r["rn"]: r for r in df.collect()} for df in (got, want))
+    for rn, r in a.items():
+        for c in got.columns:
+            assert r[c] == pytest.approx(b[rn][c], abs=1e-12) if isinstance(r[c], float) else r[c] == b[rn][c]
+    with pytest.raises(ValueError):
+        history.rolling_scores(log, ["user_id"], [{"time_since_last": True}], 0.5)
