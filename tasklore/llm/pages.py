@@ -2,14 +2,18 @@
 
 A page becomes a tree of elements. Each subtree has a hash of its tags and text; Spark counts the hashes over the distinct
 texts of a host's pages, so that copies of a page make nothing a template, and subtrees that recur in a large share of
-them are the host's template and are deleted; inside articles only containers are, not paragraphs or headings. Elements that by name, role or class are no article
-text (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) go on every page.
+them are the host's template. On a page without an article they are deleted, so what is left is its own text; of a main element
+only containers go so, not lists, tables or paragraphs. Of several articles those that are template are not chosen, and nothing
+is deleted inside a chosen one for recurring. Elements
+that by name, role or class are no article text (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts,
+styles) go on every page. Parsing takes time in proportion to the page, however it is nested or broken.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,16 +52,17 @@ MARKS = frozenset(
 NEUTRAL = frozenset(
     "box bar list block wrapper wrap container section area inner outer content slot unit top bottom left right main page site global primary secondary"
     " links link buttons button btn items item form thread post posts article articles entry text image images icon icons fixed sticky mobile desktop panel"
-    " pane col column row group small large header title body js the to my your our and of for by on in".split()
-)
-#: Elements whose recurring text inside an article is still article text, as paragraphs and headings are.
-TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption summary".split())
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^"'>]|"[^"]*"|'[^']*')*|[^>]*)>""", re.S
+    " pane col column row group small large header title body js the to my your our and of for by on in"
+    " user users reader readers google mpu story stories media latest more".split()
 )
+#: Elements whose recurring text inside a main element is still its text.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption summary ul ol dl table thead tbody tfoot tr figure".split())
+TAG = re.compile(r"""<!--.*?(?P<closed>-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)""", re.S)
+#: What follows a tag's name, to its end: quotes hide a >; and the plainer reading of a page whose quotes do not close.
+REST, PLAIN_REST = re.compile(r"""((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>"""), re.compile(r"([^>]*+)>")
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 #: A subtree is template if it is in at least PAGES distinct texts of the host and in this share of them.
 PAGES, SHARE = 4, 0.3
@@ -97,47 +102,60 @@ def _marked(name: str) -> bool:
 
 
 def parse(page: str) -> Node:
+    """The tree of a page's elements. Each open element is known by its place in the stack, so no step looks through it."""
     root = Node("#root")
-    stack, at, articles = [root], 0, 0
+    stack, open_, at = [root], {}, 0
+    last = page.rfind(">")  # no tag ends after it
+    rest = REST
+
+    def nearest(names) -> int:
+        return max((open_[n][-1] for n in names if open_.get(n)), default=0)
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            open_[stack.pop().name].pop()
+
     while m := TAG.search(page, at):
-        if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        if m["cdata"]:
-            stack[-1].children.append(m["cdata"])
-        if not (name := m["name"]):
+        start = m.start()
+        if m["name"]:
+            found = rest.match(page, m.end()) if start < last else None
+            if found is None and start < last and rest is REST:
+                rest = PLAIN_REST  # a quote never closes: from here on tags end at the next >
+                found = rest.match(page, m.end())
+            if found is None:  # an unfinished tag: what is left is text
+                break
+        if start > at:
+            stack[-1].children.append(html.unescape(page[at:start]))
+        if not m["name"]:
+            at = m.end()
+            if m["cdata"]:
+                stack[-1].children.append(m["cdata"])
             continue
-        name = name.lower()
+        at, name, attributes = found.end(), m["name"].lower(), found[1]
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    articles -= sum(x.name in ("article", "main") for x in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k].name in ("table", "article", "body") and name not in BLOCK:
-                    break
-            else:
-                if name == "p":
-                    stack[-1].children.append(Node("p"))
+            k = nearest((name,))
+            if k and (name in BLOCK or k >= nearest(("table", "article", "body"))):
+                close(k)
+            elif not k and name == "p":
+                stack[-1].children.append(Node("p"))
             continue
-        shut, until = ({"p"}, frozenset(("table", "button", "article", "body"))) if name in BLOCK else (None, None)
-        for shut, until in filter(lambda x: x[0], ((shut, until), ENDS.get(name, (None, None)))):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in shut:
-                    del stack[k:]
-                    if name in ENDS and shut is not ENDS[name][0]:
-                        break
-                    continue
-                if stack[k].name in until:
-                    break
-        node = Node(name, _dropped(name, m["rest"], articles > 0))
+        if name in BLOCK and (k := nearest(("p",))) > nearest(("table", "button", "article", "body")):
+            close(k)
+        if name in ENDS:
+            shut, until = ENDS[name]
+            limit = nearest(until)
+            inside = [own[bisect_right(own, limit)] for n in shut if (own := open_.get(n)) and own[-1] > limit]
+            if inside:
+                close(min(inside))
+        in_article = bool(open_.get("article") or open_.get("main"))
+        node = Node(name, _dropped(name, attributes, in_article))
         stack[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
             at = len(page) if end is None else page.find(">", end.start()) + 1 or len(page)
-        elif name not in VOID and not (m["rest"] or "").endswith("/"):
+        elif name not in VOID and not attributes.endswith("/"):
+            open_.setdefault(name, []).append(len(stack))
             stack.append(node)
-            articles += name in ("article", "main")
     if at < len(page):
         stack[-1].children.append(html.unescape(page[at:]))
     return root
@@ -173,27 +191,31 @@ def countable(root: Node) -> set[int]:
     return out
 
 
+def _topmost(root: Node, name: str) -> list[Node]:
+    """Elements of a name outside of dropped parts and of each other, in their order."""
+    out, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.name == name:
+            out.append(x)
+        else:
+            todo += [y for y in reversed(x.children) if isinstance(y, Node) and not y.dropped]
+    return out
+
+
 def main_nodes(root: Node) -> list[Node]:
-    """All articles outside of dropped parts and of each other, in their order; without one, all such mains; else nothing."""
-    for kind in ("article", "main"):
-        out, todo = [], [root]
-        while todo:
-            x = todo.pop()
-            if x.name == kind:
-                out.append(x)
-            else:
-                todo += [y for y in reversed(x.children) if isinstance(y, Node) and not y.dropped]
-        if out:
-            return out
-    return []
+    """The articles inside the main elements, or those elements if they hold none; without a main all articles."""
+    mains = _topmost(root, "main")
+    return [y for x in mains for y in _topmost(x, "article")] or mains or _topmost(root, "article")
 
 
 def blocks(root: Node, template: set[int] | frozenset[int] = frozenset()) -> str:
-    """The text of the main parts, blocks joined by an empty line, without the subtrees whose hash is template. A main part
-    goes as a whole only if another one stays."""
+    """The text of the main parts, blocks joined by an empty line, or of the page without any; but in articles, without the
+    subtrees whose hash is template. A main part that is template goes as a whole, if another one stays."""
     mains = main_nodes(root)
     mains = [x for x in mains if signed(x.hash) not in template] or mains
-    top, whole = set(map(id, mains)), BLOCK - TEXT if mains else BLOCK
+    top = set(map(id, mains))
+    whole = BLOCK if not mains else BLOCK - TEXT if mains[0].name == "main" else frozenset()
     out: list[str] = []
     held: list[str] = []
 
@@ -209,7 +231,7 @@ def blocks(root: Node, template: set[int] | frozenset[int] = frozenset()) -> str
             flush()
         elif isinstance(x, str):
             held.append(x)
-        elif x.dropped or (id(x) not in top and x.name in whole and x.children and signed(x.hash) in template):
+        elif x.dropped or (x.name in whole and id(x) not in top and x.children and signed(x.hash) in template):
             if x.name in BLOCK:
                 flush()
         elif x.name == "br":
@@ -265,7 +287,9 @@ def main_text(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> Dat
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
     A null page is empty and has an empty text; a null url, or one without a host, belongs to the host "". Pages of one
-    text count once. An empty table gives an empty result. The pages of a host with very many are dealt to many tasks.
+    text count once, so repeated rows change nothing and get equal texts. Very long, deeply nested and broken pages are read
+    whole, in time in proportion to them. An empty table gives an empty result. Other columns are ignored. The pages of a host
+    with very many are dealt to many tasks.
     """
     given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     texts = _subtrees(given).groupBy("host", "mark").agg(F.array_distinct(F.flatten(F.collect_set("hashes"))).alias("hashes"))
