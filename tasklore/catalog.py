@@ -76,14 +76,13 @@ select user_id, rn, n as user_id_question_part_count, ts_ms - t as time_since_la
   round(case when n > 0 then {_sigmoid('n', 5, 2)} * s / n + (1 - {_sigmoid('n', 5, 2)}) * prior else prior end, 9) as user_id_question_part_score from s"""
 
 
-def _prior(df: DataFrame) -> float:
-    return df.agg(F.avg("answered_correctly")).first()[0]
+def _with_prior(log: DataFrame) -> DataFrame:
+    return log.crossJoin(F.broadcast(log.agg(F.avg("answered_correctly").alias("_overall"))))  # one row
 
 
 @query(_W1)
 def w1_rolling_score(spark, d):
-    log = _i(spark, d)
-    out = history.rolling_score(log, ["user_id", "question_part"], (5, 2), _prior(log), time_since_last=True)
+    out = history.rolling_score(_with_prior(_i(spark, d)), ["user_id", "question_part"], (5, 2), F.col("_overall"), time_since_last=True)
     names = ["user_id_question_part_score", "user_id_question_part_count", "time_since_last_question_part", "tasks_since_last_question_part"]
     return rounded(out.select(*ROW, *names))
 
@@ -382,6 +381,11 @@ def p7_buckets(spark, d):
     return rows.withColumns({"b12": fn.tasks_bucket_12(x), "b3": fn.tasks_bucket_3(x), "grp": fn.tasks_group(x)})
 
 
+@query(f"""{I}, f as (select avg(ln(elapsed_ms / 1000 + 1)) as m, stddev_pop(ln(elapsed_ms / 1000 + 1)) as s from i) select user_id, rn, round((ln(elapsed_ms / 1000 + 1) - m) / s, 9) as elapsed_ms_z from i, f""")
+def e15_log_times(spark, d):
+    return rounded(items.log_time_scores(_i(spark, d), "elapsed_ms").select(*ROW, "elapsed_ms_z"))
+
+
 @query(f"""{I}, c as (select user_id, rn, ts_ms, rn - 1 as user_id_count, had_explanation as x_count from i)
 select user_id, rn, round(coalesce(user_id_count * 86400000 / nullif(ts_ms, 0), 0), 9) as user_id_density, round(coalesce(x_count / nullif(user_id_count, 0), 0), 9) as x_density,
   round(x_count / case when user_id_count = 0 then 0.00001 else user_id_count end, 9) as ratio from c""")
@@ -432,6 +436,28 @@ def s1_csv_scan(spark, d):
     return logs.read_csv(spark, path, "question_id int, correct_answer int, part int, tags string")
 
 
+@query("""select 'interactions' as name, count(*) as n_rows, count(distinct o_custkey) as n_keys, sum(case when l_returnflag <> 'R' then 1 else 0 end)::bigint as total from lineitem join orders on l_orderkey = o_orderkey
+union all select 'lectures', count(*), count(distinct p_partkey), sum(p_size % 7 + 1)::bigint from part union all select 'questions', count(*), count(distinct p_partkey), sum(p_size % 7 + 1)::bigint from part""")
+def s2_three_tables(spark, d):
+    """The three source tables, written as CSV files and loaded together."""
+    folder, log = scratch(spark, "tables"), _i(spark, d)
+    part = spark.read.parquet(f"{d}/part.parquet")
+    names = {"ts_ms": "timestamp", "elapsed_ms": "prior_question_elapsed_time"}
+    log = log.withColumnsRenamed(names).withColumn("prior_question_had_explanation", F.col("had_explanation") == 1)
+    shape = F.col("p_size") % 7 + 1
+    tables = {
+        "train": log,
+        "questions": part.select(F.col("p_partkey").alias("question_id"), F.lit(0).alias("bundle_id"), (F.col("p_partkey") % 4).alias("correct_answer"), shape.alias("part"), F.col("p_name").alias("tags")),
+        "lectures": part.select(F.col("p_partkey").alias("lecture_id"), (F.col("p_size") % 10).alias("tag"), shape.alias("part"), F.lit("concept").alias("type_of")),
+    }
+    for name, table in tables.items():
+        table.write.option("header", True).csv(f"{folder}/{name}.csv")
+    loaded = logs.load(spark, folder)
+    facts = [("interactions", "user_id", "answered_correctly"), ("questions", "question_id", "part"), ("lectures", "lecture_id", "part")]
+    rows = [df.agg(F.count("*").alias("n_rows"), F.count_distinct(k).alias("n_keys"), F.sum(v).alias("total")).select(F.lit(n).alias("name"), "*") for df, (n, k, v) in zip(loaded, facts, strict=True)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query(f"""{I}, u as (select distinct user_id from i), n as (select user_id from u order by user_id desc limit (select count(*) // 20 from u))
 select user_id, rn, case when n.user_id is null then 'train' else 'test' end as part from i left join n using (user_id)""")
 def r5_last_users(spark, d):
@@ -496,11 +522,6 @@ def e12_shifted(spark, d):
     return out.select("user_id", "chunk", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("encoder", "decoder", "label")])
 
 
-@query(f"""{I}, f as (select avg(ln(elapsed_ms / 1000 + 1)) as m, stddev_pop(ln(elapsed_ms / 1000 + 1)) as s from i) select user_id, rn, round((ln(elapsed_ms / 1000 + 1) - m) / s, 9) as elapsed_ms_z from i, f""")
-def e15_log_times(spark, d):
-    return rounded(items.log_time_scores(_i(spark, d), "elapsed_ms").select(*ROW, "elapsed_ms_z"))
-
-
 @query()
 def e3_communities(spark, d):
     return items.item_communities(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name"), "p_partkey", "p_name")
@@ -714,6 +735,18 @@ def m5_scaled(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in SCALED})
 
 
+@query("""with r as (select l_orderkey, l_linenumber, pow(l_quantity / 10, 4)::double as x from lineitem), g as (select unnest(range(-20, 31))::double / 10 as s),
+y as (select s, x, case when abs(s) < 1e-9 then ln(x + 1) else (pow(x + 1, s) - 1) / s end as y from r, g),
+b as (select s from y group by s order by -count(*) / 2.0 * ln(greatest(var_pop(y), 1e-300)) + (s - 1) * sum(ln(x + 1)) desc, s limit 1),
+t as (select l_orderkey, l_linenumber, case when abs(s) < 1e-9 then ln(x + 1) else (pow(x + 1, s) - 1) / s end as y from r, b)
+select l_orderkey, l_linenumber, round((y - avg(y) over ()) / stddev_pop(y) over (), 6) as x from t""")
+def m5_scaled_by_power(spark, d):
+    """A column so skewed that it goes through the power transform."""
+    x = F.pow(F.col("l_quantity") / 10, F.lit(4))
+    out = models.scaled(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", x.alias("x")), ["x"])
+    return out.withColumn("x", F.round("x", 6))
+
+
 @query("""with n as (select l_orderkey, l_linenumber, case when l_partkey % 5 > 0 then l_quantity end as x from lineitem)
 select l_orderkey, l_linenumber, case when x is null then 1 else 0 end as x_missing, coalesce(x, (select median(x) from n))::double as x from n""")
 def m4_missing_flags(spark, d):

@@ -67,32 +67,47 @@ def item_communities(items: DataFrame, item: str, tags: str) -> DataFrame:
 def communities(edges: DataFrame, rounds: int = 100, levels: int = 20) -> DataFrame:
     """node, community: level by level, nodes move to the community with the largest gain in modularity until none moves, and
     the communities become the nodes of the next level, whose edges are the sums of those between them; until a level moves
-    nothing. Raises if the rounds or levels do not suffice.
+    nothing. Then single nodes may move again from where they are, and levels follow, as long as modularity rises. Raises if
+    the rounds or levels do not suffice.
 
     edges: src, dst, w with both directions of each; an edge of a node with itself counts once. A community is named by one of
     its nodes. Every level is joins and aggregates over its edges, and each is smaller than the one before.
     """
-    labels, now = None, cut(edges.select("src", "dst", "w"))
-    for _ in range(levels):
-        found, moved = _settled(now, rounds)
+    own = cut(edges.select("src", "dst", "w"))
+    best = _levels(own, None, rounds, levels)
+    value = modularity(own, best).first()[0]
+    while value is not None:
+        again = _levels(own, best, rounds, levels)
+        now = modularity(own, again).first()[0]
+        if now <= value + 1e-9:
+            break
+        best, value = again, now
+    return best
+
+
+def _levels(edges: DataFrame, start: DataFrame | None, rounds: int, levels: int) -> DataFrame:
+    """The levels of communities, from single nodes or from the labels given (node, community)."""
+    labels, now = None, edges
+    for level in range(levels):
+        found, moved = _settled(now, rounds, start if level == 0 else None)
         labels = found if labels is None else cut(labels.join(found.select(F.col("node").alias("community"), F.col("community").alias("_up")), "community").select("node", F.col("_up").alias("community")))
-        if not moved:
+        if not moved and (level or start is None):
             return labels
         a, b = (found.select(F.col("node").alias(c), F.col("community").alias(f"_{c}")) for c in ("src", "dst"))
         now = cut(now.join(a, "src").join(b, "dst").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("w").alias("w")))
     raise RuntimeError(f"communities did not settle in {levels} levels")
 
 
-def _settled(edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
-    """node, community of one level, and whether any node moved.
+def _settled(edges: DataFrame, rounds: int, start: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """node, community of one level, and whether any node moved from the labels it started with.
 
     A round moves a share of the nodes (by a hash of round and node), so that two neighbours do not swap for ever; the share
-    halves every twenty rounds. Labels start as the nodes themselves; ties go to the node's own, else to the smallest. A level
+    halves every twenty rounds. Labels start as the nodes themselves if none are given; ties go to the node's own, else to the smallest. A level
     has settled when in a round no node at all, of its share or not, would gain by moving.
     """
     degree = edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d"))
     total = edges.agg(F.sum("w").alias("m"))  # one row
-    labels, moved = degree.select("node", F.col("node").alias("c")), False
+    labels, moved = degree.select("node", F.col("node").alias("c")) if start is None else start.select("node", F.col("community").alias("c")), False
     for k in range(rounds):
         weight = degree.join(labels, "node").groupBy("c").agg(F.sum("d").alias("dc"))
         # an edge of a node with itself moves with it, and so counts for no label
@@ -104,7 +119,7 @@ def _settled(edges: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
         others = F.col("dc") - F.when(F.col("c") == F.col("now"), F.col("d")).otherwise(0)
         scored = scored.withColumn("gain", F.round(F.col("k") - F.col("d") * others / F.col("m"), 9))
         best = scored.groupBy("node").agg(F.min(F.struct(-F.col("gain"), F.when(F.col("c") == F.col("now"), 0).otherwise(1), "c"))["c"].alias("best"))
-        moves = F.pmod(F.xxhash64(F.lit(k), F.col("node")), F.lit(2 << k // 20)) == 0
+        moves = F.pmod(F.xxhash64(F.lit(k), F.col("node")), F.lit(4 << k // 20)) == 0
         after = labels.join(best, "node").select("node", F.when(moves, F.col("best")).otherwise(F.col("c")).alias("c"), (F.col("best") != F.col("c")).alias("would"))
         after = cut(after)
         labels = after.select("node", "c")

@@ -27,6 +27,13 @@ def read_csv(spark: SparkSession, path: str, schema: str, rows: int | None = Non
     return df if rows is None else df.limit(rows)
 
 
+def load(spark: SparkSession, folder: str, users: int = 0, rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Interactions, questions and lectures out of a folder's train.csv, questions.csv and lectures.csv, each a file or a folder
+    of files: all interactions, their first `rows`, or those of the first (below 0: last) `users` by number."""
+    log = read_csv(spark, f"{folder}/train.csv", INTERACTIONS, rows)
+    return first_users(log, users, ["user_id"]), read_csv(spark, f"{folder}/questions.csv", QUESTIONS), read_csv(spark, f"{folder}/lectures.csv", LECTURES)
+
+
 def millis(name: str) -> Column:
     return F.unix_millis(F.col(name).cast("timestamp"))
 

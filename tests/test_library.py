@@ -74,3 +74,19 @@ def test_weighted_starts_favour_both_ends(spark):
     by = {r["p"]: r["count"] for r in got}
     weights = [(3 / (k + 1)) ** 0.5 if k < 3 else (3 / (10 - k)) ** 0.5 if k >= 7 else 1 for k in range(10)]
     assert all(abs(by[k] - 1000 * w / sum(weights)) <= 2 for k, w in enumerate(weights))
+
+
+def test_three_tables_load_together(spark, tmp_path):
+    from tasklore.sources import logs
+
+    rows = [(u, t) for u in (3, 1, 2) for t in range(4)]
+    head = "row_id,timestamp,user_id,content_id,content_type_id,task_container_id,user_answer,answered_correctly,prior_question_elapsed_time,prior_question_had_explanation\n"
+    (tmp_path / "train.csv").write_text(head + "".join(f"{k},{t},{u},7,0,{t},1,1,,true\n" for k, (u, t) in enumerate(rows)))
+    (tmp_path / "questions.csv").write_text("question_id,bundle_id,correct_answer,part,tags\n7,7,1,2,1 2\n")
+    (tmp_path / "lectures.csv").write_text("lecture_id,tag,part,type_of\n9,1,2,concept\n")
+    log, questions, lectures = logs.load(spark, str(tmp_path))
+    assert log.count() == 12 and "row_id" not in log.columns and log.dtypes[0] == ("timestamp", "bigint")
+    assert questions.first()["tags"] == "1 2" and lectures.first()["type_of"] == "concept"
+    assert {r["user_id"] for r in logs.load(spark, str(tmp_path), users=2)[0].collect()} == {1, 2}
+    assert {r["user_id"] for r in logs.load(spark, str(tmp_path), users=-1)[0].collect()} == {3}
+    assert logs.load(spark, str(tmp_path), rows=5)[0].count() == 5
