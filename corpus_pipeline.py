@@ -1,7 +1,7 @@
 """A corpus from raw documents to packed sequences: language, near duplicates, secrets, mixture, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents. A null doc_id passes the near-duplicate stage: it names no group.
+All but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -24,12 +24,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by word shingles, the one with the smallest doc_id stays."""
-    docs = docs.select(*COLUMNS)
-    named = docs.where("doc_id is not null")
-    first = jaccard.jaccard_components(named).where("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(first, "doc_id").withColumn("mark", F.xxhash64("text")).dropDuplicates(["doc_id", "mark"])
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    """Of each group of documents linked by word shingles, the one with the smallest doc_id stays (null last).
+
+    A document is a doc_id with its text: one doc_id may stand at several texts, each judged by itself; repeated rows are one.
+    """
+    keyed = docs.select(*COLUMNS).withColumn("key", F.xxhash64("doc_id", "text"))
+    found = jaccard.jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))["key"].alias("key")
+    stay = keyed.select("key", "doc_id").join(found.distinct(), "key").groupBy("component_id").agg(first).select("key").distinct()
+    return keyed.join(stay, "key").dropDuplicates(["key", "doc_id"]).select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
