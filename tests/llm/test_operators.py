@@ -478,3 +478,14 @@ def test_pipeline_stages_on_empty_null_and_repeated_rows(spark, none):
             assert sorted(got, key=str) == [1, 2, 3, 4, None]  # repeated rows are copies
         if name == "language_id":
             assert not {2, 3, 4} & set(got)
+
+
+def test_near_duplicates_tell_texts_of_one_doc_id_apart(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(13)
+    a, b, c = (words(rng, 50) for _ in range(3))
+    made = [(5, a), (1, a), (5, b), (None, c), (7, c), (None, b + " more"), (None, None), (8, None), (8, "")]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(1, a), (5, b), (7, c), (None, None), (8, None), (8, "")])
