@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tasklore.llm import jaccard, langid, mixing, packing, pages, quality, secrets, sharding, sketches, substrings
@@ -302,20 +303,41 @@ def test_fingerprints(docs, none, rows):
     by_text = {}
     for r, (_, t, *_) in zip(sorted(got, key=lambda r: r["n_chars"]), sorted(order, key=lambda r: len(r[1] or "")), strict=True):
         assert len(r["fingerprint"]) <= 100 + 60 * (len(sketches.digests(t or "")) + sketches.SMALLEST)
+        assert sketches.likeness(r["fingerprint"], r["edited_fingerprint"]) == r["near_edited"]  # from what is stored alone
     assert all(by_text.setdefault(r["edited_sha256"], r["edited_fingerprint"]) == r["edited_fingerprint"] for r in got)
     assert sketches.fingerprint_versions(none).count() == 0
 
 
-def test_sketches_recover_differences():
+def test_stored_sketches_recover_differences():
     rng = random.Random(3)
-    lines = [words(rng, 12) for _ in range(60)]
-    a, b = "\n".join(lines), "\n".join([*lines[:50], *(words(rng, 12) for _ in range(5))])
-    x, y = sketches.Sketch.decode(sketches.Sketch.of(a).encode()), sketches.Sketch.of(b)
-    assert x.difference(sketches.Sketch.of(lines[0])) is None and sketches.Sketch.of(a).likeness(sketches.Sketch.of(lines[0])) == 1 / len(sketches.digests(a))
-    mine, theirs = x.difference(y)
-    p, q = set(sketches.digests(a).tolist()), set(sketches.digests(b).tolist())
-    assert set(mine.tolist()) == p - q and set(theirs.tolist()) == q - p
-    assert x.likeness(sketches.Sketch.of(a)) == 1.0
+    texts = ["", "one", "one\n" * 40]
+    for n in [*range(1, 40), 200, 1500]:
+        lines = [words(rng, 6) for _ in range(n)]
+        texts += ["\n".join(lines), "\n".join([*lines[: n // 2], *(words(rng, 6) for _ in range(rng.randint(0, n)))])]
+    held = sketches.Sketches.of(texts)
+    stored = sketches.Sketches.decode(held.encode())
+    assert stored.encode() == held.encode() == [x for t in texts for x in sketches.Sketches.of([t]).encode()]
+    own = [set(sketches.digests(t).tolist()) for t in texts]
+    assert sum(map(len, held.encode())) <= 60 * sum(max(len(x), 9) for x in own)
+    at = np.arange(len(texts))
+    for by in (0, 1, 2, 7):  # by 0: equal; by 1: halves shared for each second pair; else unlike, of other sizes
+        other = np.roll(at, -by)
+        keys, pair, signs = stored.differences(stored.take(other))
+        for k in at:
+            mine, theirs = (set(keys[(pair == k) & (signs == s)].tolist()) for s in (1, -1))
+            assert (mine, theirs) == (own[k] - own[other[k]], own[other[k]] - own[k])
+        like = [len(own[k] & own[o]) / len(own[k] | own[o]) if own[k] | own[o] else 1.0 for k, o in enumerate(other)]
+        assert stored.likenesses(stored.take(other)).tolist() == like
+
+
+def test_a_level_that_is_too_small_is_not_peeled():
+    keys = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    cells = sketches.Cells(np.array([2, 6]))
+    for k in range(2):
+        cells.insert(keys, np.full(len(keys), k), np.ones(len(keys), np.int64))
+    found, whose, _, whole = cells.peel()
+    assert whole.tolist() == [False, True] and set(found[whose == 1].tolist()) == set(keys.tolist())
+    assert sketches.Sketches.of([]).encode() == []
 
 
 def test_secrets(docs, none, rows):
