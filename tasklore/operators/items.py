@@ -117,7 +117,11 @@ def _settled(edges: DataFrame, rounds: int, start: DataFrame | None = None) -> t
         choices = to.unionByName(own.select("node", F.col("now").alias("c"), F.lit(0).cast(dict(to.dtypes)["k"]).alias("k"))).groupBy("node", "c").agg(F.sum("k").alias("k"))
         scored = choices.join(degree, "node").join(own, "node").join(weight, "c").crossJoin(F.broadcast(total))
         others = F.col("dc") - F.when(F.col("c") == F.col("now"), F.col("d")).otherwise(0)
-        scored = scored.withColumn("gain", F.round(F.col("k") - F.col("d") * others / F.col("m"), 9))
+        if dict(to.dtypes)["k"] == "bigint":  # m times the gain, a whole number: products of two sums pass a long
+            k_m, d_o = (a.cast("decimal(19,0)") * b.cast("decimal(19,0)") for a, b in ((F.col("k"), F.col("m")), (F.col("d"), others)))
+            scored = scored.withColumn("gain", k_m - d_o)
+        else:
+            scored = scored.withColumn("gain", F.round(F.col("k") - F.col("d") * others / F.col("m"), 9))
         best = scored.groupBy("node").agg(F.min(F.struct(-F.col("gain"), F.when(F.col("c") == F.col("now"), 0).otherwise(1), "c"))["c"].alias("best"))
         moves = F.pmod(F.xxhash64(F.lit(k), F.col("node")), F.lit(4 << k // 20)) == 0
         after = labels.join(best, "node").select("node", F.when(moves, F.col("best")).otherwise(F.col("c")).alias("c"), (F.col("best") != F.col("c")).alias("would"))

@@ -88,6 +88,13 @@ def test_communities_raise_when_they_do_not_settle(spark):
         items.communities(edges, rounds=1)
 
 
+def test_communities_of_weights_whose_products_pass_a_long(spark):
+    ties = [(a, b, 4_000_000_000) for g in (0, 3) for a in range(g, g + 3) for b in range(g, g + 3) if a != b] + [(0, 3, 1), (3, 0, 1)]
+    found = items.communities(spark.createDataFrame(ties, "src long, dst long, w long")).collect()
+    label = {r["node"]: r["community"] for r in found}
+    assert label[0] == label[1] == label[2] != label[3] == label[4] == label[5]
+
+
 def test_no_communities_without_edges(spark):
     assert items.communities(spark.createDataFrame([], "src long, dst long, w long")).collect() == []
 
