@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tasklore.operators import encoders, history, sessions
+from tasklore.sources import logs
 
 HOUR = 3_600_000
 
@@ -142,3 +143,16 @@ def test_many_scores_of_one_key_set_equal_single_ones(spark):
             assert r[c] == pytest.approx(b[rn][c], abs=1e-12) if isinstance(r[c], float) else r[c] == b[rn][c]
     with pytest.raises(ValueError):
         history.rolling_scores(log, ["user_id"], [{"time_since_last": True}], 0.5)
+
+
+def test_a_large_log_is_dealt_to_more_tasks_and_once_by_user(spark, monkeypatch):
+    monkeypatch.setattr(logs, "ROWS_A_TASK", 1000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        log = logs.interactions(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == -(-log.count() // 1000) > int(before)
+        out = history.rolling_score(log, ["user_id", "question_part"]).select("user_id", "rn", "user_id_question_part_score")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("Exchange hashpartitioning(user_id") == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
