@@ -75,21 +75,26 @@ def _power(x: Column, strength: float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
+def _strength(df: DataFrame, column: str, grid: tuple[float, ...]) -> float:
+    """The strength of the grid with the largest likelihood. Equal values are one row with a count, and the grid's strengths
+    are rows too, so that a pass is two small sums; the second takes squares off the first's means."""
+    values = cut(df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_x")).agg(F.count("*").alias("_c")))
+    x, c = F.col("_x"), F.col("_c")
+    made = values.select("_c", F.posexplode(F.array(*[_power(x, s) for s in grid])).alias("_k", "_y"))
+    means = made.groupBy("_k").agg((F.sum(c * F.col("_y")) / F.sum(c)).alias("_m"))  # a row for each strength
+    spread = made.join(F.broadcast(means), "_k").groupBy("_k").agg((F.sum(c * F.pow(F.col("_y") - F.col("_m"), F.lit(2))) / F.sum(c)).alias("_v"))
+    n, logs = values.agg(F.sum(c), F.sum(c * F.signum(x) * F.ln(F.abs(x) + 1))).first()
+    held = {r["_k"]: r["_v"] for r in spread.collect()}
+    fit = lambda k: -n / 2 * math.log(max(held[k], 1e-300)) + (grid[k] - 1) * logs
+    return grid[max(range(len(grid)), key=fit)]
+
+
 def scaled(df: DataFrame, columns: list[str], grid: tuple[float, ...] = tuple(k / 10 for k in range(-20, 31))) -> DataFrame:
     """df with its columns standardized; the skewed ones (scaling_plan) after the power transform of the grid's strength with
-    the largest likelihood. Order: standard columns, then skewed ones. One row of sums reaches the driver for each pass."""
+    the largest likelihood. Order: standard columns, then skewed ones. A row of sums for each strength reaches the driver."""
     plan = {r["column"]: r["power"] for r in scaling_plan(df, columns).collect()}
-    skewed, strength = [c for c in columns if plan[c]], {}
-    if skewed:
-        x = {c: F.col(c).cast("double") for c in skewed}
-        sums = df.agg(
-            *[F.var_pop(_power(x[c], s)).alias(f"{c}_{k}") for c in skewed for k, s in enumerate(grid)],
-            *[F.sum(F.signum(x[c]) * F.ln(F.abs(x[c]) + 1)).alias(f"{c}_log") for c in skewed],
-            *[F.count(c).alias(f"{c}_n") for c in skewed],
-        ).first()
-        for c in skewed:
-            fit = lambda k, c=c: -sums[f"{c}_n"] / 2 * math.log(max(sums[f"{c}_{k}"], 1e-300)) + (grid[k] - 1) * sums[f"{c}_log"]
-            strength[c] = grid[max(range(len(grid)), key=fit)]
+    skewed = [c for c in columns if plan[c]]
+    strength = {c: _strength(df, c, grid) for c in skewed}
     made = {c: _power(F.col(c).cast("double"), strength[c]) if c in strength else F.col(c).cast("double") for c in columns}
     facts = df.agg(*[F.avg(made[c]).alias(f"m_{c}") for c in columns], *[F.stddev_pop(made[c]).alias(f"s_{c}") for c in columns])  # one row
     out = df.crossJoin(F.broadcast(facts))
