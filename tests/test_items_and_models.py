@@ -259,3 +259,27 @@ def test_cache_counts_the_code_of_what_it_makes(spark, tmp_path):
         return spark.range(n + 1)
 
     assert store.cached(first, spark, str(tmp_path), n=3).count() == 4 and store.cached(one, spark, str(tmp_path), n=3).count() == 3
+
+
+def test_a_power_is_fitted_on_distinct_values_and_likeness_joins_an_item_once(spark, monkeypatch):
+    grid, x = tuple(k / 10 for k in range(-20, 31)), [1.0, 1.0, 1.0, 2.0, 2.0, 3.0, 5.0, 40.0, 90.0]
+    seen = []
+    monkeypatch.setattr(models, "cut", lambda df: seen.append(df.count()) or df)
+    got = models._strength(spark.createDataFrame([(v,) for v in [*x, None]], "x double"), "x", grid)
+    y = {s: [np.log(v + 1) if abs(s) < 1e-9 else ((v + 1) ** s - 1) / s for v in x] for s in grid}
+    assert got == max(grid, key=lambda s: -len(x) / 2 * np.log(np.var(y[s])) + (s - 1) * np.log(np.add(x, 1)).sum())
+    assert seen == [len(set(x))]
+    tags = spark.createDataFrame([(k, "a b") for k in range(6)], "content_id long, tags string")
+    vectors = spark.createDataFrame([(i, c, [1.0, float(i + c)]) for i in range(6) for c in (0, 1)], "content_id long, correct int, vector array<double>")
+    plan = sequences.answer_likeness(made_log(spark), tags, vectors)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2
+
+
+def test_vectors_are_fitted_in_parts_and_written(spark, monkeypatch):
+    monkeypatch.setattr(items, "TOKENS_A_FIT", 30)
+    written, fits = [], []
+    real, fitted = items.cut, items.Word2Vec
+    monkeypatch.setattr(items, "cut", lambda df: written.append(df.columns) or real(df))
+    monkeypatch.setattr(items, "Word2Vec", lambda **given: fits.append(given["numPartitions"]) or fitted(**given))
+    assert items.item_vectors(made_log(spark), F.col("content_id"), size=4).count() == 16
+    assert fits == [4] and written == [["user_id", "tokens"], ["word", "vector"]]
