@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tasklore.operators.ranges import exact_quantiles, in_ranges
 from tasklore.sources.store import cut
 
+SCORES_A_TASK = 2_000_000
+
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """auc: the chance that a positive outranks a negative, ties half, by sums over distinct scores."""
@@ -191,7 +193,8 @@ def boosted(train: DataFrame, held: DataFrame, columns: list[str], label: str, l
     rows = cut(prepare.transform(both).select("features", label, "_held"))
     learner = GBTClassifier(labelCol=label, maxIter=limit, maxDepth=depth, stepSize=step, seed=1, validationIndicatorCol="_held", validationTol=tolerance)
     model = learner.fit(rows)
-    staged = _staged(rows, model, len(model.trees)).select(label, "_held", F.posexplode("_sums").alias("k", "score"))
+    dealt = rows.repartition(max(1, -(-rows.count() * len(model.trees) // SCORES_A_TASK)))  # a task's scores are hardly ever equal
+    staged = _staged(dealt, model, len(model.trees)).select(label, "_held", F.posexplode("_sums").alias("k", "score"))
     rates = auc_by(staged.withColumn("set", F.col("k") * 2 + F.col("_held").cast("int")), "set", "score", label)
     rates = rates.groupBy((F.expr("set div 2") + 1).cast("int").alias("round")).agg(
         F.max(F.when(F.col("set") % 2 == 0, F.col("auc"))).alias("auc_train"), F.max(F.when(F.col("set") % 2 == 1, F.col("auc"))).alias("auc_held")

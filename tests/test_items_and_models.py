@@ -283,3 +283,12 @@ def test_vectors_are_fitted_in_parts_and_written(spark, monkeypatch):
     monkeypatch.setattr(items, "Word2Vec", lambda **given: fits.append(given["numPartitions"]) or fitted(**given))
     assert items.item_vectors(made_log(spark), F.col("content_id"), size=4).count() == 16
     assert fits == [4] and written == [["user_id", "tokens"], ["word", "vector"]]
+
+
+def test_scores_of_all_rounds_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(models, "SCORES_A_TASK", 20)
+    seen, real = [], models.auc_by
+    monkeypatch.setattr(models, "auc_by", lambda df, *given: seen.append(df.rdd.getNumPartitions()) or real(df, *given))
+    rows = spark.range(200).selectExpr("double(id % 17) as x", "int(id % 17 > 8) as y", "id % 4 = 0 as held")
+    found = models.boosted(rows.where("not held"), rows.where("held"), ["x"], "y", limit=2)
+    assert seen == [200 * found.rates.count() // 20]
