@@ -156,3 +156,16 @@ def test_a_large_log_is_dealt_to_more_tasks_and_once_by_user(spark, monkeypatch)
         assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("Exchange hashpartitioning(user_id") == 1
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_encoders_of_items_meet_the_log_in_one_join(spark, monkeypatch):
+    rows = spark.range(400).selectExpr(
+        "id % 11 user_id", "id rn", "int(if(id % 50 = 7, null, id % 13)) content_id", "int(id % 3 = 0) answered_correctly", "int(id % 11 % 5) fold", "int(id % 2) flag", "int(id % 7) part"
+    )
+    child = {"held": True, "noise": 0.002, "smoothing": (20, 5), "parent": "content_id_encoded"}
+    many = [encoders.Encoder(("content_id",), ratio=True), encoders.Encoder(("content_id",), held=True), encoders.Encoder(("flag", "content_id"), **child), encoders.Encoder(("part",))]
+    few = sorted(map(str, encoders.encoded(rows, many, last=1).collect()))
+    monkeypatch.setattr(encoders, "FEW", 0)
+    out = encoders.encoded(rows, many, last=1)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 3  # fold, item and part
+    assert len(few) == 400 and sorted(map(str, out.collect())) == few
