@@ -10,10 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +34,11 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return wins.agg((F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
-def auc_by(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
+def auc_by(df: DataFrame, group: str, score: str, label: str, count: str | None = None) -> DataFrame:
     """group, auc: roc_auc of each group, null where it has one kind of label only. Distinct scores are spread over ranges of
-    (group, score), so a group is never in one task."""
-    by = df.groupBy(group, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+    (group, score), so a group is never in one task. A row counts once, or as often as its count says."""
+    times = F.lit(1) if count is None else F.col(count)
+    by = df.groupBy(group, score).agg(F.sum(F.col(label) * times).alias("p"), F.sum((1 - F.col(label)) * times).alias("n"))
     dealt = in_ranges(by, [group, score])
     before = lambda w: F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = dealt.groupBy(group, "_range").agg(F.sum("n").alias("m"))  # a row for each group of a range
@@ -167,8 +166,12 @@ class Boosted:
 
     def transform(self, df: DataFrame, column: str) -> DataFrame:
         """Adds column: the chance of a 1."""
-        sums = _staged(self.prepare.transform(df), self.model, self.rounds)
-        return sums.withColumn(column, 1 / (1 + F.exp(-2 * F.element_at("_sums", -1)))).select(*df.columns, column)
+        return self.scored(self.prepare.transform(df), column).select(*df.columns, column)
+
+    def scored(self, rows: DataFrame, column: str) -> DataFrame:
+        """transform for rows that are prepared already."""
+        sums = _staged(rows, self.model, self.rounds)
+        return sums.withColumn(column, 1 / (1 + F.exp(-2 * F.element_at("_sums", -1)))).drop("_sums")
 
 
 def _staged(df: DataFrame, model: GBTClassificationModel, rounds: int) -> DataFrame:
@@ -190,10 +193,15 @@ def boosted(train: DataFrame, held: DataFrame, columns: list[str], label: str, l
     double = {c: F.col(c).cast("double") for c in [*columns, label]}
     both = train.withColumns(double).withColumn("_held", F.lit(False)).unionByName(held.withColumns(double).withColumn("_held", F.lit(True)))
     prepare = Pipeline(stages=_assembled(columns)).fit(both.where("not _held"))
-    rows = cut(prepare.transform(both).select("features", label, "_held"))
+    return _boosted(prepare, cut(prepare.transform(both).select("features", label, "_held")), label, limit, tolerance, step, depth)
+
+
+def _boosted(prepare: PipelineModel, rows: DataFrame, label: str, limit: int = 30, tolerance: float = 0.01, step: float = 0.1, depth: int = 4, held_only: bool = False) -> Boosted:
+    """boosted over prepared rows (features, label, _held); with held_only the training rows are not scored (auc_train is null)."""
     learner = GBTClassifier(labelCol=label, maxIter=limit, maxDepth=depth, stepSize=step, seed=1, validationIndicatorCol="_held", validationTol=tolerance)
     model = learner.fit(rows)
-    dealt = rows.repartition(max(1, -(-rows.count() * len(model.trees) // SCORES_A_TASK)))  # a task's scores are hardly ever equal
+    judged = rows.where("_held") if held_only else rows
+    dealt = judged.repartition(max(1, -(-judged.count() * len(model.trees) // SCORES_A_TASK)))  # a task's scores are hardly ever equal
     staged = _staged(dealt, model, len(model.trees)).select(label, "_held", F.posexplode("_sums").alias("k", "score"))
     rates = auc_by(staged.withColumn("set", F.col("k") * 2 + F.col("_held").cast("int")), "set", "score", label)
     rates = rates.groupBy((F.expr("set div 2") + 1).cast("int").alias("round")).agg(
@@ -204,21 +212,57 @@ def boosted(train: DataFrame, held: DataFrame, columns: list[str], label: str, l
     return Boosted(prepare, model, best["round"], rates)
 
 
+def _read_in_waves(spark: SparkSession) -> None:
+    """Has the session read a table in four tasks a core or more where it would take as many as cores and a few, as learners
+    pass over their rows again and again and the last few tasks would make each pass twice as long."""
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", 4 * spark.sparkContext.defaultParallelism)
+
+
+def _logistic(rows: DataFrame, names: list[str], label: str, count: str, spread: list[float], strength: float) -> Column:
+    """The margin, as an expression over names, of a logistic regression on rows that count as often as `count` says. Columns
+    are divided by their spread over all of the rows it stands for, which the learner cannot see in rows with counts."""
+    part = [x or 1.0 for x in spread]
+    made = rows.select(label, count, *[(F.col(n) / F.lit(x)).alias(f"_{n}") for n, x in zip(names, part, strict=True)])
+    made = VectorAssembler(inputCols=[f"_{n}" for n in names], outputCol="scores").transform(made)
+    model = LogisticRegression(featuresCol="scores", labelCol=label, weightCol=count, regParam=strength, standardization=False).fit(made)
+    weights = [float(w) / x for w, x in zip(model.coefficients, part, strict=True)]
+    return sum((F.col(n) * F.lit(w) for n, w in zip(names, weights, strict=True)), F.lit(float(model.intercept)))
+
+
 def cross_validated_blend(scored: DataFrame, names: list[str], label: str, user: str, folds: int = 3, strengths: tuple[float, ...] = (0.0, 0.1)) -> DataFrame:
     """Adds fold and blend: a logistic regression over the learners' chances, for each fold of users fitted on the others, with
-    the penalty that cross-validation over those other folds prefers by AUC."""
-    rows = VectorAssembler(inputCols=list(names), outputCol="scores").transform(scored.withColumn("fold", F.pmod(F.xxhash64(user), F.lit(folds)).cast("int")))
-    rows, out = cut(rows), None
-    learner = LogisticRegression(featuresCol="scores", labelCol=label)
-    grid = ParamGridBuilder().addGrid(learner.regParam, list(strengths)).build()
-    for k in range(folds):
-        others = rows.where(F.col("fold") != k).withColumn("_inner", F.when(F.col("fold") > k, F.col("fold") - 1).otherwise(F.col("fold")).cast("int"))
-        judge = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-        fitted = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=judge, numFolds=folds - 1, foldCol="_inner").fit(others)
-        own = fitted.bestModel.transform(rows.where(F.col("fold") == k)).withColumn("blend", vector_to_array("probability")[1])
-        own = own.select(*scored.columns, "fold", "blend")
-        out = own if out is None else out.unionByName(own)
-    return out
+    the penalty that cross-validation over those other folds prefers by AUC.
+
+    What judges fold j for fold k is fitted on all but these two, so it judges k for j as well: a pair of folds has one fit for
+    each penalty. Rows of a fold that are equal in chances and label are one row with a count. All fits are judged in one pass;
+    an AUC for each fold, other fold and penalty reaches the driver.
+    """
+    rows = cut(scored.withColumn("fold", F.pmod(F.xxhash64(user), F.lit(folds)).cast("int")))
+    equal = cut(rows.groupBy("fold", label, *names).agg(F.count("*").cast("double").alias("_n")))
+    left_out = [(k, j) for j in range(folds) for k in range(j)] + [(k,) for k in range(folds)]
+    spreads = rows.agg(*[F.stddev_samp(F.when(~F.col("fold").isin(*out), F.col(n))).alias(f"{n}_{i}") for i, out in enumerate(left_out) for n in names]).first()
+
+    def fit(out: tuple, strength: float) -> Column:
+        own = [spreads[f"{n}_{left_out.index(out)}"] for n in names]
+        return _logistic(equal.where(~F.col("fold").isin(*out)), names, label, "_n", own, strength)
+
+    inner = {out: [fit(out, r) for r in strengths] for out in left_out if len(out) == 2}
+    best = _best_strengths(equal, inner, label, folds, len(strengths))
+    outer = F.element_at(F.array(*[fit((k,), strengths[best[k]]) for k in range(folds)]), F.col("fold") + 1)
+    return rows.select(*scored.columns, "fold", (1 / (1 + F.exp(-outer))).alias("blend"))
+
+
+def _best_strengths(equal: DataFrame, inner: dict[tuple, list[Column]], label: str, folds: int, n: int) -> list[int]:
+    """For each fold the number of the penalty with the largest mean AUC over the other folds (the first, in a tie)."""
+    judged = F.lit(None)
+    for j in range(folds):
+        scores = [F.struct(F.lit((k * folds + j) * n + i).alias("own"), inner[min(j, k), max(j, k)][i].alias("score")) for k in range(folds) if k != j for i in range(n)]
+        judged = F.when(F.col("fold") == j, F.array(*scores)).otherwise(judged)
+    rates = auc_by(equal.select(label, "_n", F.explode(judged).alias("r")).select(label, "_n", "r.*"), "own", "score", label, "_n")
+    held = {r["own"]: r["auc"] or 0.0 for r in rates.collect()}
+    mean = lambda k, i: sum(held.get((k * folds + j) * n + i, 0.0) for j in range(folds) if j != k)
+    return [max(range(n), key=lambda i: (mean(k, i), -i)) for k in range(folds)]
 
 
 def blended(
@@ -226,19 +270,23 @@ def blended(
 ) -> DataFrame:
     """keys, label, fold, each learner's chance of a 1 and their logistic blend over the held rows.
 
-    Learners fit on the training rows; boosted trees stop early by a fifth of the training rows' users (of the first key). The
-    blend is cross-validated over folds of the held rows' users (cross_validated_blend). With one learner its chance is the blend.
+    Learners fit on the training rows, which are prepared and written once for all; boosted trees stop early by a fifth of the
+    training rows' users (of the first key). The blend is cross-validated over folds of the held rows' users
+    (cross_validated_blend). With one learner its chance is the blend.
     """
+    _read_in_waves(train.sparkSession)
     double = {c: F.col(c).cast("double") for c in [*columns, label]}
-    train, out = train.withColumns(double), held.withColumns(double)
+    late = F.pmod(F.xxhash64(F.lit("stop"), keys[0]), F.lit(5)) == 0
+    train = train.withColumns(double).withColumn("_held", late)
+    prepare = Pipeline(stages=_assembled(columns)).fit(train)
+    rows = cut(prepare.transform(train).select("features", label, "_held"))
+    out = prepare.transform(held.withColumns(double)).select(*keys, label, "features")
     for name in names:
         if name == "boosted":
-            late = F.pmod(F.xxhash64(F.lit("stop"), keys[0]), F.lit(5)) == 0
-            out = boosted(train.where(~late), train.where(late), columns, label).transform(out, name)
+            out = _boosted(prepare, rows, label, held_only=True).scored(out, name)
             continue
-        model = Pipeline(stages=[*_assembled(columns), learners(len(columns), label)[name]]).fit(train)
-        scored = model.transform(out)
-        out = scored.withColumn(name, vector_to_array("probability")[1]).select(*out.columns, name)
+        model = learners(len(columns), label)[name].fit(rows).setRawPredictionCol("").setPredictionCol("")  # only chances are needed
+        out = model.transform(out).withColumn(name, vector_to_array("probability")[1]).drop("probability")
     out = out.select(*keys, label, *names)
     if len(names) == 1:
         return out.withColumns({"fold": F.lit(0), "blend": F.col(names[0])}).select(*keys, label, "fold", *names, "blend")

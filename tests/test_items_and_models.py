@@ -4,8 +4,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
+from tasklore import catalog
 from tasklore.operators import items, ranges, sequences
 from tasklore.plans import models, profile, replay
 from tasklore.sources import store
@@ -292,3 +297,57 @@ def test_scores_of_all_rounds_are_dealt_to_tasks_by_their_number(spark, monkeypa
     rows = spark.range(200).selectExpr("double(id % 17) as x", "int(id % 17 > 8) as y", "id % 4 = 0 as held")
     found = models.boosted(rows.where("not held"), rows.where("held"), ["x"], "y", limit=2)
     assert seen == [200 * found.rates.count() // 20]
+
+
+def test_auc_takes_counts(spark):
+    rng = random.Random(8)
+    rows = [(g, rng.randrange(5) / 5, rng.randrange(2), rng.randrange(1, 4)) for g in (1, 2) for _ in range(30)]
+    by = {r["g"]: r["auc"] for r in models.auc_by(spark.createDataFrame(rows, "g int, s double, y int, c int"), "g", "s", "y", "c").collect()}
+    alone = [(g, s, y) for g, s, y, c in rows for _ in range(c)]
+    want = {r["g"]: r["auc"] for r in models.auc_by(spark.createDataFrame(alone, "g int, s double, y int"), "g", "s", "y").collect()}
+    assert by == pytest.approx(want, abs=1e-12)
+
+
+def test_a_blend_fits_a_pair_of_folds_once_on_equal_rows(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for k in range(600):
+        a, b = rng.randrange(12) / 12, rng.randrange(9) / 9
+        rows.append((k % 40, k, a, b, 0.5, float(a + b + rng.gauss(0, 0.6) > 1)))
+    scored, names = spark.createDataFrame(rows, "user_id long, rn long, a double, b double, same double, y double"), ["a", "b", "same"]
+    fits, real = [], models.LogisticRegression
+    monkeypatch.setattr(models, "LogisticRegression", lambda **given: fits.append(given["regParam"]) or real(**given))
+    out = models.cross_validated_blend(scored, names, "y", "user_id").cache()
+    assert len(fits) == 3 * 2 + 3 and out.count() == len(rows)
+    ready = VectorAssembler(inputCols=names, outputCol="scores").transform(out)
+    for k in range(3):  # the plain form: a cross-validator over the other folds
+        learner = real(featuresCol="scores", labelCol="y")
+        grid = ParamGridBuilder().addGrid(learner.regParam, [0.0, 0.1]).build()
+        judge = BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC")
+        others = ready.where(F.col("fold") != k).withColumn("inner", F.when(F.col("fold") > k, F.col("fold") - 1).otherwise(F.col("fold")).cast("int"))
+        model = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=judge, numFolds=2, foldCol="inner").fit(others).bestModel
+        own = model.transform(ready.where(F.col("fold") == k)).select("blend", vector_to_array("probability")[1].alias("want")).collect()
+        assert own and max(abs(r["blend"] - r["want"]) for r in own) < 1e-3
+
+
+def test_learners_share_rows_that_are_prepared_once(spark, monkeypatch):
+    made, real = [], models._assembled
+    monkeypatch.setattr(models, "_assembled", lambda columns: made.append(columns) or real(columns))
+    rows = model_rows(spark, 300)
+    out = models.blended(rows.where("user_id < 40"), rows.where("user_id >= 40"), ["x", "z"], "y", ["user_id", "rn"])
+    assert out.columns == ["user_id", "rn", "y", "fold", "boosted", "forest", "perceptron", "blend"] and made == [["x", "z"]]
+
+
+def test_blend_auc_writes_no_row_for_each_learner(spark, monkeypatch):
+    rng = random.Random(3)
+    names = ["boosted", "forest", "perceptron", "blend"]
+    rows = [(k % 3, float(rng.randrange(2)), *[rng.randrange(9) / 9 for _ in names]) for k in range(120)]
+    made = spark.createDataFrame(rows, "fold int, answered_correctly double, boosted double, forest double, perceptron double, blend double")
+    monkeypatch.setattr(catalog, "m6_blend", lambda spark, d: made)
+    monkeypatch.setattr(catalog, "cut", lambda df: pytest.fail("written"))
+    got = {(r["learner"], r["fold"]): r["auc"] for r in catalog.m6_blend_auc(spark, "").collect()}
+    assert len(got) == 12
+    for (learner, fold), auc in got.items():
+        own = [(r[2 + names.index(learner)], r[1]) for r in rows if r[0] == fold]
+        wins = [1.0 if s > t else 0.5 if s == t else 0.0 for s, y in own if y for t, z in own if not z]
+        assert auc == pytest.approx(sum(wins) / len(wins), abs=1e-9)
