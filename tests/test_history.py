@@ -169,3 +169,20 @@ def test_encoders_of_items_meet_the_log_in_one_join(spark, monkeypatch):
     out = encoders.encoded(rows, many, last=1)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") <= 3  # fold, item and part
     assert len(few) == 400 and sorted(map(str, out.collect())) == few
+
+
+def test_many_scores_take_two_sorts_and_decays_share_chunks(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(9000).selectExpr(  # two rows a task, and several chunks of either decay
+        "1 user_id", "id + 1 rn", "id div 2 * 1000 ts_ms", "id div 2 task_container_id", "int(id % 9 < 5) answered_correctly", "id % 7 / 7 answer_weight", "1 part"
+    )
+    specs = [{"time_since_last": True}, {"rolling": 3}, {"weighted": True}, {"smoothing": (1, 1), "decay": 0.9}, {"decay": 0.99}]
+    got = history.rolling_scores(rows, ["user_id", "part"], specs, 0.5)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 2
+    want = rows
+    for s in specs:
+        want = history.rolling_score(want, ["user_id", "part"], **s)
+    a, b = (df.orderBy("rn").toPandas()[sorted(want.columns)] for df in (got, want))
+    for c in a.columns:
+        assert a[c].to_numpy(float) == pytest.approx(b[c].to_numpy(float), abs=1e-9, nan_ok=True)
