@@ -351,3 +351,32 @@ def test_blend_auc_writes_no_row_for_each_learner(spark, monkeypatch):
         own = [(r[2 + names.index(learner)], r[1]) for r in rows if r[0] == fold]
         wins = [1.0 if s > t else 0.5 if s == t else 0.0 for s, y in own if y for t, z in own if not z]
         assert auc == pytest.approx(sum(wins) / len(wins), abs=1e-9)
+
+
+def planted(spark, users=600, topics=6, words=20):
+    """Users of one topic each, who answer its items only."""
+    rng, rows = random.Random(5), []
+    for u in range(users):
+        for t in range(30):
+            rows.append((u, t + 1, u % topics * words + rng.randrange(words), rng.randrange(2)))
+    return spark.createDataFrame(rows, "user_id long, rn long, content_id long, answered_correctly int")
+
+
+def test_vectors_of_many_words_are_fitted_in_blocks_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(items, "WORDS_ON_DRIVER", 50)
+    monkeypatch.setattr(items, "Word2Vec", None)
+    monkeypatch.setattr(items.skipgram, "LEAST_WORDS", 40)  # three blocks
+    monkeypatch.setattr(items.skipgram, "ROW", 100)
+    log = planted(spark)
+    found = {int(r["word"]): np.array(r["vector"]) for r in items.item_vectors(log, F.col("content_id"), size=8, iterations=3).collect()}
+    assert sorted(found) == list(range(120))
+    unit = np.array([found[k] / np.linalg.norm(found[k]) for k in range(120)])
+    alike, same = unit @ unit.T, np.arange(120)[:, None] // 20 == np.arange(120) // 20
+    assert alike[same & ~np.eye(120, dtype=bool)].mean() > 0.9 and alike[~same].mean() < 0.5
+    again = {int(r["word"]): r["vector"] for r in items.item_vectors(log, F.col("content_id"), size=8, iterations=3).collect()}
+    assert all(list(found[k]) == again[k] for k in range(120))
+    own = log.where("user_id % 5 != 2 or content_id != 7").unionByName(log.where("user_id % 5 = 2").withColumn("content_id", F.lit(1000).cast("long")))
+    folds = items.answer_vectors(own, 5, size=8)
+    assert folds.where("content_id = 1000 and fold = 2").count() == 0  # met by fold 2 alone
+    assert folds.where("content_id = 1000").select("fold", "correct").distinct().count() == 8
+    assert folds.where("fold = 2").count() == 240 and dict(folds.dtypes)["vector"] == "array<double>"
